@@ -1,0 +1,24 @@
+"""Broadcast only what has been measured."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows a table may hold and still be shipped whole to every executor.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast when a bounded count shows it small; otherwise leave the join to shuffle.
+
+    The count stops at ``max_rows + 1`` rows. Use it on inputs that are cheap to read (reference tables), never on
+    the result of a long plan; those are left to adaptive execution, which sees real sizes at run time.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
+
+
+def largest_group(df: DataFrame, by: list[str]) -> int:
+    """Row count of the biggest group; one number reaches the driver and all other columns are pruned."""
+    row = df.groupBy(*by).count().agg(F.max("count")).first()
+    return int(row[0] or 0)

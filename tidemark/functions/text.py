@@ -1,0 +1,70 @@
+"""Text normalisation, shingles and hashes."""
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tidemark.functions.exprs import col
+
+# Wire markers removed, in this order, during normalisation.
+WIRE_MARKERS = (
+    "(reuters)", "(bloomberg)", "(pti)", "(ani)", "(ians)", "- reuters", "click here",
+    "read more", "also read", "advertisement", "subscribe to",
+)
+
+
+def collapse(c) -> Column:
+    """Runs of white space (Unicode included) as one blank, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(col(c), r"(?U)[\s\x1c-\x1f]+", " "), "^ | $", "")
+
+
+def normalise_text(c) -> Column:
+    text = collapse(F.lower(col(c)))
+    text = reduce(lambda acc, m: F.replace(acc, F.lit(m), F.lit(" ")), WIRE_MARKERS, text)
+    return collapse(text)
+
+
+def char_ngrams(normalised, n: int = 5) -> Column:
+    """Distinct character n-grams of already normalised text; text shorter than ``n`` is its own only gram."""
+    c = col(normalised)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))
+    return (
+        F.when(F.length(c) == 0, F.array().cast("array<string>"))
+        .when(F.length(c) < n, F.array(c))
+        .otherwise(grams)
+    )
+
+
+def jaccard(a, b) -> Column:
+    """Overlap of two distinct-element arrays; 0 when either is empty."""
+    a, b = col(a), col(b)
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(shared == 0, 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
+
+
+def words(c) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(col(c)), F.lit("[a-z0-9]+"), F.lit(0)))
+
+
+def token_overlap(a, b) -> Column:
+    return jaccard(words(a), words(b))
+
+
+def article_text(title="title", body="body") -> Column:
+    return F.regexp_replace(F.concat(col(title), F.lit("\n\n"), col(body)), r"(?U)^\s+|\s+$", "")
+
+
+def article_hash(title="title", body="body") -> Column:
+    """Identity of an article: hash of its normalised text."""
+    return F.sha2(normalise_text(article_text(title, body)), 256)
+
+
+def content_hash(c) -> Column:
+    """Hash used by the analysis table: white space and case folded, markers kept."""
+    return F.sha2(F.lower(collapse(c)), 256)
+
+
+def cache_key(hash_col, backend: str, model_id: str, prompt_version: str, schema_version: str = "1") -> Column:
+    parts = [col(hash_col), *(F.lit(v) for v in (backend, model_id, prompt_version, schema_version))]
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)
