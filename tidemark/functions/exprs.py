@@ -78,21 +78,55 @@ class Trailing:
     def sum(self, c, rows, at_least=None, shift=0):
         return self.stat(F.sum, c, rows, at_least, shift)
 
-    def skew(self, c, rows, at_least=None):
-        """Bias-corrected sample skewness."""
-        n = F.count(col(c)).over(self.frame(rows)).cast("double")
-        corrected = F.skewness(col(c)).over(self.frame(rows)) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
-        return F.when(n >= max(3, at_least or rows), corrected)
-
-    def kurt(self, c, rows, at_least=None):
-        """Bias-corrected excess kurtosis."""
-        n = F.count(col(c)).over(self.frame(rows)).cast("double")
-        scale = (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0))
-        corrected = scale * ((n + 1) * F.kurtosis(col(c)).over(self.frame(rows)) + 6)
-        return F.when(n >= max(4, at_least or rows), corrected)
+    def power_sums(self, name: str, c, rows: int, order: int = 2, shift: int = 0) -> dict[str, Column]:
+        """Count and sums of powers over one frame, as columns ``_<name>_n``, ``_<name>_s1`` ...
+
+        Moments are formed from these columns one level later: written as one expression, every mention of a sum would
+        become a window function of its own.
+        """
+        x, frame = col(c), self.frame(rows, shift)
+        out, power = {f"_{name}_n": F.count(x).over(frame).cast("double")}, F.lit(1.0)
+        for k in range(1, order + 1):
+            power = power * x
+            out[f"_{name}_s{k}"] = F.sum(power).over(frame)
+        return out
 
     def running(self, fn, c) -> Column:
         return fn(col(c)).over(self.window.rowsBetween(Window.unboundedPreceding, 0))
 
     def row(self) -> Column:
         return F.row_number().over(self.window)
+
+
+class Moments:
+    """Moments from the columns of ``Trailing.power_sums``.
+
+    For series centred near zero (returns) or of moderate size, sums of powers lose nothing that matters. A second
+    moment that is rounding noise counts as zero. Results are null below ``at_least`` values.
+    """
+
+    def __init__(self, name: str, at_least: int):
+        self.enough = F.col(f"_{name}_n") >= at_least
+        self.n = F.nullif(F.col(f"_{name}_n"), F.lit(0.0))
+        self.raw = lambda k: F.col(f"_{name}_s{k}") / self.n
+        self.mean = self.raw(1)
+        second = self.raw(2) - self.mean * self.mean
+        self.m2 = F.when(second > self.raw(2) * 1e-13, second).when(second.isNotNull(), 0.0)
+
+    def std(self) -> Column:
+        return F.when(self.enough & (self.n > 1), F.sqrt(self.m2 * self.n / F.nullif(self.n - 1, F.lit(0.0))))
+
+    def skew(self) -> Column:
+        """Bias-corrected skewness."""
+        n, m = self.n, self.mean
+        m3 = self.raw(3) - 3 * m * self.raw(2) + 2 * m * m * m
+        value = m3 / F.pow(self.m2, F.lit(1.5)) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
+        return F.when(self.enough & (n > 2) & (self.m2 > 0), value)
+
+    def kurt(self) -> Column:
+        """Bias-corrected excess kurtosis."""
+        n, m = self.n, self.mean
+        m4 = self.raw(4) - 4 * m * self.raw(3) + 6 * m * m * self.raw(2) - 3 * m * m * m * m
+        excess = m4 / F.nullif(self.m2 * self.m2, F.lit(0.0)) - 3.0
+        value = (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * excess + 6.0)
+        return F.when(self.enough & (n > 3), value)

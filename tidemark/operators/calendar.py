@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from tidemark import schemas as S
 from tidemark.functions.exprs import Trailing
 
-BY_SESSION = Window.orderBy(S.SESSION)
+def _by_session():
+    return Window.orderBy(S.SESSION)
 
 
 def sessions(bars: DataFrame) -> DataFrame:
     """Distinct sessions with their 1-based position."""
-    return bars.select(S.SESSION).distinct().withColumn("position", F.row_number().over(BY_SESSION))
+    return bars.select(S.SESSION).distinct().withColumn("position", F.row_number().over(_by_session()))
 
 
 def close_instant(session: Column, close: str = "16:00", zone: str = "America/New_York") -> Column:
@@ -46,10 +47,10 @@ def _placed(sessions_df: DataFrame, hold: int) -> DataFrame:
     """Every session with the entry and exit sessions that would follow it."""
     return sessions_df.select(
         S.SESSION,
-        F.lead(S.SESSION, 1).over(BY_SESSION).alias(S.ENTRY),
-        F.lead(S.SESSION, 1 + hold).over(BY_SESSION).alias(S.EXIT),
+        F.lead(S.SESSION, 1).over(_by_session()).alias(S.ENTRY),
+        F.lead(S.SESSION, 1 + hold).over(_by_session()).alias(S.EXIT),
         F.max(S.SESSION).over(Window.partitionBy()).alias("_end"),
-        F.lead(S.SESSION, hold).over(BY_SESSION).alias("_exit_from_here"),
+        F.lead(S.SESSION, hold).over(_by_session()).alias("_exit_from_here"),
     )
 
 
@@ -157,7 +158,7 @@ def simple_weekly_returns(bars: DataFrame, weekday: int = 4) -> DataFrame:
     The previous value is the one of the previous *week of the calendar*, so the lag is checked against it.
     """
     weekly = to_weekly(bars, weekday=weekday)
-    weeks = weekly.select(S.SESSION).distinct().withColumn("prev_week", F.lag(S.SESSION).over(BY_SESSION))
+    weeks = weekly.select(S.SESSION).distinct().withColumn("prev_week", F.lag(S.SESSION).over(_by_session()))
     t = Trailing()
     out = weekly.join(weeks, S.SESSION).select(
         S.TICKER, S.SESSION,

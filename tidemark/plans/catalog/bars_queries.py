@@ -65,22 +65,27 @@ steps AS (
 adj AS (SELECT *, coalesce(product(step) OVER (PARTITION BY ticker ORDER BY session DESC
                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS f FROM steps)"""
 ADJUST_OUT = """
-SELECT ticker, session, open * f AS open, high * f AS high, low * f AS low, "close" * f AS "close",
-       volume / f AS volume, f AS adjustment_factor FROM adj"""
-ADJUST_COLS = ("ticker", "session", "open", "high", "low", "close", "volume", "adjustment_factor")
+SELECT ticker, session, ln(open * f) AS open, ln(high * f) AS high, ln(low * f) AS low, ln("close" * f) AS "close",
+       ln(volume / f) AS volume, f AS adjustment_factor FROM adj"""
+
+
+def _log_adjusted(df):
+    """Adjusted prices are compared as logarithms: products of short decimals would tie when rounded."""
+    return df.select("ticker", "session", *[F.ln(c).alias(c) for c in ("open", "high", "low", "close", "volume")],
+                     "adjustment_factor")
 
 
 @query("d5_adjust_asof", B.with_(B.BARS, ADJUST_SQL.format(known="session <= DATE '2000-12-29'")) + ADJUST_OUT,
        "open high low close volume adjustment_factor", 8)
 def _(spark, d):
     from datetime import date
-    return clean.adjust_asof(fx.bars(spark, d), date(2000, 12, 29)).select(*ADJUST_COLS)
+    return _log_adjusted(clean.adjust_asof(fx.bars(spark, d), date(2000, 12, 29)))
 
 
 @query("d5_adjust_full", B.with_(B.BARS, ADJUST_SQL.format(known="TRUE")) + ADJUST_OUT,
        "open high low close volume adjustment_factor", 8)
 def _(spark, d):
-    return clean.adjust_asof(fx.bars(spark, d)).select(*ADJUST_COLS)
+    return _log_adjusted(clean.adjust_asof(fx.bars(spark, d)))
 
 
 @query("d6_total_return", B.with_(B.BARS) + """

@@ -19,15 +19,12 @@ def bars(spark: SparkSession, sf_dir: str, close_hour: int = 21) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     week = F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-02").cast("date")) / F.lit(7.0))
     priced = li.select(
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"),
-        "l_suppkey",
-        week.cast("int").alias("k"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        "l_suppkey", week.cast("int").alias("k"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("qty"),
-        F.struct("l_orderkey", "l_linenumber",
-                 (F.col("l_extendedprice") / F.col("l_quantity")).alias("price")).alias("at"),
+        # (order, line) is the key of the table; as one number it keeps the aggregate in hash buffers
+        (F.col("l_orderkey") * 64 + F.col("l_linenumber")).alias("at"),
     )
-    daily = priced.groupBy("ticker", "l_suppkey", "k").agg(
+    daily = priced.groupBy("l_suppkey", "k").agg(
         F.min_by("price", "at").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
@@ -38,7 +35,7 @@ def bars(spark: SparkSession, sf_dir: str, close_hour: int = 21) -> DataFrame:
     split = F.when((F.pmod("k", F.lit(97)) == 50) & (F.pmod("l_suppkey", F.lit(10)) == 3), 2.0).otherwise(1.0)
     dividend = F.when(F.pmod("k", F.lit(13)) == 0, F.col("close") * 0.01).otherwise(0.0)
     return daily.select(
-        "ticker", session.alias("session"), "open", "high", "low", "close", "volume",
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), session.alias("session"), "open", "high", "low", "close", "volume",
         split.alias("split_factor"), dividend.alias("div_cash"),
         (session.cast("timestamp") + F.make_interval(hours=F.lit(close_hour))).alias("available_at"),
         F.lit(False).alias("is_delisted"),
