@@ -26,14 +26,17 @@ def normalise_text(c) -> Column:
 
 
 def char_ngrams(normalised, n: int = 5) -> Column:
-    """Distinct character n-grams of already normalised text; text shorter than ``n`` is its own only gram."""
-    c = col(normalised)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))
-    return (
-        F.when(F.length(c) == 0, F.array().cast("array<string>"))
-        .when(F.length(c) < n, F.array(c))
-        .otherwise(grams)
-    )
+    """Distinct character n-grams of already normalised text; text shorter than ``n`` is its own only gram.
+
+    The text enters through a one-element array, so that it is evaluated once per row and not once per gram.
+    """
+
+    def grams(c):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1)))
+        cut = F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(n))))
+        return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(cut)
+
+    return F.element_at(F.transform(F.array(col(normalised)), grams), 1)
 
 
 def jaccard(a, b) -> Column:

@@ -21,8 +21,9 @@ def bars(spark: SparkSession, sf_dir: str, close_hour: int = 21) -> DataFrame:
     priced = li.select(
         "l_suppkey", week.cast("int").alias("k"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("qty"),
-        # (order, line) is the key of the table; as one number it keeps the aggregate in hash buffers
-        (F.col("l_orderkey") * 64 + F.col("l_linenumber")).alias("at"),
+        # order, line and then price as one number: a fixed-width key keeps the aggregate in hash buffers
+        ((F.col("l_orderkey") * 64 + F.col("l_linenumber")).cast("decimal(20,0)") * F.lit(10**14).cast("decimal(15,0)")
+         + F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 1e6).cast("decimal(20,0)")).cast("decimal(38,0)").alias("at"),
     )
     daily = priced.groupBy("l_suppkey", "k").agg(
         F.min_by("price", "at").alias("open"),
