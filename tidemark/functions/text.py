@@ -28,22 +28,25 @@ def normalise_text(c) -> Column:
 def char_ngrams(normalised, n: int = 5) -> Column:
     """Distinct character n-grams of already normalised text; text shorter than ``n`` is its own only gram.
 
-    The text enters through a one-element array, so that it is evaluated once per row and not once per gram.
+    The text enters as a one-element array of its characters, so it is evaluated and cut up once per row; taking
+    substrings of the text itself would cost time quadratic in its length.
     """
 
-    def grams(c):
-        starts = F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1)))
-        cut = F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(n))))
-        return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(cut)
+    def grams(chars):
+        joined = lambda i: F.concat(*[F.element_at(chars, (i + k).cast("int")) for k in range(n)])
+        cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), joined))
+        short = F.when(F.size(chars) == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(chars, "")))
+        return F.when(F.size(chars) < n, short).otherwise(cut)
 
-    return F.element_at(F.transform(F.array(col(normalised)), grams), 1)
+    chars = F.filter(F.split(col(normalised), ""), lambda ch: ch != "")
+    return F.element_at(F.transform(F.array(chars), grams), 1)
 
 
 def jaccard(a, b) -> Column:
     """Overlap of two distinct-element arrays; 0 when either is empty."""
     a, b = col(a), col(b)
-    shared = F.size(F.array_intersect(a, b))
-    return F.when(shared == 0, 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
+    share = lambda n: F.when(n == 0, 0.0).otherwise(n / (F.size(a) + F.size(b) - n))
+    return F.element_at(F.transform(F.array(F.size(F.array_intersect(a, b))), share), 1)
 
 
 def words(c) -> Column:

@@ -28,8 +28,9 @@ def _occurrences(articles: DataFrame, hours: float, id_col: str) -> DataFrame:
     """(id, ticker, at in seconds, story, bucket) plus the n-gram hashes."""
     at = F.unix_micros(S.AVAILABLE_AT) / F.lit(1e6)
     out = articles.select(F.col(id_col).alias("_id"), S.TICKER, at.alias("_at"), signature().alias("_grams"))
-    return out.withColumn("_story", F.xxhash64("_grams")).withColumn(
+    out = out.withColumn("_story", F.xxhash64("_grams")).withColumn(
         "_bucket", F.floor(F.col("_at") / F.lit(hours * 3600.0)).cast("long"))
+    return materialise(out, "signatures")  # costly to compute and read several times below
 
 
 def _stories(occ: DataFrame) -> DataFrame:
@@ -48,6 +49,19 @@ def _reachable(stories: DataFrame, suffix: str = "2") -> DataFrame:
     return both.select(S.TICKER, F.col("x.b").alias("_bucket"), F.col("x.same").alias("_same"), *names.values())
 
 
+SALTS = 16
+
+
+def _salted(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Join on (ticker, bucket) with each bucket's left rows spread over several tasks.
+
+    The right side is one row per story and bucket, so repeating it per salt stays small next to the comparisons.
+    """
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("_id", "_story") if c in left.columns]), F.lit(SALTS)))
+    every = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return spread.join(every, [S.TICKER, "_bucket", "_salt"]).drop("_salt")
+
+
 def novelty_scores(articles: DataFrame, *, lookback_days: float = 7.0, id_col: str = "content_hash") -> DataFrame:
     """(id, ticker, available_at, novelty): 1 less the largest overlap with the ticker's earlier coverage.
 
@@ -62,7 +76,7 @@ def novelty_scores(articles: DataFrame, *, lookback_days: float = 7.0, id_col: s
     own = _reachable(stories).select(S.TICKER, "_bucket", "_same", F.col("_story2").alias("_story"), "_first2", "_last2")
     repeated = occ.join(own, [S.TICKER, "_bucket", "_story"]).filter(earlier).select("_id", S.TICKER, "_at").distinct()
     fresh = occ.join(repeated, ["_id", S.TICKER, "_at"], "left_anti").filter(F.size("_grams") > 0)
-    others = fresh.join(_reachable(stories), [S.TICKER, "_bucket"]).filter(
+    others = _salted(fresh, _reachable(stories)).filter(
         (F.col("_story") != F.col("_story2")) & earlier)
     closest = others.groupBy("_id", S.TICKER, "_at").agg(F.max(text.jaccard("_grams", "_grams2")).alias("_best"))
     scored = (
@@ -82,7 +96,7 @@ def similar_stories(occ: DataFrame, threshold: float) -> DataFrame:
     """
     stories = _stories(occ).filter(F.size("_grams") > 0)
     a, b = F.size("_grams"), F.size("_grams2")
-    pairs = stories.join(_reachable(stories), [S.TICKER, "_bucket"]).filter(
+    pairs = _salted(stories, _reachable(stories)).filter(
         (F.col("_story") != F.col("_story2")) & (F.least(a, b) >= threshold * F.greatest(a, b)))
     close = pairs.filter(text.jaccard("_grams", "_grams2") >= threshold)
     both = F.array(F.struct(F.col("_story").alias("s"), F.col("_story2").alias("o")),

@@ -196,8 +196,7 @@ def _(spark, d):
 
 @query("n17_repair", """
 SELECT event_id, CASE WHEN event_type = 'buyback' THEN event_type ELSE 'other' END AS event_type,
-       coalesce(greatest(-1, least(1, try_cast(CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE (value / 30 - 1)::VARCHAR END AS DOUBLE))), 0)
-         AS sentiment, greatest(0, least(3, round_even(value / 12, 0)))::INTEGER AS magnitude,
+       CASE WHEN event_id % 7 = 0 THEN 0 ELSE greatest(-1, least(1, value / 30 - 1)) END AS sentiment, greatest(0, least(3, round_even(value / 12, 0)))::INTEGER AS magnitude,
        greatest(-500, least(500, value * 20)) AS numeric_surprise_pct FROM events""", "sentiment numeric_surprise_pct")
 def _(spark, d):
     ev = fx.table(spark, d, "events")
@@ -297,8 +296,8 @@ agg AS (SELECT decision_session, cut, ticker,
         FROM seen GROUP BY ALL)""", """
 news AS (SELECT * EXCLUDE (cut), CASE WHEN count(news_count) OVER b >= 6 THEN
            (news_count - avg(news_count) OVER b) / nullif(stddev_samp(news_count) OVER b, 0) END AS news_count_z,
-           least(180.0::DOUBLE, (epoch_us(cut) - (SELECT epoch_us(max(available_at)) FROM an m WHERE m.ticker = agg.ticker AND magnitude >= 2
-              AND NOT is_recap AND m.available_at < agg.cut)) / 86400e6::DOUBLE) AS news_days_since_material
+           (epoch_us(cut) - (SELECT epoch_us(max(available_at)) FROM an m WHERE m.ticker = agg.ticker AND magnitude >= 2
+              AND NOT is_recap AND m.available_at < agg.cut)) / 86400e6::DOUBLE AS news_days_since_material
          FROM agg WINDOW b AS (PARTITION BY ticker ORDER BY decision_session ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING))"""]
 
 
@@ -307,7 +306,7 @@ NEWS_COLS = ", ".join(nf.FEATURES)
 
 
 @query("n23_n28_weekly_news", B.with_(*news_sql(B.decisions())) + f" SELECT decision_session, ticker, {NEWS_COLS} FROM news",
-       " ".join(nf.FEATURES))
+       " ".join(nf.FEATURES), 7)
 def _(spark, d):
     return nf.build_news_features(fx.analyses(spark, d), cal.all_decisions(cal.sessions(fx.event_sessions(spark, d))))
 
@@ -319,7 +318,7 @@ def daily_news(spark, d):
 
 
 @query("n23_n28_daily_news", B.with_(*news_sql(DAILY)) + f" SELECT decision_session, ticker, {NEWS_COLS} FROM news",
-       " ".join(nf.FEATURES))
+       " ".join(nf.FEATURES), 7)
 def _(spark, d):
     return daily_news(spark, d)
 
