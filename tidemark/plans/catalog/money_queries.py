@@ -7,6 +7,7 @@ from tidemark.plans.catalog import base_sql as B
 from tidemark.plans.catalog import feature_queries as FQ
 from tidemark.plans.catalog import feature_sql as FS
 from tidemark.plans.catalog.registry import query
+from tidemark.session import materialise
 from tidemark.sources import fixtures as fx
 
 PRED = """
@@ -60,9 +61,9 @@ def _(spark, d):
 EDGES = """
 edges AS (SELECT decision_session, list_sort(list_distinct(quantile_cont(prediction, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS q
           FROM complete GROUP BY 1 HAVING count(*) >= 10),
-placed AS (SELECT decision_session, label, greatest(len(list_filter(q, lambda e: e < prediction)) - 1, 0) AS bucket
+slot AS (SELECT decision_session, label, greatest(len(list_filter(q, lambda e: e < prediction)) - 1, 0) AS bucket
            FROM complete JOIN edges USING (decision_session)),
-buckets AS (SELECT bucket::INTEGER AS bucket, avg(m) AS mean_label FROM (SELECT decision_session, bucket, avg(label) AS m FROM placed GROUP BY ALL) GROUP BY 1)"""
+buckets AS (SELECT bucket::INTEGER AS bucket, avg(m) AS mean_label FROM (SELECT decision_session, bucket, avg(label) AS m FROM slot GROUP BY ALL) GROUP BY 1)"""
 
 
 @query("v3_quantile_returns", B.with_(*BASE, EDGES) + " SELECT * FROM buckets", "mean_label")
@@ -156,17 +157,18 @@ pv AS (SELECT picked.*, volatility FROM picked LEFT JOIN stats USING (ticker, de
 fl AS (SELECT decision_session, quantile_cont(CASE WHEN volatility > 0 THEN volatility END, 0.1) AS f,
          median(CASE WHEN volatility > 0 THEN volatility END) AS m FROM pv GROUP BY 1),
 iw AS (SELECT pv.*, CASE WHEN m IS NULL THEN sign(score) ELSE sign(score) / greatest(coalesce(volatility, m), greatest(f, 0.0001)) END AS x FROM pv JOIN fl USING (decision_session)),
-sized AS (SELECT *, x / sum(abs(x)) OVER (PARTITION BY decision_session) AS weight FROM iw)"""
+weighted AS (SELECT *, x / sum(abs(x)) OVER (PARTITION BY decision_session) AS weight FROM iw)"""
 
 
 def sized(spark, d):
     s, bars, grid = scores(spark, d)
     stats = performance.trailing_stats(bars).withColumnRenamed("session", "decision_session")
     picked = book.select_names(s).join(stats, ["decision_session", "ticker"], "left")
-    return book.normalize_gross(book.inverse_vol_weights(picked)), bars, grid, stats
+    # A book is small and is read several times by what follows.
+    return materialise(book.normalize_gross(book.inverse_vol_weights(picked)), "book"), bars, grid, stats
 
 
-@query("p3_p4_inverse_vol_book", B.with_(*BASE, PICK, STATS, INVVOL) + " SELECT decision_session, ticker, weight FROM sized", "weight", 9)
+@query("p3_p4_inverse_vol_book", B.with_(*BASE, PICK, STATS, INVVOL) + " SELECT decision_session, ticker, weight FROM weighted", "weight", 9)
 def _(spark, d):
     return sized(spark, d)[0].select("decision_session", "ticker", "weight")
 
@@ -174,7 +176,7 @@ def _(spark, d):
 def _limit_sql() -> list[str]:
     out = ["""
 l0 AS (SELECT decision_session, ticker, sector, weight / greatest(1, sum(abs(weight)) OVER p) AS w, FALSE AS done
-       FROM sized JOIN universe USING (ticker) WINDOW p AS (PARTITION BY decision_session))"""]
+       FROM weighted JOIN universe USING (ticker) WINDOW p AS (PARTITION BY decision_session))"""]
     for i in range(8):
         out.append(f"""
 r{i} AS (SELECT *, w * CASE WHEN sum(abs(w)) OVER p > 1 + 1e-12 THEN 1 / sum(abs(w)) OVER p ELSE 1 END AS w3 FROM (
@@ -211,7 +213,7 @@ def _(spark, d):
 
 
 @query("p10_limit_violations", B.with_(*BASE, PICK, STATS, INVVOL, """
-v AS (SELECT decision_session, max(abs(weight)) AS value FROM sized GROUP BY 1)""") + """
+v AS (SELECT decision_session, max(abs(weight)) AS value FROM weighted GROUP BY 1)""") + """
 SELECT decision_session, 'weight' AS rule, value FROM v WHERE value > 0.12 + 1e-6""", "value")
 def _(spark, d):
     out = book.check_limits(sized(spark, d)[0].select("decision_session", "ticker", "weight"))
