@@ -208,7 +208,7 @@ def _(spark, d):
     from tidemark.operators.calendar import simple_weekly_returns
 
     b, bars, _, _ = sized(spark, d)
-    vol = book.portfolio_volatility(book.return_history(b, simple_weekly_returns(bars)))
+    vol = book.portfolio_volatility(materialise(book.return_history(b, simple_weekly_returns(bars)), "history"))
     return book.scale_to_target_vol(b, vol).select("decision_session", "ticker", "weight", "vol_scale")
 
 
@@ -229,15 +229,16 @@ tc AS (SELECT *, n * CASE WHEN short THEN 2.0 ELSE 3.0 END * 1e-4 AS commission,
 
 
 @query("c1_c3_trade_cost", B.with_(TRADE) + """
-SELECT l_partkey, sum(commission) AS commission, sum(n * stat * 1e-4 + exch + (commission + exch) * 0.18) AS taxes,
-       sum(n * CASE WHEN rng > 0 THEN greatest(3.0, least(rng * 10000 * 0.02, 50.0)) ELSE 3.0 END * 1e-4) AS spread,
-       sum(n * 0.6 * vol / sqrt(252.0) * 10000 * sqrt(least(n / adv, 1)) * 1e-4) AS impact FROM tc GROUP BY 1""",
-       "commission taxes spread impact", 4)
+SELECT l_partkey, ln(1 + sum(commission)) AS commission, ln(1 + sum(n * stat * 1e-4 + exch + (commission + exch) * 0.18)) AS taxes,
+       ln(1 + sum(n * CASE WHEN rng > 0 THEN greatest(3.0, least(rng * 10000 * 0.02, 50.0)) ELSE 3.0 END * 1e-4)) AS spread,
+       ln(1 + sum(n * 0.6 * vol / sqrt(252.0) * 10000 * sqrt(least(n / adv, 1)) * 1e-4)) AS impact FROM tc GROUP BY 1""",
+       "commission taxes spread impact", 7)
 def _(spark, d):
     li = fx.table(spark, d, "lineitem")
     parts = costs.trade_cost("l_extendedprice", F.col("l_returnflag") == "A", F.col("l_linestatus") == "F", FEES, vol="l_discount",
                              adv=F.col("l_quantity") * 100_000, day_range="l_tax")
-    return li.select("l_partkey", *[c.alias(k) for k, c in parts.items()]).groupBy("l_partkey").agg(*[F.sum(k).alias(k) for k in parts])
+    return li.select("l_partkey", *[c.alias(k) for k, c in parts.items()]).groupBy("l_partkey").agg(
+        *[F.log1p(F.sum(k)).alias(k) for k in parts])  # logarithms: sums of short decimals would tie when rounded
 
 
 FILLS = """
@@ -265,7 +266,7 @@ def fill_report(spark, d):
 
 @query("t1_t2_fill_analysis", B.with_(FILLS) + """
 SELECT run, n_orders, n_filled, total_notional, weighted_slippage_bps, median_slippage_bps, weighted_expected_bps, slippage_cost FROM rep""",
-       "total_notional weighted_slippage_bps median_slippage_bps weighted_expected_bps slippage_cost", 4, total_notional=1)
+       "total_notional weighted_slippage_bps median_slippage_bps weighted_expected_bps slippage_cost", 5)
 def _(spark, d):
     return fill_report(spark, d).select("run", "n_orders", "n_filled", "total_notional", "weighted_slippage_bps", "median_slippage_bps",
                                         "weighted_expected_bps", "slippage_cost")
@@ -293,14 +294,14 @@ def performance_report(spark, d):
 b AS (SELECT decision_session, avg(open_out / open_in - 1) AS r FROM pairs WHERE open_in > 0 GROUP BY 1),
 e AS (SELECT *, product(1 + r) OVER (ORDER BY decision_session) AS eq FROM b),
 dd AS (SELECT *, eq / max(eq) OVER (ORDER BY decision_session) - 1 AS dd FROM e)""") + """
-SELECT 'hold' AS scenario, count(*) AS n_periods, product(1 + r) - 1 AS total_return, avg(r) * 52 AS ann_return, stddev_samp(r) * sqrt(52.0) AS ann_vol,
+SELECT 'hold' AS scenario, count(*) AS n_periods, sum(ln(1 + r)) AS total_return, avg(r) * 52 AS ann_return, stddev_samp(r) * sqrt(52.0) AS ann_vol,
        avg(r) * 52 / (stddev_samp(r) * sqrt(52.0)) AS sharpe, min(dd) AS max_drawdown, skewness(r) AS skew FROM dd""",
        "total_return ann_return ann_vol sharpe max_drawdown skew")
 def _(spark, d):
     bars, _, grid = FQ.setup(spark, d)
     f = labels.forward_returns(bars, grid)
     return performance.metrics(performance.benchmark(f, f).withColumn("scenario", F.lit("hold"))).select(
-        "scenario", "n_periods", "total_return", "ann_return", "ann_vol", "sharpe", "max_drawdown", "skew")
+        "scenario", "n_periods", F.log1p("total_return").alias("total_return"), "ann_return", "ann_vol", "sharpe", "max_drawdown", "skew")
 
 
 @query("v15_trial_summary", """
