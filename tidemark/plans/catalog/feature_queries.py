@@ -231,7 +231,7 @@ PANEL_COLS = tuple(features.FEATURES)
 
 
 PANEL_CTES = (
-    B.BARS, B.SESSIONS, B.decisions(), B.grid(), B.MEMBERSHIP, LABELS, *FS.window_features(), *FS.smoothed_features(),
+    B.BARS, B.SESSIONS, B.decisions(), B.grid(), B.MEMBERSHIP, LABELS, *FS.window_features(for_ranks=True), *FS.smoothed_features(),
     *FS.market_features(), """
 joined AS (SELECT f.session AS decision_session, f.* EXCLUDE (session), smooth.* EXCLUDE (ticker, session),
                   market.* EXCLUDE (session)

@@ -93,9 +93,16 @@ COLUMNS = {
 }
 
 
-def window_features(name: str = "feats") -> list[str]:
-    """CTEs ending in ``name``: every window feature of every bar."""
-    out = ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in COLUMNS.items())
+def window_features(name: str = "feats", for_ranks: bool = False) -> list[str]:
+    """CTEs ending in ``name``: every window feature of every bar.
+
+    Values that will be ranked must tie where Spark's do. ``ln(1 + x)`` and ``log1p`` differ in the last bit, so for
+    ranks this one column is rounded far below its spread.
+    """
+    columns = dict(COLUMNS)
+    if for_ranks:
+        columns["volume_breakout_conf"] = f"round({COLUMNS['volume_breakout_conf']}, 12)"
+    out = ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in columns.items())
     return [LEVEL_0, LEVEL_1, LEVEL_2, LEVEL_3, f"\n{name} AS (SELECT ticker, session, {out} FROM f3)"]
 
 

@@ -326,3 +326,60 @@ def _(spark, d):
     made = orders.build_orders(book.book_frame(last), prices, b.select("ticker", F.lit(0.0).alias("shares")).distinct(),
                                universe.lot_sizes(fx.membership(spark, d)), equity=1e6)
     return orders.execution_sequence(made.filter("is_order"))
+
+
+TWO_BOOKS = """
+eqw AS (SELECT decision_session, ticker, sign(score) / sum(abs(sign(score))) OVER (PARTITION BY decision_session) AS weight FROM picked),
+bars_next AS (SELECT decision_session AS d, lead(decision_session) OVER (ORDER BY decision_session) AS nxt FROM (SELECT DISTINCT decision_session FROM eqw)),
+prev AS (SELECT nxt AS decision_session, ticker, weight AS pw FROM eqw JOIN bars_next ON d = decision_session WHERE nxt IS NOT NULL),
+sides AS (SELECT decision_session, ticker, coalesce(weight, 0) AS w, coalesce(pw, 0) AS pw FROM eqw FULL JOIN prev USING (decision_session, ticker))"""
+
+
+def two_books(spark, d):
+    """Equal-weight books and, under the same date, the book of the week before."""
+    from pyspark.sql import Window
+
+    b = materialise(book.equal_weights(book.select_names(scores(spark, d)[0])).select("decision_session", "ticker", "weight"), "book")
+    order = b.select("decision_session").distinct().withColumn("_next", F.lead("decision_session").over(Window.orderBy("decision_session")))
+    prev = b.join(F.broadcast(order), "decision_session").filter("_next is not null").select(  # one row per week
+        F.col("_next").alias("decision_session"), "ticker", "weight")
+    return b, prev
+
+
+@query("p12_no_trade_band", B.with_(*BASE, PICK, TWO_BOOKS) + """
+SELECT * FROM (SELECT decision_session, ticker, CASE WHEN abs(w - pw) < 0.02 AND abs(pw) > 1e-9 THEN pw ELSE w END AS weight FROM sides)
+WHERE abs(weight) > 1e-9""", "weight", 9)
+def _(spark, d):
+    return book.no_trade_band(*two_books(spark, d), band=0.02)
+
+
+@query("p13_participation_cap", B.with_(*BASE, PICK, STATS, TWO_BOOKS) + """
+SELECT decision_session, ticker, weight FROM (
+  SELECT decision_session, ticker, CASE WHEN abs(w - pw) * 1e6 > adv_notional * 0.05 THEN pw + sign(w - pw) * adv_notional * 0.05 / 1e6 ELSE w END AS weight
+  FROM sides LEFT JOIN stats USING (decision_session, ticker)) WHERE abs(weight) > 1e-9""", "weight", 9)
+def _(spark, d):
+    target, prev = two_books(spark, d)
+    adv = performance.trailing_stats(fx.bars(spark, d)).withColumnRenamed("session", "decision_session")
+    return book.participation_cap(target, prev, adv, capital=1e6).select("decision_session", "ticker", "weight")
+
+
+@query("p14_hard_to_borrow", B.with_(*BASE, PICK, TWO_BOOKS) + """
+SELECT decision_session, ticker, weight FROM eqw WHERE weight >= 0 OR substr(ticker, 2)::BIGINT % 4 <> 0""", "weight", 9)
+def _(spark, d):
+    blocked = fx.membership(spark, d).filter("file_order % 4 = 0").select("ticker")
+    return book.hard_to_borrow_filter(two_books(spark, d)[0], blocked).select("decision_session", "ticker", "weight")
+
+
+@query("v11_turnover", B.with_(*BASE, PICK, TWO_BOOKS) + """
+SELECT decision_session, sum(abs(w - pw)) / 2 AS turnover FROM sides GROUP BY 1""", "turnover")
+def _(spark, d):
+    return performance.turnover(two_books(spark, d)[0])
+
+
+@query("p11_kill_switch")
+def _(spark, d):
+    """Risk scale along the equity of holding everything (checked by hand in the tests)."""
+    bars, _, grid = FQ.setup(spark, d)
+    f = labels.forward_returns(bars, grid)
+    hold = performance.benchmark(f, f).withColumn("scenario", F.lit("hold"))
+    return performance.kill_switch(performance.equity_path(hold))
