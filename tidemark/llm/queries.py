@@ -22,3 +22,11 @@ def _op10(spark, sf_dir):
     from tidemark.llm.token_counts import count_tokens
 
     return count_tokens(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op7_pack_documents")
+def _op7(spark, sf_dir):
+    """Every document in sequences of at most 2048 tokens."""
+    from tidemark.llm.packing import pack
+
+    return pack(spark, table(spark, sf_dir, "documents"))
