@@ -30,3 +30,25 @@ def _op7(spark, sf_dir):
     from tidemark.llm.packing import pack
 
     return pack(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op2_near_duplicates")
+def _op2(spark, sf_dir):
+    """The component of every document over fingerprints at two or fewer differing bits."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op9_exact_duplicates", """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+WINDOW g AS (PARTITION BY t)""")
+def _op9(spark, sf_dir):
+    """The row that stays for every document's text."""
+    from tidemark.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
