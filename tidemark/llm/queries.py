@@ -52,3 +52,19 @@ def _op9(spark, sf_dir):
     from tidemark.llm.exact_dedup import exact_duplicates
 
     return exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op3_quality_rules")
+def _op3(spark, sf_dir):
+    """Counts, measures and verdict of every document."""
+    from tidemark.llm.fertility import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op4_secret_scan")
+def _op4(spark, sf_dir):
+    """Base and novel secret spans of every document."""
+    from tidemark.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
