@@ -68,3 +68,11 @@ def _op4(spark, sf_dir):
     from tidemark.llm.secrets import scan_secrets
 
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op1_url_filter")
+def _op1(spark, sf_dir):
+    """Rule and verdict of every page's url."""
+    from tidemark.llm.url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"))
