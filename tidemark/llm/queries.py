@@ -76,3 +76,11 @@ def _op1(spark, sf_dir):
     from tidemark.llm.url_filter import filter_urls
 
     return filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op8_toxicity")
+def _op8(spark, sf_dir):
+    """Toxicity of every document, learnt from the labels outside the held-out fold."""
+    from tidemark.llm.toxicity import toxicity
+
+    return toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
