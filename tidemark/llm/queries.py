@@ -84,3 +84,11 @@ def _op8(spark, sf_dir):
     from tidemark.llm.toxicity import toxicity
 
     return toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_main_text")
+def _op5(spark, sf_dir):
+    """Main text of every page."""
+    from tidemark.llm.html_extract import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
