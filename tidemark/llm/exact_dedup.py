@@ -41,12 +41,13 @@ def chunk_identifiers(pieces: DataFrame) -> DataFrame:
     return distinct.select(F.col("hash"), F.col("witness"), F.struct(F.col("hash").alias("h"), number.alias("n")).alias("chunk"))
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=lower_ascii) -> DataFrame:
-    """(row, doc_id, text_sha256, recipe) for every row: the ordered identifiers of the chunks of the normalised text."""
+def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=lower_ascii, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(row, doc_id, text_sha256, recipe) and the columns ``carry`` for every row: the ordered identifiers of the chunks of the
+    normalised text."""
     text = normalise(F.coalesce(F.col(text_col), F.lit("")))
     # the row number is only used once it is written: no later task can give a row another one
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), text.alias("__t"))
-    rows = rows.select("row", "doc_id", F.sha2("__t", 256).alias("text_sha256"),
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), text.alias("__t"), *carry)
+    rows = rows.select("row", "doc_id", *carry, F.sha2("__t", 256).alias("text_sha256"),
                        F.transform(chunks(F.col("__t")), lambda c: F.struct(F.xxhash64(c).alias("hash"), F.unhex(F.sha2(c, 256)).alias("witness"))).alias("parts"))
     rows = materialise(rows, "chunked")
     pieces = rows.select("row", F.posexplode("parts").alias("at", "part")).select("row", "at", "part.hash", "part.witness")
@@ -54,11 +55,12 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nor
     lists = named.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "chunk"))).alias("list"))
     empty = F.array().cast("array<struct<h:bigint,n:int>>")
     return (rows.drop("parts").join(lists, "row", "left")
-            .select("row", "doc_id", "text_sha256", F.coalesce(F.col("list.chunk"), empty).alias("recipe")))
+            .select("row", "doc_id", *carry, "text_sha256", F.coalesce(F.col("list.chunk"), empty).alias("recipe")))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=lower_ascii) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256, n_chunks) for every row, dropped ones too.
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=lower_ascii,
+                     carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256, n_chunks) and the columns ``carry`` for every row, dropped ones too.
 
     Texts are equal when their recipes are; the SHA-256 of the whole text is compared as well. The row with the largest id stays, a
     null id being smaller than any. Of repeated rows with that id exactly one stays. Null text counts as empty, and all empty texts
@@ -66,8 +68,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the shuffle, and the join that hands the kept id to all copies may be split, so a group may hold any share of the rows.
     """
     session(docs.sparkSession)
-    rows = materialise(recipes(docs, id_col, text_col, normalise), "recipes")
+    rows = materialise(recipes(docs, id_col, text_col, normalise, carry), "recipes")
     groups = rows.groupBy("recipe", "text_sha256").agg(F.max(F.struct("doc_id", (-F.col("row")).alias("row"))).alias("keep"), F.count("*").alias("group_size"))
     joined = rows.join(groups, ["recipe", "text_sha256"])
     return joined.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("keep.row") == -rows["row"]).alias("kept"),
-                         "text_sha256", F.size("recipe").alias("n_chunks"))
+                         "text_sha256", F.size("recipe").alias("n_chunks"), *carry)

@@ -92,3 +92,22 @@ def _op5(spark, sf_dir):
     from tidemark.llm.html_extract import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op6_mix_sources")
+def _op6(spark, sf_dir):
+    """Block, window and slot of every document in the source schedule."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.mixing import TICKETS, mix
+
+    sizes = table(spark, sf_dir, "documents").select("doc_id", "source", (F.coalesce(F.length("text"), F.lit(0)) + 1).alias("units"))
+    return mix(sizes, TICKETS, units_col="units").select("doc_id", "source", "units", "__mix.*")
+
+
+@query("pipeline")
+def _pipeline(spark, sf_dir):
+    """The pieces of the corpus that the pipeline makes of ``documents``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

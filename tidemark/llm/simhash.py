@@ -40,10 +40,11 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) for every row; null and empty texts have fingerprint 0."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(rows, lambda r: {"doc_id": r["doc_id"], "fp": [fingerprint(t, width, seed) for t in r["text"]]}, "doc_id bigint, fp bigint")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns ``carry`` for every row; null and empty texts have fingerprint 0."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("__t"), *carry)
+    schema = "doc_id bigint, fp bigint" + "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return map_rows(rows, lambda r: {c: r[c] for c in ("doc_id", *carry)} | {"fp": [fingerprint(t, width, seed) for t in r["__t"]]}, schema)
 
 
 def segment_radii(segments: int, radius: int) -> list[int]:
@@ -93,8 +94,10 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, d
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, seed: int = SEED,
-                    radius: int = RADIUS, segments: int = SEGMENTS, dense: int = DENSE) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest id reachable over fingerprints within ``radius`` bits of each other.
+                    radius: int = RADIUS, segments: int = SEGMENTS, dense: int = DENSE,
+                    carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id, root) and the columns ``carry`` for every row: the smallest id and the smallest fingerprint reachable
+    over fingerprints within ``radius`` bits of each other.
 
     Equal fingerprints are one class, so copies of any number are one node and make no pairs. Null and empty texts share fingerprint
     0 and are linked like any other. Null ids never name a component unless it has no other. Repeated rows stay; an empty table gives
@@ -104,11 +107,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if radius % 2:
         raise ValueError("radius must be an even number of bits")
     session(docs.sparkSession)
-    rows = materialise(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
+    rows = materialise(fingerprints(docs, id_col, text_col, width, seed, carry), "fingerprints")
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     parts = connected_components(near_pairs(classes.select("fp"), radius, segments, dense))
     linked = parts.join(classes, parts["node"] == classes["fp"]).select("node", "root", "least")
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(names, "root").select(F.col("node").alias("fp"), "component_id")
-    named = materialise(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    linked = linked.join(names, "root").select(F.col("node").alias("fp"), "component_id", "root")
+    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return rows.join(materialise(named, "named"), "fp").select("doc_id", "fp", "component_id", "root", *carry)
