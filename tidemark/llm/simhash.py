@@ -69,6 +69,11 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _moved(value: Column, masks: list[int]) -> Column:
+    """``value`` with each mask's bits flipped."""
+    return F.transform(F.array(*(F.lit(_signed(m)) for m in masks)), lambda m: value.bitwiseXOR(m))
+
+
 def near_pairs(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, dense: int = DENSE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints within ``radius`` whose components are those of all such pairs. ``fps``: distinct fp.
 
@@ -78,16 +83,14 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, d
     keys = [_key(fp, i, segments) for i in range(segments)]
     radii = segment_radii(segments, radius)
     entries = fps.select("fp", F.explode(F.array(*(k for (k, _), r in zip(keys, radii, strict=True) if r >= 0))).alias("key"))
-    probes = fps.select("fp", F.explode(F.concat(*(F.transform(F.array(*map(F.lit, ball(w, r))), lambda m, k=k: k.bitwiseXOR(m))
-                                                   for (k, w), r in zip(keys, radii, strict=True) if r >= 0))).alias("key"))
+    probes = fps.select("fp", F.explode(F.concat(*(_moved(k, ball(w, r)) for (k, w), r in zip(keys, radii, strict=True) if r >= 0))).alias("key"))
     crowded = materialise(entries.groupBy("key").count().where(F.col("count") > dense).select("key"), "crowded")
     table = entries.join(crowded, "key", "left_anti").select("key", fp.alias("other"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
     sparse = probes.join(table, "key").where((F.col("fp") > F.col("other")) & (distance <= radius)).select(fp.alias("a"), F.col("other").alias("b"))
     # a probe and its match differ by at most the segment's radius, so both lie in what touches the crowded value
     met = probes.join(crowded, "key", "left_semi").select("fp").distinct()
-    half = ball(BITS, radius // 2)
-    meeting = met.select("fp", F.explode(F.transform(F.array(*(F.lit(_signed(m)) for m in half)), lambda m: fp.bitwiseXOR(m))).alias("point"))
+    meeting = met.select("fp", F.explode(_moved(fp, ball(BITS, radius // 2))).alias("point"))
     stars = (meeting.withColumn("b", F.min("fp").over(Window.partitionBy("point")))  # at most one row for each member of the ball
              .where((F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius)).select(fp.alias("a"), "b"))
     return sparse.union(stars)
