@@ -59,8 +59,9 @@ def phases(blocks: dict[str, int], tickets: dict[str, int]) -> list[tuple[str, i
         ends = {s: (left[s] - 1) // active[s] * size + places[s][(left[s] - 1) % active[s]] + 1 for s in active}
         length = min(ends.values())
         for s in active:
-            out.append((s, number, done[s], start, size, active[s], places[s]))
             ran = length // size * active[s] + sum(p < length % size for p in places[s])
+            if ran:
+                out.append((s, number, done[s], start, size, active[s], places[s]))
             done[s] += ran
             left[s] -= ran
         left = {s: n for s, n in left.items() if n > 0}
