@@ -70,6 +70,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     session(docs.sparkSession)
     rows = materialise(recipes(docs, id_col, text_col, normalise, carry), "recipes")
     groups = rows.groupBy("recipe", "text_sha256").agg(F.max(F.struct("doc_id", (-F.col("row")).alias("row"))).alias("keep"), F.count("*").alias("group_size"))
+    groups = materialise(groups, "groups")  # both sides of the join then come from a plain exchange, which may be split
     joined = rows.join(groups, ["recipe", "text_sha256"])
     return joined.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("keep.row") == -rows["row"]).alias("kept"),
                          "text_sha256", F.size("recipe").alias("n_chunks"), *carry)
