@@ -154,13 +154,3 @@ def test_no_overlap_and_registry(spark):
     with pytest.raises(ValueError):
         register("price", ("anything",))(lambda t: [])
     assert "patterns" in REGISTRY
-
-
-def test_kill_switch_sequence(spark):
-    from tidemark.operators.performance import kill_switch
-
-    equity = [1.0, 0.95, 0.91, 0.84, 0.83, 0.83, 0.83, 0.83, 0.97]
-    df = spark.createDataFrame([("s", date(2024, 1, 5) + timedelta(weeks=i), e) for i, e in enumerate(equity)],
-                               "scenario string, decision_session date, equity double")
-    got = [r.risk_scale for r in kill_switch(df).orderBy("decision_session").collect()]
-    assert got == [1.0, 1.0, 0.5, 0.0, 0.0, 0.0, 0.0, 0.5, 1.0]

@@ -49,12 +49,17 @@ class Trailing:
     """
 
     def __init__(self, by="ticker", order="session"):
-        by = [by] if isinstance(by, str) else list(by)
-        self.window = Window.partitionBy(*by).orderBy(*([order] if isinstance(order, str) else order))
+        by, order = ([x] if isinstance(x, str) else list(x) for x in (by, order))
+        self.window = Window.partitionBy(*by).orderBy(*order)
+        self.sql = f"partition by {', '.join(f'`{c}`' for c in by)} order by {', '.join(f'`{c}`' for c in order)}"
 
     def lag(self, c, n: int = 1) -> Column:
         return F.lag(col(c), n).over(self.window)
 
+    def lag_known(self, name: str, n: int = 1) -> Column:
+        """The ``n``-th non-null value before a row."""
+        return F.expr(f"lag(`{name}`, {n}) ignore nulls over ({self.sql})")
+
     def frame(self, rows: int, shift: int = 0):
         return self.window.rowsBetween(-(rows - 1) - shift, -shift)
 

@@ -1,18 +1,15 @@
-"""Exact ranks and quantiles within groups, also for groups too large for one task.
+"""Exact ranks and quantiles within groups of any size.
 
-Small groups use one window. For large groups the values are counted first (copies collapse on the map side), the
-distinct values are cut into ordered buckets by their leading bits, and running totals are taken per bucket and over
-the few buckets of a group. No step then holds a whole group in one task, and the result is the same.
+Values are counted first (copies collapse on the map side), the distinct values are cut into ordered buckets by their
+leading bits, and running totals are taken per bucket and over the few buckets of a group. No step holds a whole group
+in one task. Callers who know their groups to be small may ask for one window instead (``method="window"``); nothing
+is decided by counting rows. NaN and infinities are no values: both methods treat them as null.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import col
-from tidemark.functions.sizes import largest_group
-
-#: Rows of one group above which ranks are computed in buckets.
-MAX_WINDOW_ROWS = 2_000_000
+from tidemark.functions.exprs import col, finite
 
 
 def average_rank(value, by: list) -> Column:
@@ -55,14 +52,14 @@ def value_positions(df: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
-def _use_window(df: DataFrame, by: list[str], method: str) -> bool:
-    if method not in ("auto", "window", "buckets"):
+def _use_window(method: str) -> bool:
+    if method not in ("window", "buckets"):
         raise ValueError(method)
-    return method == "window" or (method == "auto" and largest_group(df, by) <= MAX_WINDOW_ROWS)
+    return method == "window"
 
 
 def rank_pct(df: DataFrame, by: list[str], values: list[str], *, keys: list[str] | None = None,
-             method: str = "auto", suffix: str = "") -> DataFrame:
+             method: str = "buckets", suffix: str = "") -> DataFrame:
     """Percentile rank of each value column in its group: average rank over the non-null count.
 
     ``keys`` must identify a row (default: the group and the ticker); many columns, or large groups, are ranked on
@@ -70,10 +67,7 @@ def rank_pct(df: DataFrame, by: list[str], values: list[str], *, keys: list[str]
     """
     if not values:
         return df
-    windowed = _use_window(df, by, method)
-    if windowed and len(values) <= 4:
-        return df.withColumns({
-            v + suffix: average_rank(v, by) / F.count(v).over(Window.partitionBy(*by)) for v in values})
+    windowed = _use_window(method)
     return _rank_melted(df, by, values, keys or [*by, "ticker"], suffix, windowed)
 
 
@@ -85,7 +79,7 @@ def _rank_melted(df: DataFrame, by: list[str], values: list[str], keys: list[str
     """
     ids = list(dict.fromkeys([*by, *keys]))
     rest = [c for c in df.columns if c not in ids and (suffix or c not in values)]
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(v).cast("double").alias("v")) for i, v in enumerate(values)])
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), finite(F.col(v).cast("double")).alias("v")) for i, v in enumerate(values)])
     long = df.select(*ids, F.struct(F.lit(0).alias("_"), *rest).alias("_rest"), F.explode(pairs).alias("p")).select(
         *ids, F.when(F.col("p.i") == 0, F.col("_rest")).alias("_rest"), F.col("p.i").alias("_col"),
         F.col("p.v").alias("_v"))
@@ -103,9 +97,10 @@ def _rank_melted(df: DataFrame, by: list[str], values: list[str], keys: list[str
                        *[F.col(f"_p{i}").alias(v + suffix) for i, v in enumerate(values)])
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], *, method: str = "auto") -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], *, method: str = "buckets") -> DataFrame:
     """Linear-interpolated quantiles ``q`` (array) and the non-null count ``n`` of each group, exact at any size."""
-    if _use_window(df, by, method):
+    df = df.select(*by, finite(F.col(value).cast("double")).alias(value))
+    if _use_window(method):
         return df.groupBy(*by).agg(
             F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("q"), F.count(value).alias("n"))
     places = value_positions(df, by, value)

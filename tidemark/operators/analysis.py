@@ -32,10 +32,11 @@ def signed_score() -> Column:
     )
 
 
-def repair(df: DataFrame) -> DataFrame:
+def repair(df: DataFrame, *, rationale_chars: int | None = None) -> DataFrame:
     """Clamp and default analysis fields that arrive as free-form text or numbers, so one bad field costs one field."""
     number = lambda c: finite(F.expr(f"try_cast(`{c}` as double)"))
     known = lambda c, allowed, default: F.when(F.col(c).isin(*allowed), F.col(c)).otherwise(default)
+    why = F.coalesce("rationale", F.lit("")) if "rationale" in df.columns else F.lit("")
     fixes = {
         "event_type": known("event_type", EVENT_TYPES, "other"),
         "sentiment": F.coalesce(clip(number("sentiment"), -1.0, 1.0), F.lit(0.0)),
@@ -43,7 +44,7 @@ def repair(df: DataFrame) -> DataFrame:
         "magnitude": F.coalesce(clip(F.bround(number("magnitude")), 0.0, 3.0), F.lit(0.0)).cast("int"),
         "numeric_surprise_pct": clip(number("numeric_surprise_pct"), -500.0, 500.0),
         "expected_direction": known("expected_direction", ("up", "down", "neutral"), "neutral"),
-        "rationale": F.substring(F.coalesce("rationale", F.lit("")), 1, 500),
+        "rationale": why if rationale_chars is None else F.substring(why, 1, rationale_chars),
     }
     return df.withColumns({c: e for c, e in fixes.items() if c in df.columns})
 
@@ -109,7 +110,7 @@ def flatten_records(records: DataFrame) -> DataFrame:
     return flat.withColumn("signed_score", signed_score())
 
 
-def with_python_analyzer(articles: DataFrame, analyse_batch: Callable, fields: list[str] | None = None) -> DataFrame:
+def with_batch_analyzer(articles: DataFrame, analyse_batch: Callable, fields: list[str] | None = None) -> DataFrame:
     """Plug in an analyzer that takes a pandas batch of articles and returns a frame of analysis columns.
 
     Batches stream through the executors over Arrow; the analyzer must return one row per article, in order.

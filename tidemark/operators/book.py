@@ -97,7 +97,7 @@ def return_history(book: DataFrame, weekly: DataFrame, *, lookback: int = 104, b
         "_i", F.row_number().over(Window.orderBy(S.SESSION)))  # one row per week
     dates = book.select(S.DECISION).distinct()
     last = weeks.select(F.col(S.SESSION).alias("_s"), "_i")
-    spans = dates.join(F.broadcast(last), F.col("_s") <= F.col(S.DECISION)).groupBy(S.DECISION).agg(F.max("_i").alias("_i"))
+    spans = dates.join(last, F.col("_s") <= F.col(S.DECISION)).groupBy(S.DECISION).agg(F.max("_i").alias("_i"))
     spans = spans.select(S.DECISION, F.explode(F.sequence(F.greatest(F.lit(1), F.col("_i") - (lookback - 1)), F.col("_i"))).alias("_i"))
     spans = spans.join(weeks, "_i").drop("_i")
     keys = list(dict.fromkeys([*by, S.DECISION]))

@@ -125,7 +125,3 @@ def apply_delisting_returns(equity: DataFrame, delistings: DataFrame, weights: D
         .withColumn("equity", F.col("equity") * F.product(1.0 + F.coalesce("impact", F.lit(0.0))).over(running))
         .drop("impact")
     )
-
-
-def log_return(t: Trailing) -> Column:
-    return ln_pos("close") - t.lag(ln_pos("close"))

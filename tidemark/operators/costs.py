@@ -96,7 +96,7 @@ def rebalance_cost(books: DataFrame, weeks: DataFrame, stats: DataFrame, fees: F
     from pyspark.sql import Window
 
     order = weeks.select(S.DECISION).distinct().withColumn("_next", F.lead(S.DECISION).over(Window.orderBy(S.DECISION)))
-    seen = books.join(F.broadcast(order), S.DECISION).select(  # one row per week
+    seen = books.join(order, S.DECISION).select(
         *by, S.TICKER, F.explode(F.array(
             F.struct(F.col(S.DECISION).alias("d"), F.col("weight").alias("now"), F.lit(0.0).alias("before")),
             F.struct(F.col("_next").alias("d"), F.lit(0.0).alias("now"), F.col("weight").alias("before")))).alias("x"))

@@ -1,41 +1,46 @@
 """Transforms within one date: ranks, z-scores, neutralisation."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
 from tidemark.functions import ranks
-from tidemark.functions.exprs import div
-from tidemark.functions.sizes import largest_group
+from tidemark.functions.exprs import div, finite
 
 
 def cross_sectional_rank(df: DataFrame, columns: list[str], *, date: str = S.DECISION, min_names: int = 20,
-                         method: str = "auto") -> DataFrame:
+                         method: str = "buckets") -> DataFrame:
     """Replace each column by its percentile rank within the date, centred on zero; null on thin dates."""
-    sized = df.withColumn("_names", F.count("*").over(Window.partitionBy(date)))
+    sizes = df.groupBy(F.col(date).alias("_date")).agg(F.count("*").alias("_names"))
+    sized = df.join(sizes, F.col(date).eqNullSafe(F.col("_date"))).drop("_date")
     ranked = ranks.rank_pct(sized, [date], columns, method=method)
     enough = F.col("_names") >= min_names
     return ranked.withColumns({c: F.when(enough, F.col(c) - 0.5) for c in columns}).drop("_names").select(*df.columns)
 
 
 def cross_sectional_zscore(df: DataFrame, columns: list[str], *, date: str = S.DECISION, winsorize: float = 0.02,
-                           min_names: int = 20, method: str = "auto") -> DataFrame:
+                           min_names: int = 20, method: str = "buckets") -> DataFrame:
     """Clip each column to its date's quantiles, then centre and scale; null below ``min_names`` values.
 
-    Quantiles, mean and deviation are aggregates (combined before the shuffle); one row per date joins back.
+    Quantiles of all columns come from one melted table, mean and deviation from one aggregate; one row per date joins
+    back for each.
     """
-    if method == "auto":
-        method = "window" if largest_group(df, [date]) <= ranks.MAX_WINDOW_ROWS else "buckets"
-    out = df
-    for c in columns:
-        cut = df.select(date, c)
-        if winsorize > 0:
-            q = ranks.quantiles(cut, [date], c, [winsorize, 1.0 - winsorize], method=method)
-            out = out.join(q.select(date, F.col("q")[0].alias("_lo"), F.col("q")[1].alias("_hi")), date, "left")
-            out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.greatest(F.least(c, "_hi"), "_lo"))).drop("_lo", "_hi")
-        stats = out.groupBy(date).agg(F.avg(c).alias("_m"), F.stddev_samp(c).alias("_s"), F.count(c).alias("_n"))
-        out = out.join(stats, date, "left").withColumn(
-            c, F.when(F.col("_n") >= min_names, div(F.col(c) - F.col("_m"), "_s"))).drop("_m", "_s", "_n")
+    if not columns:
+        return df
+    out = df.withColumns({c: finite(F.col(c).cast("double")) for c in columns})
+    same = lambda: F.col(date).eqNullSafe(F.col("_date"))
+    if winsorize > 0:
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(columns)])
+        long = out.select(F.col(date).alias("_date"), F.explode(pairs).alias("p")).select("_date", F.col("p.i").alias("_col"), F.col("p.v").alias("_v"))
+        q = ranks.quantiles(long, ["_date", "_col"], "_v", [winsorize, 1.0 - winsorize], method=method)
+        cuts = q.groupBy("_date").agg(*[F.max(F.when(F.col("_col") == i, F.col("q"))).alias(f"_q{i}") for i in range(len(columns))])
+        out = out.join(cuts, same(), "left").withColumns({
+            c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_q{i}")[1]), F.col(f"_q{i}")[0])) for i, c in enumerate(columns)})
+        out = out.drop("_date", *[f"_q{i}" for i in range(len(columns))])
+    stats = out.groupBy(F.col(date).alias("_date")).agg(*[x for i, c in enumerate(columns) for x in (
+        F.avg(c).alias(f"_m{i}"), F.stddev_samp(c).alias(f"_s{i}"), F.count(c).alias(f"_n{i}"))])
+    out = out.join(stats, same(), "left").withColumns({
+        c: F.when(F.col(f"_n{i}") >= min_names, div(F.col(c) - F.col(f"_m{i}"), f"_s{i}")) for i, c in enumerate(columns)})
     return out.select(*df.columns)
 
 

@@ -2,7 +2,7 @@
 
 Identical texts are folded into one *story* per (ticker, n-gram set) first, so a story republished a million times is
 compared once. Stories meet only inside time buckets as wide as the window (an equi-join on ticker and bucket), and
-what a bucket needs to know of a story is its first and last appearance.
+what a bucket needs to know of a story is its first and last appearance. Whole bodies are compared.
 """
 
 from collections.abc import Iterator
@@ -15,19 +15,17 @@ from tidemark import schemas as S
 from tidemark.functions import text
 from tidemark.session import materialise
 
-BODY_CHARS = 600  # fixed value: the part of a body that enters the comparison
+def signature(title="title", body="body", n: int = 5, body_chars: int | None = None) -> Column:
+    """Sorted hashes of the distinct character n-grams of title and body, or of the body's first ``body_chars``."""
+    part = F.col(body) if body_chars is None else F.substring(body, 1, body_chars)
+    compared = text.normalise_text(F.concat(F.col(title), F.lit(" "), part))
+    return F.array_sort(F.transform(text.char_ngrams(compared, n), lambda g: F.xxhash64(g)))
 
 
-def signature(title="title", body="body", n: int = 5) -> Column:
-    """Sorted hashes of the distinct character n-grams of title and opening."""
-    opening = text.normalise_text(F.concat(F.col(title), F.lit(" "), F.substring(body, 1, BODY_CHARS)))
-    return F.array_sort(F.transform(text.char_ngrams(opening, n), lambda g: F.xxhash64(g)))
-
-
-def _occurrences(articles: DataFrame, hours: float, id_col: str) -> DataFrame:
-    """(id, ticker, at in seconds, story, bucket) plus the n-gram hashes."""
+def _occurrences(articles: DataFrame, hours: float, id_col: str, body_chars: int | None, *more: str) -> DataFrame:
+    """(id, ticker, at in seconds, story, bucket) plus the n-gram hashes and the columns ``more``."""
     at = F.unix_micros(S.AVAILABLE_AT) / F.lit(1e6)
-    out = articles.select(F.col(id_col).alias("_id"), S.TICKER, at.alias("_at"), signature().alias("_grams"))
+    out = articles.select(F.col(id_col).alias("_id"), S.TICKER, at.alias("_at"), signature(body_chars=body_chars).alias("_grams"), *more)
     out = out.withColumn("_story", F.xxhash64("_grams")).withColumn(
         "_bucket", F.floor(F.col("_at") / F.lit(hours * 3600.0)).cast("long"))
     return materialise(out, "signatures")  # costly to compute and read several times below
@@ -62,14 +60,14 @@ def _salted(left: DataFrame, right: DataFrame) -> DataFrame:
     return spread.join(every, [S.TICKER, "_bucket", "_salt"]).drop("_salt")
 
 
-def novelty_scores(articles: DataFrame, *, lookback_days: float = 7.0, id_col: str = "content_hash") -> DataFrame:
+def novelty_scores(articles: DataFrame, *, lookback_days: float = 7.0, id_col: str = "content_hash", body_chars: int | None = None) -> DataFrame:
     """(id, ticker, available_at, novelty): 1 less the largest overlap with the ticker's earlier coverage.
 
     An article whose story already appeared inside the look-back scores 0 without a comparison; only the first of a
     run of copies is compared with other stories.
     """
     span = lookback_days * 86400.0
-    occ = _occurrences(articles, lookback_days * 24.0, id_col)
+    occ = _occurrences(articles, lookback_days * 24.0, id_col, body_chars)
     stories = _stories(occ)
     me = F.struct("_at", "_id")
     earlier = F.when(F.col("_same"), F.col("_first2") < me).otherwise(F.col("_last2") >= F.col("_at") - span)
@@ -89,20 +87,42 @@ def novelty_scores(articles: DataFrame, *, lookback_days: float = 7.0, id_col: s
         F.round(F.col("_at") * 1e6).cast("long")).alias(S.AVAILABLE_AT), F.greatest(F.lit(0.0), 1.0 - best).alias("novelty"))
 
 
+def _rare_first(stories: DataFrame, threshold: float) -> DataFrame:
+    """(ticker, story, gram) for the grams of a story that any other story must share one of to overlap by ``threshold``.
+
+    With all grams in one order, two sets that overlap enough share one among their first ``n - ceil(t n) + 1``. Rare
+    grams come first, so few stories meet in one.
+    """
+    grams = stories.select(S.TICKER, "_story", F.explode("_grams").alias("_gram"))
+    seen = grams.groupBy(S.TICKER, "_gram").agg(F.count("*").alias("_uses"))
+    ordered = grams.join(seen, [S.TICKER, "_gram"]).groupBy(S.TICKER, "_story").agg(
+        F.sort_array(F.collect_list(F.struct("_uses", "_gram"))).alias("_o"))  # the grams of one story
+    n = F.size("_o")
+    first = F.slice("_o", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
+    return ordered.select(S.TICKER, "_story", F.explode(first).alias("g")).select(S.TICKER, "_story", F.col("g._gram").alias("_gram"))
+
+
 def similar_stories(occ: DataFrame, threshold: float) -> DataFrame:
-    """(ticker, story, story2) for distinct stories that come within reach of each other and overlap enough.
+    """(ticker, story, story2), both ways, for distinct stories that come within reach of each other and overlap enough.
 
-    Sizes alone rule out most pairs: an overlap of ``t`` needs the smaller set to be at least ``t`` of the larger.
+    Candidates share one of their rare grams and a bucket, and their sizes allow the overlap; only these are compared.
     """
-    stories = _stories(occ).filter(F.size("_grams") > 0)
-    a, b = F.size("_grams"), F.size("_grams2")
-    pairs = _salted(stories, _reachable(stories)).filter(
-        (F.col("_story") != F.col("_story2")) & (F.least(a, b) >= threshold * F.greatest(a, b)))
-    close = pairs.filter(text.jaccard("_grams", "_grams2") >= threshold)
+    stories = materialise(_stories(occ).filter(F.size("_grams") > 0), "stories")
+    whole = stories.groupBy(S.TICKER, "_story").agg(F.first("_grams").alias("_grams"))
+    rare = materialise(_rare_first(whole, threshold), "rare")
+    mine = stories.select(S.TICKER, "_bucket", "_story", F.size("_grams").alias("_n")).join(rare, [S.TICKER, "_story"])
+    other = _reachable(stories.select(S.TICKER, "_bucket", "_story", "_grams", "_first", "_last")).select(
+        S.TICKER, "_bucket", "_story2", F.size("_grams2").alias("_n2"))
+    other = other.join(rare.select(S.TICKER, F.col("_story").alias("_story2"), "_gram"), [S.TICKER, "_story2"])
+    met = mine.join(other, [S.TICKER, "_bucket", "_gram"]).filter(
+        (F.col("_story") != F.col("_story2")) & (F.least("_n", "_n2") >= threshold * F.greatest("_n", "_n2")))
+    pairs = met.select(S.TICKER, F.least("_story", "_story2").alias("_story"), F.greatest("_story", "_story2").alias("_story2")).distinct()
+    again = whole.select(S.TICKER, F.col("_story").alias("_story2"), F.col("_grams").alias("_grams2"))
+    close = pairs.join(whole, [S.TICKER, "_story"]).join(again, [S.TICKER, "_story2"]).filter(text.jaccard("_grams", "_grams2") >= threshold)
     both = F.array(F.struct(F.col("_story").alias("s"), F.col("_story2").alias("o")),
                    F.struct(F.col("_story2").alias("s"), F.col("_story").alias("o")))
     return close.select(S.TICKER, F.explode(both).alias("p")).select(
-        S.TICKER, F.col("p.s").alias("_story"), F.col("p.o").alias("_story2")).distinct()
+        S.TICKER, F.col("p.s").alias("_story"), F.col("p.o").alias("_story2"))
 
 
 def _clusters(edges: DataFrame) -> DataFrame:
@@ -124,41 +144,37 @@ def _clusters(edges: DataFrame) -> DataFrame:
 
 
 def deduplicate(articles: DataFrame, *, threshold: float = 0.60, window_hours: float = 72.0,
-                id_col: str = "content_hash") -> DataFrame:
+                id_col: str = "content_hash", body_chars: int | None = None) -> DataFrame:
     """Keep the earliest of near-duplicates: an article goes if an earlier *kept* one is close in time and text.
 
+    Rows are told apart by a number of their own, so of rows with the same id, ticker and instant the first stays.
+
     Only articles with a similar neighbour need the ordered pass. It runs per run of coverage: one cluster of similar
     stories, cut wherever nothing of it appears for longer than the window. The pass streams sorted rows and holds the
     last kept time of each story only, so a run of any length fits.
     """
-    occ = _occurrences(articles, window_hours, id_col).withColumn("_key", F.struct("_id", "_at"))
+    numbered = materialise(articles.withColumn("_number", F.monotonically_increasing_id()), "numbered")  # fixed once written
+    occ = _occurrences(numbered, window_hours, id_col, body_chars, "_number")
     edges = materialise(similar_stories(occ, threshold), "similar")
     clusters = _clusters(edges)
     copies = occ.groupBy(S.TICKER, "_story").agg(F.count("*").alias("_n"), F.max(F.size("_grams")).alias("_size"))
     linked = edges.groupBy(S.TICKER, "_story").agg(F.collect_set("_story2").alias("_near"))
     involved = (
-        occ.select("_id", S.TICKER, "_at", "_story")
+        occ.select("_id", S.TICKER, "_at", "_story", "_number")
         .join(copies, [S.TICKER, "_story"]).join(linked, [S.TICKER, "_story"], "left")
         .filter("_size > 0 and (_n > 1 or _near is not null)")
         .join(clusters, [S.TICKER, "_story"], "left")
         .withColumn("_cluster", F.coalesce("_cluster", "_story"))
         .withColumn("_near", F.array_append(F.coalesce("_near", F.array().cast("array<bigint>")), F.col("_story")))
     )
-    w = Window.partitionBy(S.TICKER, "_cluster").orderBy("_at", "_id")
+    w = Window.partitionBy(S.TICKER, "_cluster").orderBy("_at", "_id", "_number")
     gap = F.coalesce(F.col("_at") - F.lag("_at").over(w) > window_hours * 3600.0, F.lit(False)).cast("int")
     runs = involved.withColumn("_gap", gap).withColumn(
         "_run", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     group = [S.TICKER, "_cluster", "_run"]
-    ordered = runs.select(*group, "_at", "_id", "_story", "_near").repartition(*group).sortWithinPartitions(*group, "_at", "_id")
-    dropped = ordered.mapInPandas(_drop_close(window_hours * 3600.0), _dropped_schema(articles, id_col))
-    rows = articles.withColumn("_at", F.unix_micros(S.AVAILABLE_AT) / F.lit(1e6))
-    out = rows.join(dropped, (rows[id_col] == dropped["_id"]) & (rows[S.TICKER] == dropped["_ticker"])
-                    & (rows["_at"] == dropped["_when"]), "left_anti")
-    return out.drop("_at")
-
-
-def _dropped_schema(articles: DataFrame, id_col: str) -> str:
-    return f"_ticker string, _id {dict(articles.dtypes)[id_col]}, _when double"
+    ordered = runs.select(*group, "_at", "_id", "_story", "_near", "_number").repartition(*group).sortWithinPartitions(*group, "_at", "_id", "_number")
+    dropped = ordered.drop("_id").mapInPandas(_drop_close(window_hours * 3600.0), "_gone bigint")
+    return numbered.join(dropped, numbered["_number"] == dropped["_gone"], "left_anti").drop("_number")
 
 
 def _drop_close(span: float):
@@ -176,8 +192,7 @@ def _drop_close(span: float):
                     gone.append(i)
                 else:
                     kept[story] = at
-            part = batch.iloc[gone]
-            yield pd.DataFrame({"_ticker": part["ticker"], "_id": part["_id"], "_when": part["_at"]})
+            yield pd.DataFrame({"_gone": batch["_number"].iloc[gone]})
 
     return run
 

@@ -38,10 +38,10 @@ def price_features(bars: DataFrame, sessions: DataFrame | None = None,
         raise ValueError(f"blocks declare a feature twice: {sorted(set(clash))}")
     own = select_blocks([b for b in blocks if b != MARKET]) if set(blocks) != {MARKET} else []
     out = apply_blocks(bars, own).select(*keys, *[o for b in own for o in b.outputs])
-    # One row per session of the calendar, so both session tables below are safe to broadcast at any number of names.
-    wanted = F.broadcast(sessions.select(S.SESSION).distinct()) if sessions is not None else None
+    # One row per session of the calendar: adaptive execution broadcasts both session tables where they are small.
+    wanted = sessions.select(S.SESSION).distinct() if sessions is not None else None
     if wanted is not None:
         out = out.join(wanted, S.SESSION, "left_semi")
     if MARKET in blocks:
-        out = out.join(F.broadcast(market.market_features(bars)), S.SESSION, "left")
+        out = out.join(market.market_features(bars), S.SESSION, "left")
     return out.select(*keys, *outputs(blocks))

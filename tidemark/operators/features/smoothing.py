@@ -4,7 +4,7 @@
 holds the contribution of its last ``2**j`` inputs, and one ``lag`` by ``2**j`` rows doubles that. Nine or so steps
 reach the point where older inputs weigh less than a rounding error. All series of a level share one window operator,
 and every level keeps the shuffle and sort of the other trailing features. (The closed form with ``(1-a)**-t`` would
-overflow, and a per-ticker Python loop would push all daily rows through Arrow.)
+overflow, and a loop over the rows of a ticker would push all daily rows out of the JVM.)
 """
 
 import math
@@ -28,7 +28,7 @@ class Smoother:
 
     ``series`` maps a name to (input column, alpha, least count, gapless). The result is column ``_<name>``, null until
     ``least`` inputs were seen. A gap keeps the last value while the weight of the past fades, so a series that may
-    have gaps carries its coefficient along as a second column.
+    have gaps carries its coefficient along as a second column and steps from value to value, however long the gap.
     """
 
     def __init__(self, t: Trailing, series: dict[str, tuple[str, float, int, bool]]):
@@ -49,28 +49,29 @@ class Smoother:
             waited = F.col("_row") - t.lag(f"_{n}_at")
             past = F.pow(F.lit(1.0 - alpha), waited)
             starts = x.isNotNull() & (k == 1)
-            first[f"_{n}_a0"] = F.when(starts, 0.0).when(x.isNull(), 1.0).otherwise(past / (past + alpha))
-            first[f"_{n}_b0"] = F.when(starts, x).when(x.isNull(), 0.0).otherwise(alpha * x / (past + alpha))
+            first[f"_{n}_a0"] = F.when(x.isNotNull(), F.when(starts, 0.0).otherwise(past / (past + alpha)))
+            first[f"_{n}_b0"] = F.when(x.isNotNull(), F.when(starts, x).otherwise(alpha * x / (past + alpha)))
         out.append(first)
         for j in range(max(_steps(a) for _, a, _, _ in self.series.values())):
             level: Level = {}
             for n, (_, alpha, _, gapless) in self.series.items():
-                if j >= _steps(alpha) + (0 if gapless else 3):
+                if j >= _steps(alpha):
                     continue
-                back = F.coalesce(t.lag(f"_{n}_b{j}", 2**j), F.lit(0.0))
+                lag = t.lag if gapless else t.lag_known  # over a gap, steps count values and not rows
+                back = F.coalesce(lag(f"_{n}_b{j}", 2**j), F.lit(0.0))
                 factor = F.lit((1.0 - alpha) ** (2**j)) if gapless else F.col(f"_{n}_a{j}")
                 level[f"_{n}_b{j + 1}"] = F.col(f"_{n}_b{j}") + factor * back
                 if not gapless:
-                    level[f"_{n}_a{j + 1}"] = factor * F.coalesce(t.lag(f"_{n}_a{j}", 2**j), F.lit(0.0))
+                    level[f"_{n}_a{j + 1}"] = factor * F.coalesce(lag(f"_{n}_a{j}", 2**j), F.lit(0.0))
             out.append(level)
         return out
 
     def values(self) -> Level:
-        depth = max(_steps(a) for _, a, _, _ in self.series.values())
-        done = lambda a, gapless: min(depth, _steps(a) + (0 if gapless else 3))
+        last = lambda c: self.t.running(lambda x: F.last(x, ignorenulls=True), c)
+        end = {n: f"_{n}_b{_steps(a)}" for n, (_, a, _, _) in self.series.items()}
         return {
-            f"_{n}": F.when(F.col(f"_{n}_k") >= least, F.col(f"_{n}_b{done(a, gapless)}"))
-            for n, (_, a, least, gapless) in self.series.items()
+            f"_{n}": F.when(F.col(f"_{n}_k") >= least, F.col(end[n]) if gapless else last(end[n]))
+            for n, (_, _, least, gapless) in self.series.items()
         }
 
 

@@ -104,7 +104,7 @@ def shuffle_labels(train: DataFrame, fold: int, seed: int = 7) -> DataFrame:
 
 
 def blend_scores(df: DataFrame, *, price: str = "price_score", news: str = "news_score", has_news: str = "has_news",
-                 price_weight: float = 0.9, news_weight: float = 0.1, by=(S.DECISION,), method: str = "auto") -> DataFrame:
+                 price_weight: float = 0.9, news_weight: float = 0.1, by=(S.DECISION,), method: str = "buckets") -> DataFrame:
     """Rank both scores and mix them; a row without news keeps its whole price rank."""
     a, b = price_weight / (price_weight + news_weight), news_weight / (price_weight + news_weight)
     masked = df.withColumn("_n", F.when(F.col(has_news), F.col(news))).withColumn("_p", F.col(price))

@@ -31,7 +31,7 @@ def visible_articles(analyses: DataFrame, grid: DataFrame, lookback_days: int =
     cutoffs = grid.select(S.DECISION, S.DECISION_TS, F.col(S.DECISION_TS).cast("date").alias("_day"))
     day = F.col(S.AVAILABLE_AT).cast("date")
     spread = analyses.withColumn("_day", F.explode(F.sequence(day, F.date_add(day, lookback_days))))
-    return spread.join(F.broadcast(cutoffs), "_day").filter(  # one row per decision
+    return spread.join(cutoffs, "_day").filter(
         (F.col(S.AVAILABLE_AT) < F.col(S.DECISION_TS))
         & (F.col(S.AVAILABLE_AT) >= F.col(S.DECISION_TS) - F.make_interval(days=F.lit(lookback_days)))).drop("_day")
 

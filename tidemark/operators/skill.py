@@ -10,7 +10,7 @@ from tidemark.functions.exprs import div
 
 
 def periodic_ic(df: DataFrame, *, prediction: str = S.PREDICTION, label: str = S.LABEL, by=(S.DECISION,), min_names: int = 10,
-                min_distinct: int = 2, method: str = "auto") -> DataFrame:
+                min_distinct: int = 2, method: str = "buckets") -> DataFrame:
     """Spearman correlation of prediction and label within each group; thin or constant groups drop out."""
     keys = list(by)
     pairs = df.filter(F.col(prediction).isNotNull() & F.col(label).isNotNull()).select(
@@ -51,7 +51,7 @@ def ic_verdict(stats: DataFrame) -> DataFrame:
 
 
 def quantile_returns(df: DataFrame, *, n: int = 10, prediction: str = S.PREDICTION, label: str = S.LABEL, date: str = S.DECISION,
-                     method: str = "auto") -> DataFrame:
+                     method: str = "buckets") -> DataFrame:
     """Mean label per prediction bucket and date, then over dates. Edges are interpolated quantiles of the date."""
     pairs = df.filter(F.col(prediction).isNotNull() & F.col(label).isNotNull()).select(
         date, F.col(prediction).alias("_p"), F.col(label).alias("_l"))

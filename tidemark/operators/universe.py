@@ -12,8 +12,8 @@ DEFAULT_DELISTING_RETURN = -0.30
 SURVIVORSHIP_EXIT_SHARE = 0.05
 
 
-def members_asof(universe: DataFrame, asof: date | str, max_names: int | None = 500) -> DataFrame:
-    """Members on a date, the first ``max_names`` in file order. The cap is part of the definition of a universe."""
+def members_asof(universe: DataFrame, asof: date | str, max_names: int | None = None) -> DataFrame:
+    """Members on a date; only where a universe is defined as its first names in file order, those ``max_names``."""
     day = F.lit(asof).cast("date")
     live = universe.filter(
         (F.col("start_date").isNull() | (F.col("start_date") <= day))

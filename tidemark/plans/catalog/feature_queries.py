@@ -103,7 +103,7 @@ SELECT ticker, decision_session, {rank_sql('mom_4w')}, {rank_sql('reversal_1w')}
                                        min_names=MIN_NAMES, method=method)
 
 
-_rank_query("x1_cross_sectional_rank", "auto")
+_rank_query("x1_cross_sectional_rank", "window")
 _rank_query("x1_cross_sectional_rank_bucketed", "buckets")
 
 
@@ -119,7 +119,7 @@ SELECT ticker, decision_session, CASE WHEN count(v) OVER p >= 5 THEN (v - avg(v)
         return xs.cross_sectional_zscore(base, ["mom_4w"], min_names=5, method=method)
 
 
-_zscore_query("x2_cross_sectional_zscore", "auto")
+_zscore_query("x2_cross_sectional_zscore", "window")
 _zscore_query("x2_cross_sectional_zscore_bucketed", "buckets")
 
 

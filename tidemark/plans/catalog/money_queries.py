@@ -34,7 +34,7 @@ def predictions(spark, d):
     p = raw.filter("prediction is not null").join(labels.build_labels(bars, grid), ["decision_session", "ticker"], "left")
     index = raw.filter("prediction is not null").select("decision_session").distinct().join(weeks, "decision_session").select(
         "decision_session", ((F.row_number().over(Window.orderBy("decision_session")) - 1) / 8).cast("int").alias("fold"))
-    return p.join(F.broadcast(index), "decision_session"), bars, grid
+    return p.join(index, "decision_session"), bars, grid
 
 
 @query("v1_periodic_ic", B.with_(*BASE) + " SELECT * FROM ic", "ic")
@@ -285,7 +285,7 @@ def performance_report(spark, d):
     b, bars, grid, stats = sized(spark, d)
     forward = labels.forward_returns(bars, grid)
     c = costs.rebalance_cost(b.select("decision_session", "ticker", "weight"), grid, stats, FEES)
-    ledger = performance.weekly_ledger(b, forward, c).withColumn("scenario", F.lit("book"))
+    ledger = performance.weekly_ledger(b, forward, c, weeks=b.select("decision_session").union(c.select("decision_session"))).withColumn("scenario", F.lit("book"))
     hold = performance.benchmark(b, forward).withColumn("scenario", F.lit("hold"))
     return performance.metrics(ledger.unionByName(hold, allowMissingColumns=True))
 
@@ -341,7 +341,7 @@ def two_books(spark, d):
 
     b = materialise(book.equal_weights(book.select_names(scores(spark, d)[0])).select("decision_session", "ticker", "weight"), "book")
     order = b.select("decision_session").distinct().withColumn("_next", F.lead("decision_session").over(Window.orderBy("decision_session")))
-    prev = b.join(F.broadcast(order), "decision_session").filter("_next is not null").select(  # one row per week
+    prev = b.join(order, "decision_session").filter("_next is not null").select(  # one row per week
         F.col("_next").alias("decision_session"), "ticker", "weight")
     return b, prev
 
@@ -374,12 +374,3 @@ def _(spark, d):
 SELECT decision_session, sum(abs(w - pw)) / 2 AS turnover FROM sides GROUP BY 1""", "turnover")
 def _(spark, d):
     return performance.turnover(two_books(spark, d)[0])
-
-
-@query("p11_kill_switch")
-def _(spark, d):
-    """Risk scale along the equity of holding everything (checked by hand in the tests)."""
-    bars, _, grid = FQ.setup(spark, d)
-    f = labels.forward_returns(bars, grid)
-    hold = performance.benchmark(f, f).withColumn("scenario", F.lit("hold"))
-    return performance.kill_switch(performance.equity_path(hold))

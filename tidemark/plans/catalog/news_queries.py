@@ -36,24 +36,28 @@ def _(spark, d):
 
 
 GRAMS = f"""
-normal AS (SELECT *, {norm_sql("title || ' ' || substr(body, 1, 600)")} AS opening FROM arts),
+normal AS (SELECT *, {norm_sql("title || ' ' || body")} AS opening FROM arts),
 grams AS (SELECT *, CASE WHEN length(opening) = 0 THEN [] WHEN length(opening) < 5 THEN [opening] ELSE
-          list_distinct([substr(opening, i, 5) for i in range(1, length(opening) - 3)]) END AS g FROM normal)"""
+          list_distinct([c[i] || c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4] for i in range(1, len(c) - 3)]) END AS g
+          FROM (SELECT *, string_split(opening, '') AS c FROM normal)),
+each AS (SELECT doc_id, ticker, available_at, len(g) AS n, unnest(g) AS x FROM grams)"""
 
 
 @query("n2_char_ngrams", B.with_(ARTICLES, GRAMS) + " SELECT doc_id, len(g)::INTEGER AS n_grams FROM grams")
 def _(spark, d):
-    opening = text.normalise_text(F.concat("title", F.lit(" "), F.substring("body", 1, 600)))
+    opening = text.normalise_text(F.concat("title", F.lit(" "), "body"))
     arts = fx.articles(spark, d).select("doc_id", opening.alias("opening"))
     return arts.select("doc_id", F.size(text.char_ngrams("opening")).alias("n_grams"))
 
 
 @query("n3_jaccard", B.with_(ARTICLES, GRAMS) + """
-SELECT a.doc_id, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE AS overlap
-FROM grams a JOIN grams b ON b.doc_id = a.doc_id + 1 WHERE len(a.g) > 0 AND len(b.g) > 0""", "overlap")
+SELECT a.doc_id, coalesce(any_value(k), 0) / (any_value(len(a.g) + len(b.g)) - coalesce(any_value(k), 0))::DOUBLE AS overlap
+FROM grams a JOIN grams b ON b.doc_id = a.doc_id + 1
+LEFT JOIN (SELECT a.doc_id, count(*) AS k FROM each a JOIN each b ON b.doc_id = a.doc_id + 1 AND a.x = b.x GROUP BY 1) s ON s.doc_id = a.doc_id
+WHERE len(a.g) > 0 AND len(b.g) > 0 GROUP BY a.doc_id""", "overlap")
 def _(spark, d):
     """Overlap of each document with the next one."""
-    opening = text.normalise_text(F.concat("title", F.lit(" "), F.substring("body", 1, 600)))
+    opening = text.normalise_text(F.concat("title", F.lit(" "), "body"))
     g = fx.articles(spark, d).select("doc_id", text.char_ngrams(opening).alias("g")).filter(F.size("g") > 0)
     after = g.select((F.col("doc_id") - 1).alias("doc_id"), F.col("g").alias("h"))
     return g.join(after, "doc_id").select("doc_id", text.jaccard("g", "h").alias("overlap"))
@@ -68,17 +72,23 @@ def _(spark, d):
                     text.cache_key("article_hash", "lexicon", "word-list-v1", "v1").alias("cache_key"))
 
 
-@query("n5_deduplicate")
+@query("n5_deduplicate", B.with_(ARTICLES, GRAMS, """
+shared AS (SELECT a.doc_id AS other, b.doc_id, any_value(a.n + b.n) AS n, count(*) AS k FROM each a JOIN each b ON a.ticker = b.ticker AND a.x = b.x
+             AND a.doc_id < b.doc_id AND a.available_at >= b.available_at - INTERVAL 72 HOUR AND least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) GROUP BY 1, 2),
+near AS (SELECT doc_id AS id, list(other) AS nb FROM shared WHERE k / (n - k)::DOUBLE >= 0.6 GROUP BY 1),
+seq AS (SELECT list({'id': doc_id, 'nb': coalesce(nb, []::BIGINT[])} ORDER BY doc_id) AS s FROM arts LEFT JOIN near ON id = doc_id),
+kept AS (SELECT list_reduce(list_prepend({'id': -1::BIGINT, 'nb': []::BIGINT[]}, s),
+           lambda k, x: {'id': x.id, 'nb': CASE WHEN list_has_any(k.nb, x.nb) THEN k.nb ELSE list_append(k.nb, x.id) END}).nb AS ids FROM seq)""") + """
+SELECT doc_id, ticker FROM arts WHERE doc_id IN (SELECT unnest(ids) FROM kept)""")
 def _(spark, d):
-    """Articles left after near-duplicate collapse (checked against brute force in the tests)."""
+    """Articles left after near-duplicate collapse."""
     return dedupe.deduplicate(fx.articles(spark, d), id_col="doc_id").select("doc_id", "ticker")
 
 
 @query("n6_novelty", B.with_(ARTICLES, GRAMS, """
-best AS (SELECT a.doc_id, max(CASE WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0.0::DOUBLE ELSE
-           len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE END) AS j
-         FROM grams a JOIN grams b ON a.ticker = b.ticker AND b.doc_id < a.doc_id
-              AND b.available_at >= a.available_at - INTERVAL 7 DAY GROUP BY a.doc_id)""") + """
+shared AS (SELECT a.doc_id, b.doc_id AS other, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM each a JOIN each b
+             ON a.ticker = b.ticker AND a.x = b.x AND b.doc_id < a.doc_id AND b.available_at >= a.available_at - INTERVAL 7 DAY GROUP BY 1, 2),
+best AS (SELECT doc_id, max(k / (n + m - k)::DOUBLE) AS j FROM shared GROUP BY 1)""") + """
 SELECT doc_id, ticker, coalesce(1 - j, 1.0::DOUBLE) AS novelty FROM arts LEFT JOIN best USING (doc_id)""", "novelty")
 def _(spark, d):
     return dedupe.novelty_scores(fx.articles(spark, d), id_col="doc_id").select("doc_id", "ticker", "novelty")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas as S
 from tidemark.operators import cross_section as xs
 from tidemark.operators import features, visibility
+from tidemark.session import materialise
 
 
 def raw_features(bars: DataFrame, *, sessions: DataFrame | None = None, asof: date | str | None = None,
@@ -22,7 +23,7 @@ def raw_features(bars: DataFrame, *, sessions: DataFrame | None = None, asof: da
 def build_panel(bars: DataFrame, decisions: DataFrame, *, membership: DataFrame | None = None,
                 labels: DataFrame | None = None, news: DataFrame | None = None, min_names: int = 20,
                 normalize: bool = True, sector_neutral: bool = False, asof: date | str | None = None,
-                blocks: tuple[str, ...] = features.ALL_BLOCKS, rank_method: str = "auto") -> DataFrame:
+                blocks: tuple[str, ...] = features.ALL_BLOCKS, rank_method: str = "buckets") -> DataFrame:
     """Features on the decision rows, members only, with news and labels attached, then ranked within each date.
 
     Ranking comes last on purpose: it has to see exactly the names that can be held that day.
@@ -38,7 +39,8 @@ def build_panel(bars: DataFrame, decisions: DataFrame, *, membership: DataFrame
         panel = panel.join(news, keys, "left")
     if labels is not None:
         panel = panel.join(labels, keys, "left")
-    panel = xs.drop_thin_dates(panel, min_names=min_names)
+    # read by the date counts, the ranks and the result: cut here, after the decision rows are chosen
+    panel = xs.drop_thin_dates(materialise(panel, "panel"), min_names=min_names)
     if not normalize:
         return panel
     columns = feature_columns(panel)

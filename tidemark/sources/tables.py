@@ -94,8 +94,8 @@ def parse_articles(raw: DataFrame, *, tickers: list[str] | None = None, start="1
         "content_hash": F.coalesce(given, text.article_hash())})
 
 
-def read_feed(spark: SparkSession, path: str, ingested_at: str, *, max_items: int = 50) -> DataFrame:
-    """Articles from landed RSS files, one per ticker; the item cap per ticker is part of the feed's contract."""
+def read_feed(spark: SparkSession, path: str, ingested_at: str, *, max_items: int | None = None) -> DataFrame:
+    """Articles from landed RSS files, one per ticker; all items, or the newest ``max_items`` of each ticker."""
     raw = spark.read.format("xml").option("rowTag", "item").schema(
         "title string, link string, pubDate string, description string, source string").load(path)
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "<[^>]+>", " "), "&amp;", "&"))
@@ -109,7 +109,7 @@ def read_feed(spark: SparkSession, path: str, ingested_at: str, *, max_items: in
     title = F.when(F.endswith("_title", tail), F.trim(F.substring("_title", F.lit(1), F.length("_title") - F.length(tail)))).otherwise(F.col("_title"))
     rows = rows.withColumn("title", title).drop("_title")
     place = F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("published_at").desc(), "url"))
-    kept = rows.withColumn("_n", place).filter(F.col("_n") <= max_items).drop("_n")
+    kept = rows if max_items is None else rows.withColumn("_n", place).filter(F.col("_n") <= max_items).drop("_n")
     return kept.withColumns({"content_hash": text.article_hash(), "available_at": F.greatest("published_at", "first_seen_at")})
 
 
