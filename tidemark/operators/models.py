@@ -19,8 +19,10 @@ MIN_CALIBRATION, MIN_SCORES = 400, 10
 
 def fill_medians(train: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact medians of the training rows only; one number per feature reaches the driver."""
-    row = train.agg(*[F.median(c).alias(c) for c in columns]).first()
-    return {c: float(row[c]) if row[c] is not None else 0.0 for c in columns}
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    long = train.select(F.explode(pairs).alias("p")).select("p.i", "p.v")
+    found = {r.i: r.q[0] for r in ranks.quantiles(long, ["i"], "v", [0.5]).collect()}  # one row per feature
+    return {c: float(found[i]) if found.get(i) is not None else 0.0 for i, c in enumerate(columns)}
 
 
 class Fitted:
@@ -74,6 +76,16 @@ def boosted_trees(train: DataFrame, columns: list[str], *, trees: int = 300, rat
         maxDepth=depth, minInstancesPerNode=min_rows, subsamplingRate=rows, featureSubsetStrategy=features, seed=seed))
 
 
+def factory(name: str, columns: list[str], **options) -> Callable[[DataFrame], Callable[[DataFrame], DataFrame]]:
+    """``fit(train)`` of a model by name: ridge, boosted_trees, momentum, zero or random."""
+    fits = {"ridge": lambda train: ridge(train, columns, **options).predict, "boosted_trees": lambda train: boosted_trees(train, columns, **options).predict,
+            "momentum": lambda train: lambda df: momentum_score(df, **options), "zero": lambda train: zero_score,
+            "random": lambda train: lambda df: random_score(df, **options)}
+    if name not in fits:
+        raise ValueError(f"no model {name}; known are {sorted(fits)}")
+    return fits[name]
+
+
 def momentum_score(df: DataFrame, weights: dict[str, float] = MOMENTUM_WEIGHTS, output: str = S.PREDICTION) -> DataFrame:
     present = {c: w for c, w in weights.items() if c in df.columns}
     if not present:
@@ -113,19 +125,22 @@ def blend_scores(df: DataFrame, *, price: str = "price_score", news: str = "news
     return ranked.withColumn(S.PREDICTION, F.when(F.col(has_news), a * p + b * n).otherwise(p)).drop("_p", "_n", "_p_r", "_n_r")
 
 
-def walk_forward_predict(panel: DataFrame, folds: DataFrame, fit: Callable[[DataFrame, int], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def walk_forward_predict(panel: DataFrame, folds: DataFrame, fit: Callable[[DataFrame, int], Callable[[DataFrame], DataFrame]], *,
+                         min_labels: int = MIN_LABELS) -> DataFrame:
     """Fit on each fold's training rows and score its test rows. Folds are few; each fit is a distributed job.
 
     ``fit(train, fold)`` returns a function that adds the prediction. ``panel`` should be a table, since every fold
-    reads it.
+    reads it. A fold with fewer than ``min_labels`` labels keeps its test rows, with a null prediction.
     """
     keys = [S.DECISION, S.TICKER]
-    counts = folds.filter("role = 'train'").join(panel.select(*keys, S.LABEL), keys).groupBy("fold").agg(F.count(S.LABEL).alias("n"))
+    labelled = folds.filter("role = 'train'").join(panel.filter(F.col(S.LABEL).isNotNull()).select(*keys), keys)
+    counts = folds.select("fold").distinct().join(labelled.groupBy("fold").agg(F.count("*").alias("n")), "fold", "left")
     out = None
-    for fold in sorted(r.fold for r in counts.filter(F.col("n") >= MIN_LABELS).collect()):  # one row per fold
+    for fold, n in sorted((r.fold, r.n or 0) for r in counts.collect()):  # one row per fold
         rows = lambda role: panel.join(folds.filter((F.col("fold") == fold) & (F.col("role") == role)).select(*keys), keys)  # noqa: B023, E731
-        scored = fit(rows("train"), fold)(rows("test")).withColumn("fold", F.lit(fold))
-        out = scored if out is None else out.unionByName(scored)
+        scored = fit(rows("train"), fold)(rows("test")) if n >= min_labels else rows("test").withColumn(S.PREDICTION, F.lit(None).cast("double"))
+        scored = scored.withColumn("fold", F.lit(fold))
+        out = scored if out is None else out.unionByName(scored, allowMissingColumns=True)
     return out
 
 

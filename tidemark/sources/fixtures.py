@@ -121,3 +121,26 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekdays on which events happened, as a session table."""
     day = F.col("ts").cast("date")
     return table(spark, sf_dir, "events").select(day.alias("session")).distinct().filter(F.weekday("session") < 5)
+
+
+def named_files(df: DataFrame, name: str, line, suffix: str, path: str, header: str | None = None, last: str | None = None) -> str:
+    """Lines of text in one file for each value of ``name``, called after it; returns the folder.
+
+    The files are written by Spark and then renamed one by one: for sources whose files are named after a ticker.
+    """
+    rows = df.select(name, F.lit(1).alias("_k"), line.alias("value"))
+    for k, extra in ((0, header), (2, last)):
+        if extra:
+            rows = rows.union(df.select(name).distinct().select(name, F.lit(k), F.lit(extra)))
+    rows.repartition(name).sortWithinPartitions(name, "_k").drop("_k").write.partitionBy(name).text(f"{path}/parts")
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at(f"{path}/named"))
+    for folder in fs.listStatus(at(f"{path}/parts")):
+        if folder.isDirectory():
+            value = folder.getPath().getName().partition("=")[2]
+            for file in fs.listStatus(folder.getPath()):
+                if file.getPath().getName().startswith("part-"):
+                    fs.rename(file.getPath(), at(f"{path}/named/{value}{suffix}"))
+    return f"{path}/named"

@@ -16,30 +16,50 @@ def article_stream(spark: SparkSession, path: str, *, late: str = "3 days") -> D
 
 
 def upsert_bars(spark: SparkSession, target: str, keys=("ticker", "session")):
-    """``foreachBatch`` function keeping the last bar of each key.
+    """``foreachBatch`` function keeping the last bar of each key, in a table partitioned by the session's year.
 
-    The table is versioned by batch: a batch replayed after a failure rewrites its own version, and readers take the
-    newest one that finished.
+    A batch reads and rewrites only the years it touches. Each rewrite goes to a new folder of its year, and readers take the
+    newest finished one; a batch replayed after a failure changes nothing, since the last bar of a key wins.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        before = latest_version(spark, target, batch_id - 1)
-        merged = batch if before is None else upsert(before, batch, list(keys))
-        merged.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        batch = batch.withColumn("_year", F.year(keys[-1]))
+        years = [r[0] for r in batch.select("_year").distinct().collect()]  # as many as years
+        stamp = _next_stamp(spark, target)
+        for year in years:
+            new = batch.filter(F.col("_year") == year).drop("_year")
+            before = _newest(spark, f"{target}/year={year}")
+            merged = upsert(new.limit(0) if before is None else spark.read.schema(new.schema).parquet(before), new, list(keys))
+            merged.write.mode("overwrite").parquet(f"{target}/year={year}/at={stamp}")
 
     return run
 
 
-def latest_version(spark: SparkSession, target: str, at_most: int | None = None) -> DataFrame | None:
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(target)
+def read_bars(spark: SparkSession, target: str) -> DataFrame:
+    """The newest finished state of every year."""
+    paths = [p for y in _folders(spark, target, "year=") if (p := _newest(spark, y))]
+    return spark.read.parquet(*paths)
+
+
+def _folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
-        return None
-    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root)
-            if s.getPath().getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    done = [v for v in done if at_most is None or v <= at_most]
-    return spark.read.parquet(f"{target}/version={max(done)}") if done else None
+        return []
+    return sorted(f"{path}/{s.getPath().getName()}" for s in fs.listStatus(root) if s.getPath().getName().startswith(prefix))
+
+
+def _newest(spark: SparkSession, year: str) -> str | None:
+    """The last folder of a year whose write finished."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    done = [f for f in _folders(spark, year, "at=") if at(year).getFileSystem(spark._jsc.hadoopConfiguration()).exists(at(f"{f}/_SUCCESS"))]
+    return done[-1] if done else None
+
+
+def _next_stamp(spark: SparkSession, target: str) -> str:
+    """A name later than those of all finished writes, whichever query made them."""
+    last = [int(p.rpartition("=")[2]) for y in _folders(spark, target, "year=") if (p := _newest(spark, y))]
+    return f"{max(last, default=0) + 1:012d}"
 
 
 def ticks_to_bars(ticks: DataFrame, *, at: str = "ts", ticker: str = "ticker", price: str = "value", late: str = "1 day") -> DataFrame:
