@@ -62,8 +62,8 @@ def _(spark, d):
 WITH held AS (SELECT l_returnflag AS scenario, date_trunc('week', l_shipdate)::DATE AS w, count(*) AS n, sum(l_discount) AS gross FROM lineitem
               WHERE month(l_shipdate) <> 3 GROUP BY 1, 2),
 paid AS (SELECT l_returnflag AS scenario, date_trunc('week', l_shipdate)::DATE AS w, avg(l_tax) AS cost FROM lineitem GROUP BY 1, 2)
-SELECT scenario, w AS decision_session, coalesce(gross, 0) AS gross_return, cost, coalesce(gross, 0) - cost AS net_return, coalesce(n, 0) AS n_positions
-FROM paid LEFT JOIN held USING (scenario, w)""", "gross_return cost net_return", 4)
+SELECT scenario, w AS decision_session, coalesce(gross, 0) AS gross_return, cost, (coalesce(gross, 0) - cost) * sqrt(2.0) AS net_root2, coalesce(n, 0) AS n_positions
+FROM paid LEFT JOIN held USING (scenario, w)""", "gross_return cost net_root2", 5)
 def _(spark, d):
     """Books that are empty each March: those weeks stay, with the cost of that week."""
     li = fx.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("scenario"), F.date_trunc("week", "l_shipdate").cast("date").alias("decision_session"),
@@ -78,7 +78,8 @@ def _(spark, d):
     named = F.concat_ws("|", "scenario", "ticker").alias("ticker")
     out = performance.weekly_ledger(books.select("scenario", "decision_session", named, "weight"), forward.select("decision_session", named, "forward_return"), paid,
                                     by=("scenario",))
-    return out.select("scenario", "decision_session", "gross_return", "cost", "net_return", "n_positions")
+    root2 = (F.col("net_return") * F.sqrt(F.lit(2.0))).alias("net_root2")  # sums of short decimals would tie when rounded
+    return out.select("scenario", "decision_session", "gross_return", "cost", root2, "n_positions")
 
 
 SCORES = """
