@@ -154,3 +154,129 @@ def test_no_overlap_and_registry(spark):
     with pytest.raises(ValueError):
         register("price", ("anything",))(lambda t: [])
     assert "patterns" in REGISTRY
+
+
+def test_smoothing_steps_over_long_gaps(spark):
+    from tidemark.functions.exprs import Trailing
+    from tidemark.operators.features.registry import Level  # noqa: F401
+    from tidemark.operators.features.smoothing import Smoother
+
+    rng = np.random.default_rng(1)
+    x = [float(rng.normal()) if not 20 <= i < 900 and i % 7 else None for i in range(1000)]
+    df = spark.createDataFrame([("a", date(2000, 1, 1) + timedelta(days=i), v) for i, v in enumerate(x)], "ticker string, session date, x double")
+    s = Smoother(Trailing(), {"y": ("x", 1 / 14, 3, False)})
+    for level in [*s.levels(), s.values()]:
+        df = df.withColumns(level)
+    got = [r["_y"] for r in df.orderBy("session").select("_y").collect()]
+    want = pd.Series(x, dtype=float).ewm(alpha=1 / 14, adjust=False, min_periods=3).mean()
+    np.testing.assert_allclose([np.nan if v is None else v for v in got], want, rtol=1e-9)
+
+
+def test_exact_copies_keep_one(spark):
+    from tidemark.operators.dedupe import deduplicate
+
+    at = datetime(2024, 1, 1)
+    text = "a long enough body of text that repeats word for word in every copy of it"
+    rows = [("h1", "T", "title", text, at), ("h1", "T", "title", text, at), ("h2", "T", "title", text, at), ("h3", "T", "other", "nothing of the kind here at all", at)]
+    df = spark.createDataFrame(rows, "content_hash string, ticker string, title string, body string, available_at timestamp")
+    assert sorted(r.content_hash for r in deduplicate(df).collect()) == ["h1", "h3"]
+
+
+def test_bodies_are_compared_whole(spark):
+    from tidemark.operators.dedupe import deduplicate, novelty_scores
+
+    at, rng = datetime(2024, 1, 1), np.random.default_rng(0)
+    tail = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400))
+    head = "the same opening of a story " * 25
+    rows = [("a", "T", "t", head + tail(), at), ("b", "T", "t", head + tail(), at + timedelta(hours=1))]
+    df = spark.createDataFrame(rows, "content_hash string, ticker string, title string, body string, available_at timestamp")
+    assert deduplicate(df).count() == 2 and deduplicate(df, body_chars=600).count() == 1
+    assert {r.content_hash: r.novelty for r in novelty_scores(df).collect()}["b"] > 0.8
+
+
+def test_ledger_keeps_flat_weeks(spark):
+    from tidemark.operators.performance import turnover, weekly_ledger
+
+    week = [date(2024, 1, 5) + timedelta(weeks=i) for i in range(3)]
+    books = spark.createDataFrame([(week[0], "A", 0.5), (week[2], "A", 0.25)], "decision_session date, ticker string, weight double")
+    forward = spark.createDataFrame([(w, "A", 0.1) for w in week], "decision_session date, ticker string, forward_return double")
+    costs = spark.createDataFrame([(w, 0.01, 0.2) for w in week], "decision_session date, total double, turnover double")
+    got = {r.decision_session: r for r in weekly_ledger(books, forward, costs, weeks=forward).collect()}
+    assert [round(got[w].net_return, 10) for w in week] == [0.04, -0.01, 0.015]
+    assert all(abs(r.gross_return - r.cost - r.net_return) < 1e-12 for r in got.values()) and got[week[1]].n_positions == 0
+    change = {r.decision_session: r.turnover for r in turnover(books, weeks=forward).collect()}
+    assert [change[w] for w in week] == [0.25, 0.25, 0.125]
+
+
+@pytest.mark.parametrize("method", ["window", "buckets"])
+def test_ranks_take_nan_and_infinity_for_null(spark, method):
+    from tidemark.functions.ranks import quantiles, rank_pct
+
+    values = [1.5, 5.0, float("nan"), 2.0, None, float("inf"), -float("inf"), 2.0]
+    df = spark.createDataFrame([("d", f"T{i}", v) for i, v in enumerate(values)], "d string, ticker string, v double")
+    got = {r.ticker: r.v for r in rank_pct(df, ["d"], ["v"], keys=["ticker"], method=method).collect()}
+    assert got == {"T0": 0.25, "T1": 1.0, "T2": None, "T3": 0.625, "T4": None, "T5": None, "T6": None, "T7": 0.625}
+    q = quantiles(df, ["d"], "v", [0.0, 0.5, 1.0], method=method).first()
+    assert (list(q.q), q.n) == ([1.5, 2.0, 5.0], 4)
+
+
+def test_short_scenarios_and_folds_keep_a_row(spark):
+    from tidemark.operators.models import walk_forward_predict, zero_score
+    from tidemark.operators.performance import deflated_sharpe, sharpe_interval
+
+    rows = [(s, date(2024, 1, 5) + timedelta(weeks=i), 0.01 * ((i * 7) % 5 - 2)) for s, n in (("long", 60), ("short", 5)) for i in range(n)]
+    ledger = spark.createDataFrame(rows, "scenario string, decision_session date, net_return double")
+    by = {r.scenario: r for r in sharpe_interval(ledger, draws=20).collect()}
+    assert by["short"].sharpe_ci_low is None and by["long"].sharpe_ci_low is not None
+    assert {r.scenario: r.verdict for r in deflated_sharpe(ledger, 1).collect()}["short"] == "too short"
+    panel = spark.createDataFrame([(date(2024, 1, 5), "A", 0.1), (date(2024, 1, 12), "A", 0.2)], "decision_session date, ticker string, label double")
+    folds = spark.createDataFrame([(0, "train", date(2024, 1, 5), "A"), (0, "test", date(2024, 1, 12), "A")], "fold int, role string, decision_session date, ticker string")
+    out = walk_forward_predict(panel, folds, lambda train, fold: zero_score)
+    assert [r.prediction for r in out.collect()] == [None]
+    assert [r.prediction for r in walk_forward_predict(panel, folds, lambda train, fold: zero_score, min_labels=1).collect()] == [0.0]
+
+
+def test_saved_model_is_refused_when_stale_or_different(spark, tmp_path):
+    from tidemark.operators.evaluation import load_fitted, save_fitted
+    from tidemark.operators.models import ridge
+
+    rng = np.random.default_rng(5)
+    rows = [(date(2024, 1, 5), f"T{i}", float(a), float(b), float(2 * a - b)) for i, (a, b) in enumerate(rng.normal(size=(60, 2)))]
+    df = spark.createDataFrame(rows, "decision_session date, ticker string, a double, b double, label double")
+    fitted = ridge(df, ["a", "b"], alpha=1e-6)
+    save_fitted(spark, fitted, str(tmp_path / "m"), date(2024, 1, 5))
+    again = load_fitted(spark, str(tmp_path / "m"), ["b", "a"], date(2024, 2, 2))
+    assert max(abs(r.prediction - r.label) for r in again.predict(df).collect()) < 1e-4
+    with pytest.raises(ValueError, match="features differ"):
+        load_fitted(spark, str(tmp_path / "m"), ["a"], date(2024, 2, 2))
+    with pytest.raises(ValueError, match="weeks before"):
+        load_fitted(spark, str(tmp_path / "m"), ["a", "b"], date(2024, 6, 2))
+
+
+def test_verdict_rules(spark):
+    from tidemark.operators.evaluation import verdicts
+
+    rows = [("shuffled", -0.1, 0.02, 3.0), ("momentum", 0.9, 0.0, 0.0), ("random", 0.1, 0.0, 0.0), ("benchmark", 0.5, 0.0, 0.0), ("price_news", 0.6, 0.03, 3.4)]
+    summary = spark.createDataFrame(rows, "scenario string, sharpe double, ic double, ic_t double")
+    test = spark.createDataFrame([(0.2, 0.01)], "difference double, p_value double")
+    assert {r.rule: r.holds for r in verdicts(summary, test).collect()} == {
+        "no_leak": False, "beats_momentum": False, "random_is_poor": True, "news_adds": True, "beats_benchmark": True}
+    assert {r.rule: r.holds for r in verdicts(summary.filter("scenario = 'random'")).collect()}["news_adds"] is None
+
+
+def test_paths_of_a_perfect_and_a_useless_candidate(spark):
+    from tidemark.operators.evaluation import path_scores, path_selections
+    from tidemark.operators.performance import overfitting_probability
+
+    rng = np.random.default_rng(9)
+    rows = [(date(2020, 1, 3) + timedelta(weeks=w), f"T{i}", float(rng.normal())) for w in range(24) for i in range(15)]
+    panel = spark.createDataFrame(rows, "decision_session date, ticker string, label double").cache()
+    half = date(2020, 1, 3) + timedelta(weeks=16)
+    folds = panel.select(F.lit(0).alias("fold"), F.when(F.col("decision_session") < F.lit(half), "train").otherwise("test").alias("role"), "decision_session", "ticker")
+    right = lambda train: lambda df: df.withColumn("prediction", F.col("label"))
+    wrong = lambda train: lambda df: df.withColumn("prediction", -F.col("label"))
+    scores = path_scores(panel, folds, {"right": right, "wrong": wrong})
+    got = {r.candidate: (r.in_sample, r.out_of_sample) for r in scores.collect()}
+    assert got["right"] == pytest.approx((1, 1)) and got["wrong"] == pytest.approx((-1, -1))
+    assert path_selections(scores).first().chosen == "right"
+    assert overfitting_probability(scores).first().pbo == 0.0

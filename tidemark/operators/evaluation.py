@@ -90,7 +90,7 @@ def path_selections(scores: DataFrame) -> DataFrame:
     """Per path: the candidate that is best in sample, both its scores, and its place out of sample."""
     place = F.rank().over(Window.partitionBy("path").orderBy(F.col("out_of_sample").desc()))  # one row for each candidate
     usable = scores.filter("in_sample is not null and out_of_sample is not null").withColumn("place", place)
-    best = F.max_by(F.struct("candidate", "in_sample", "out_of_sample", "place"), F.struct("in_sample", F.col("out_of_sample")))
+    best = F.min_by(F.struct("candidate", "in_sample", "out_of_sample", "place"), F.struct(-F.col("in_sample"), F.col("candidate")))
     return usable.groupBy("path").agg(best.alias("b"), F.count("*").alias("n_candidates")).select(
         "path", F.col("b.candidate").alias("chosen"), "b.in_sample", "b.out_of_sample", F.col("b.place").alias("out_of_sample_place"), "n_candidates")
 
