@@ -236,9 +236,17 @@ def _(spark, d):
 
 @query("d19_members_asof", B.with_(B.MEMBERSHIP) + """
 SELECT ticker, name, sector FROM universe
+WHERE start_date <= DATE '2000-03-01' AND (end_date IS NULL OR end_date >= DATE '2000-03-01')""")
+def _(spark, d):
+    return universe.members_asof(fx.membership(spark, d), "2000-03-01")
+
+
+@query("d19_first_members", B.with_(B.MEMBERSHIP) + """
+SELECT ticker, name, sector FROM universe
 WHERE start_date <= DATE '2000-03-01' AND (end_date IS NULL OR end_date >= DATE '2000-03-01')
 ORDER BY file_order LIMIT 40""")
 def _(spark, d):
+    """A universe that is defined as its first names in file order."""
     return universe.members_asof(fx.membership(spark, d), "2000-03-01", max_names=40)
 
 

@@ -212,12 +212,18 @@ def _(spark, d):
     return book.scale_to_target_vol(b, vol).select("decision_session", "ticker", "weight", "vol_scale")
 
 
-@query("p10_limit_violations", B.with_(*BASE, PICK, STATS, INVVOL, """
-v AS (SELECT decision_session, max(abs(weight)) AS value FROM weighted GROUP BY 1)""") + """
-SELECT decision_session, 'weight' AS rule, value FROM v WHERE value > 0.12 + 1e-6""", "value")
+@query("p10_limit_violations", B.with_(*BASE, PICK, STATS, INVVOL, B.MEMBERSHIP, """
+w AS (SELECT decision_session, sector, weight * CASE WHEN weight > 0 THEN 3.0 ELSE 1.0 END AS weight FROM weighted JOIN universe USING (ticker)),
+v AS (SELECT decision_session, 'weight' AS rule, '' AS detail, max(abs(weight)) AS value, 0.12 AS bound FROM w GROUP BY 1
+      UNION ALL SELECT decision_session, 'gross', '', sum(abs(weight)), 1.0 FROM w GROUP BY 1
+      UNION ALL SELECT decision_session, 'net', '', abs(sum(weight)), 0.3 FROM w GROUP BY 1
+      UNION ALL SELECT decision_session, 'sector', sector, sum(abs(weight)), 0.35 FROM w GROUP BY 1, 3)""") + """
+SELECT decision_session, rule, detail, value FROM v WHERE value > bound + 1e-6""", "value")
 def _(spark, d):
-    out = book.check_limits(sized(spark, d)[0].select("decision_session", "ticker", "weight"))
-    return out.filter("rule = 'weight'").select("decision_session", "rule", "value")
+    """Books with tripled longs break every rule somewhere."""
+    b = sized(spark, d)[0].join(universe.sectors(fx.membership(spark, d)), "ticker")
+    b = b.withColumn("weight", F.col("weight") * F.when(F.col("weight") > 0, 3.0).otherwise(1.0))
+    return book.check_limits(b.select("decision_session", "ticker", "sector", "weight")).select("decision_session", "rule", "detail", "value")
 
 
 FEES = costs.INDIA

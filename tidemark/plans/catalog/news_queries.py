@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import lexicon_values as V
 from tidemark.functions import text
 from tidemark.functions.lexicon_values import Lexicon
 from tidemark.operators import analysis, dedupe, lexicon
@@ -121,20 +122,24 @@ CORPUS = Lexicon(
     speculative=("that by", "un la", "are of"))
 
 
+def _quoted(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
 def _list(words) -> str:
-    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+    return "(" + ", ".join(map(_quoted, words)) + ")"
 
 
 def _any(phrases) -> str:
-    return "(" + " OR ".join(f"contains(low, '{p}')" for p in phrases) + ")"
+    return "(" + " OR ".join(f"contains(low, {_quoted(p)})" for p in phrases) + ")"
 
 
 def _count(phrases) -> str:
-    return "(" + " + ".join(f"contains(low, '{p}')::INTEGER" for p in phrases) + ")"
+    return "(" + " + ".join(f"contains(low, {_quoted(p)})::INTEGER" for p in phrases) + ")"
 
 
-def _polarity_sql() -> str:
-    listed = lambda w: f"CASE WHEN {w} IN {_list(CORPUS.positive)} THEN 1.0 WHEN {w} IN {_list(CORPUS.negative)} THEN -1.0 END"
+def _polarity_sql(lex) -> str:
+    listed = lambda w: f"CASE WHEN {w} IN {_list(lex.positive)} THEN 1.0 WHEN {w} IN {_list(lex.negative)} THEN -1.0 END"
     tries = [listed("w")]
     for s in ("s", "es", "ed", "ing", "d"):
         ok = f"length(w) > {len(s) + 2} AND ends_with(w, '{s}')"
@@ -145,37 +150,42 @@ def _polarity_sql() -> str:
     return "coalesce(" + ", ".join(tries) + ", 0.0)"
 
 
-EVENTS_SQL = "CASE " + " ".join(f"WHEN {_any(p)} THEN '{e}'" for e, p in CORPUS.event_patterns) + f"""
-  WHEN {_count(CORPUS.macro)} >= 2 THEN 'macro' WHEN {_any(CORPUS.opinion)} THEN 'opinion_commentary' ELSE 'other' END"""
-LEXICON_SQL = [f"""
+def _sign_sql() -> str:
+    """An event with a direction of its own overrides weak or contrary wording."""
+    cases = " ".join(f"WHEN '{e}' THEN CASE WHEN raw * {v} >= 0.15 THEN raw ELSE {v} * greatest({V.EVENT_SIGN_FLOOR}, abs(raw)) END" for e, v in V.EVENT_SIGN.items())
+    return f"CASE event {cases} ELSE raw END"
+
+
+def lexicon_sql(lex) -> list[str]:
+    events = "CASE " + " ".join(f"WHEN {_any(p)} THEN '{e}'" for e, p in lex.event_patterns) + f"""
+  WHEN {_count(lex.macro)} >= 2 THEN 'macro' WHEN {_any(lex.opinion)} THEN 'opinion_commentary' ELSE 'other' END"""
+    return [f"""
 low AS (SELECT doc_id, lower(full_text) AS low, length(full_text) AS chars,
         lower(title) || ' ' || lower(title) || ' ' || lower(full_text) AS scored FROM arts)""", """
 toks AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
          FROM (SELECT doc_id, regexp_extract_all(scored, '[a-z][a-z''\\-]+') AS ws FROM low))""", f"""
-toned AS (SELECT doc_id, {_polarity_sql()} AS tone,
-            coalesce(bool_or(w IN {_list(CORPUS.negators)}) OVER b, FALSE) AS neg,
-            coalesce(bool_or(w IN {_list(CORPUS.intensifiers)}) OVER b, FALSE) AS strong FROM toks
+toned AS (SELECT doc_id, {_polarity_sql(lex)} AS tone,
+            coalesce(bool_or(w IN {_list(lex.negators)}) OVER b, FALSE) AS neg,
+            coalesce(bool_or(w IN {_list(lex.intensifiers)}) OVER b, FALSE) AS strong FROM toks
           WINDOW b AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))""", """
 tones AS (SELECT doc_id, count(*) FILTER (tone <> 0) AS hits,
             sum(tone * CASE WHEN neg THEN -1 ELSE 1 END * CASE WHEN strong THEN 1.5 ELSE 1 END)::DOUBLE AS total FROM toned GROUP BY 1)""", f"""
 flags AS (SELECT low.*, coalesce(hits, 0) AS hits,
             CASE WHEN coalesce(hits, 0) = 0 THEN 0 ELSE greatest(-1, least(1, total / (sqrt(hits) * 2.0))) END AS raw,
-            {EVENTS_SQL} AS event, {_any(CORPUS.recap)} AS is_recap, {_any(CORPUS.speculative)} AS is_speculative,
-            {_count(CORPUS.macro)} >= 2 AS macro FROM low LEFT JOIN tones USING (doc_id))""", """
-signed AS (SELECT *, CASE event WHEN 'm_and_a_target' THEN CASE WHEN raw >= 0.15 THEN raw ELSE greatest(0.55, abs(raw)) END
-             WHEN 'earnings_miss' THEN CASE WHEN -raw >= 0.15 THEN raw ELSE -greatest(0.55, abs(raw)) END
-             WHEN 'litigation' THEN CASE WHEN -raw >= 0.15 THEN raw ELSE -greatest(0.55, abs(raw)) END ELSE raw END AS sentiment FROM flags)""", """
+            {events} AS event, {_any(lex.recap)} AS is_recap, {_any(lex.speculative)} AS is_speculative,
+            {_count(lex.macro)} >= 2 AS macro FROM low LEFT JOIN tones USING (doc_id))""", f"""
+signed AS (SELECT *, {_sign_sql()} AS sentiment FROM flags)""", f"""
 read AS (SELECT *, CASE WHEN is_recap AND event = 'other' THEN 'recap' ELSE event END AS event_type,
            CASE WHEN is_recap THEN least(1, mag) ELSE mag END AS magnitude,
            CASE WHEN sentiment > 0.08 THEN 'up' WHEN sentiment < -0.08 THEN 'down' ELSE 'neutral' END AS expected_direction,
            round(least(1.0::DOUBLE, abs(sentiment) * 1.4::DOUBLE + least(hits, 6) * 0.05::DOUBLE)
              * CASE WHEN event IN ('opinion_commentary', 'other') THEN 0.5::DOUBLE ELSE 1 END, 3) AS direction_confidence
-         FROM (SELECT *, CASE WHEN event = 'm_and_a_target' THEN 3 WHEN event IN ('earnings_miss', 'litigation', 'exec_change') THEN 2
+         FROM (SELECT *, CASE WHEN event IN {_list(V.MAJOR)} THEN 3 WHEN event IN {_list(V.NOTABLE)} THEN 2
                  WHEN event IN ('other', 'opinion_commentary') THEN CASE WHEN hits >= 3 OR chars > 800 THEN 1 ELSE 0 END ELSE 1 END AS mag
                FROM signed))"""]
 
 
-@query("n9_n15_lexicon_analysis", B.with_(ARTICLES, *LEXICON_SQL) + """
+@query("n9_n15_lexicon_analysis", B.with_(ARTICLES, *lexicon_sql(CORPUS)) + """
 SELECT doc_id, event_type, sentiment, magnitude::INTEGER AS magnitude, is_speculative, is_recap,
        NOT (macro OR event = 'macro') AS is_company_specific, expected_direction, direction_confidence, hits::INTEGER AS n_hits FROM read""",
        "sentiment direction_confidence", direction_confidence=2)
@@ -185,7 +195,8 @@ def _(spark, d):
                       "expected_direction", "direction_confidence", "n_hits")
 
 
-@query("n9_n15_default_lexicon")
+@query("n9_n15_default_lexicon", B.with_(ARTICLES, *lexicon_sql(Lexicon())) + """
+SELECT doc_id, event_type, sentiment, magnitude::INTEGER AS magnitude, expected_direction, hits::INTEGER AS n_hits FROM read""", "sentiment")
 def _(spark, d):
     """The default lists over the same texts, which hold few company words."""
     return lexicon.analyse(fx.articles(spark, d)).select(

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import models, skill, splits
+from tidemark.operators import features, models, skill, splits
 from tidemark.plans.catalog import base_sql as B
 from tidemark.plans.catalog import feature_queries as FQ
+from tidemark.plans.catalog import feature_sql as FS
 from tidemark.plans.catalog.registry import query
 from tidemark.session import materialise, scratch_path
 from tidemark.sources import bars as src
@@ -44,12 +45,13 @@ def _(spark, d):
 
 
 @query("s7_instrument_snapshot", """
-SELECT CAST(p_partkey AS VARCHAR) AS ticker, coalesce(arg_min(CAST(l_quantity AS INTEGER), l_orderkey * 64 + l_linenumber), 0) AS lot_size
-FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber = 1) ON l_partkey = p_partkey GROUP BY 1""")
+SELECT CAST(p_partkey AS VARCHAR) AS ticker, coalesce(arg_min(CAST(l_quantity AS INTEGER), (l_orderkey * 64 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT)), 0) AS lot_size
+FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1""")
 def _(spark, d):
-    li, part = fx.table(spark, d, "lineitem").filter("l_linenumber = 1"), fx.table(spark, d, "part")
+    li, part = fx.table(spark, d, "lineitem"), fx.table(spark, d, "part")
+    expiry = (F.col("l_orderkey") * 64 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("bigint")
     fut = li.select(F.lit("NSE_FO").alias("segment"), F.lit("FUT").alias("instrument_type"), F.col("l_partkey").cast("string").alias("asset_symbol"),
-                    (F.col("l_orderkey") * 64 + F.col("l_linenumber")).alias("expiry"), F.col("l_quantity").cast("int").alias("lot_size"))
+                    expiry.alias("expiry"), F.col("l_quantity").cast("int").alias("lot_size"))
     eq = part.select(F.lit("NSE_EQ").alias("segment"), F.lit("EQ").alias("instrument_type"), F.col("p_partkey").cast("string").alias("trading_symbol"),
                      F.col("p_name").alias("name"), F.lit(None).cast("string").alias("isin"), F.lit(None).cast("string").alias("instrument_key"),
                      F.lit(None).cast("int").alias("freeze_quantity"))
@@ -86,10 +88,14 @@ def _(spark, d):
     return tables.upsert(bars, bars.filter("volume > 20").withColumn("volume", F.col("volume") * 2), ["ticker", "session"])
 
 
-@query("m3_momentum_score", B.with_(*FQ.MOM_BASE) + """
-SELECT ticker, decision_session, 0.5 * coalesce(reversal_1w, 0) AS prediction FROM raw""", "prediction")
+@query("m3_momentum_score", B.with_(B.BARS, B.SESSIONS, B.decisions(), B.grid(), FS.LEVEL_0, f"""
+mom AS (SELECT ticker, session AS decision_session, {FS.COLUMNS['reversal_1w']} AS a, {FS.COLUMNS['mom_12w']} AS b, {FS.COLUMNS['mom_52w_skip4w']} AS c FROM f0)""") + """
+SELECT ticker, decision_session, 0.5 * coalesce(a, 0) + 0.3 * coalesce(b, 0) + 0.2 * coalesce(c, 0) AS prediction FROM mom JOIN grid USING (decision_session)""", "prediction")
 def _(spark, d):
-    return models.momentum_score(FQ._momentum_panel(spark, d)).select("ticker", "decision_session", "prediction")
+    """All three factors, on every decision row."""
+    bars, _, grid = FQ.setup(spark, d)
+    panel = features.price_features(bars, grid.select(F.col("decision_session").alias("session")), blocks=("price",)).withColumnRenamed("session", "decision_session")
+    return models.momentum_score(panel).select("ticker", "decision_session", "prediction")
 
 
 @query("m7_blend_scores", B.with_(*FQ.MOM_BASE, """
