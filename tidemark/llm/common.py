@@ -108,10 +108,12 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     while True:
         # large star: each larger neighbour of a node is tied to the smallest node around it
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # written, so that both sides of the join come from a plain exchange and the edges of a hub may be split
+        least = materialise(both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m")), name)
         large = both.join(least, both["a"] == least["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: each node and its smaller neighbours are tied to the smallest of them
-        lower = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+        large = materialise(large, name)
+        lower = materialise(large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), name)
         small = (large.join(lower, large["a"] == lower["n"]).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(lower.select(F.col("n").alias("a"), F.col("m").alias("b"))))
         edges = materialise(small.where("a <> b").distinct(), name)
