@@ -3,7 +3,7 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from tests.llm.test_operators import _components, _fingerprint
+from tests.llm.test_training_operators import _components, _fingerprint
 from tidemark.llm import fertility
 from tidemark.llm.bpe import encode_ids
 
