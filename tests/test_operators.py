@@ -158,7 +158,6 @@ def test_no_overlap_and_registry(spark):
 
 def test_smoothing_steps_over_long_gaps(spark):
     from tidemark.functions.exprs import Trailing
-    from tidemark.operators.features.registry import Level  # noqa: F401
     from tidemark.operators.features.smoothing import Smoother
 
     rng = np.random.default_rng(1)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
-from tidemark.functions.exprs import Trailing, clip, col, div, finite, ln_pos
+from tidemark.functions.exprs import Trailing, clip, col, div, finite
 
 #: A one-session move beyond this with no split recorded is taken for a data error.
 MAX_MOVE = 0.60

@@ -1,7 +1,6 @@
 """All price features of daily bars."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark import schemas as S
 from tidemark.operators.features import market, smoothing, windows  # noqa: F401  (windows registers its blocks)
