@@ -113,7 +113,18 @@ def _(spark, d):
     return splits.overlap_report(splits.walk_forward_folds(_labels(spark, d), embargo_weeks=1, **WF), embargo_weeks=1)
 
 
-@query("v18_combinatorial_folds")
+@query("v18_combinatorial_folds", B.with_(*FQ.LABEL_BASE, """
+wk AS (SELECT decision_session, row_number() OVER (ORDER BY decision_session) - 1 AS week, count(*) OVER () AS n FROM (SELECT DISTINCT decision_session FROM labels)),
+gr AS (SELECT decision_session, CASE WHEN week < (n % 6) * (n // 6 + 1) THEN week // (n // 6 + 1) ELSE n % 6 + (week - (n % 6) * (n // 6 + 1)) // (n // 6) END AS g FROM wk),
+pick AS (SELECT row_number() OVER (ORDER BY a.range, b.range) - 1 AS fold, a.range AS a, b.range AS b FROM range(6) a JOIN range(6) b ON a.range < b.range),
+rw AS (SELECT fold, g = a OR g = b AS tested, l.* FROM gr JOIN labels l USING (decision_session) JOIN pick ON TRUE),
+sp AS (SELECT fold, min(label_t0) AS lo, max(label_t1) AS hi FROM rw WHERE tested GROUP BY 1),
+ro AS (SELECT rw.*, CASE WHEN tested THEN 'test' WHEN label_t0 <= hi AND label_t1 >= lo THEN 'purged'
+         WHEN (label_t1 >= lo - 7 AND label_t1 < lo) OR (label_t0 > hi AND label_t0 <= hi + 7) THEN 'embargoed' ELSE 'train' END AS role FROM rw JOIN sp USING (fold))""") + """
+SELECT fold::INTEGER AS fold, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test, count(*) FILTER (role = 'purged') AS purged,
+       count(*) FILTER (role = 'embargoed') AS embargoed, min(decision_session) FILTER (role <> 'test') AS train_start, max(decision_session) FILTER (role <> 'test') AS train_end,
+       min(decision_session) FILTER (role = 'test') AS test_start, max(decision_session) FILTER (role = 'test') AS test_end
+FROM ro GROUP BY 1 HAVING count(*) FILTER (role = 'train') > 0 AND count(*) FILTER (role = 'test') > 0""")
 def _(spark, d):
     return splits.fold_summary(splits.combinatorial_folds(_labels(spark, d), n_groups=6, n_test_groups=2, embargo_weeks=1))
 
