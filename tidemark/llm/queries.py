@@ -105,6 +105,51 @@ def _op6(spark, sf_dir):
     return mix(sizes, TICKETS, units_col="units").select("doc_id", "source", "units", "__mix.*")
 
 
+@query("op11_token_alignment")
+def _op11(spark, sf_dir):
+    """Groups, links and linked pairs of two tokenizers over every document."""
+    from tidemark.llm.alignment import align
+
+    return align(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op12_license_scan")
+def _op12(spark, sf_dir):
+    """Places of the base phrases, licence labels and score of every document."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.license_scan import scan_licenses
+
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    at, base, more = F.col("places.word"), F.col("places.label"), F.col("spans.label")
+    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return out.select("doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
+                      listed(base).alias("base_labels"), listed(F.concat(base, more)).alias("labels"), "score", F.size("spans").alias("n_spans"))
+
+
+@query("op13_hard_negatives", """
+WITH raw AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+             FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT *, row_number() OVER () AS r FROM raw),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS other_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.q, b.q), lambda x: x[1] * x[2]))::BIGINT AS score
+      FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT ar, anchor_id, br, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, other_id, br) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.ar, p.br ORDER BY n.score DESC, n.other_id, n.br)::INTEGER AS rank, n.other_id AS negative_id,
+       positive_score, n.score AS negative_score
+FROM p JOIN s n ON p.ar = n.ar AND NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.ar, p.br ORDER BY n.score DESC, n.other_id, n.br) <= 3""")
+def _op13(spark, sf_dir):
+    """Hard negatives of every anchor and positive; some labels are first moved on by one."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.hard_negatives import hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.select("vec_id", moved.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
+
+
 @query("pipeline")
 def _pipeline(spark, sf_dir):
     """The pieces of the corpus that the pipeline makes of ``documents``."""
