@@ -34,9 +34,12 @@ def clip_step(step: Column) -> Column:
     return F.greatest(F.lit(0), F.least(step, F.lit(64)))
 
 
-def value_positions(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Each distinct non-null value of a group with its count, the count below it, and the group's total."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n_equal"))
+def value_positions(df: DataFrame, by: list[str], value: str, times: str | None = None) -> DataFrame:
+    """Each distinct non-null value of a group with its count, the count below it, and the group's total.
+
+    ``times``: a column that says how many rows a row stands for.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(times) if times else F.count("*")).alias("n_equal"))
     counts = counts.withColumn("_bucket", order_bucket(F.col(value)))
     blocks = counts.groupBy(*by, "_bucket").agg(F.sum("n_equal").alias("_block"))
     up = Window.partitionBy(*by).orderBy("_bucket")
@@ -97,13 +100,17 @@ def _rank_melted(df: DataFrame, by: list[str], values: list[str], keys: list[str
                        *[F.col(f"_p{i}").alias(v + suffix) for i, v in enumerate(values)])
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], *, method: str = "buckets") -> DataFrame:
-    """Linear-interpolated quantiles ``q`` (array) and the non-null count ``n`` of each group, exact at any size."""
-    df = df.select(*by, finite(F.col(value).cast("double")).alias(value))
+def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], *, method: str = "buckets", times: str | None = None) -> DataFrame:
+    """Linear-interpolated quantiles ``q`` (array) and the non-null count ``n`` of each group, exact at any size.
+
+    ``times``: a column that says how many rows a row stands for.
+    """
+    df = df.select(*by, finite(F.col(value).cast("double")).alias(value), *([times] if times else ()))
     if _use_window(method):
-        return df.groupBy(*by).agg(
-            F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("q"), F.count(value).alias("n"))
-    places = value_positions(df, by, value)
+        many = F.col(times) if times else F.lit(1)
+        return df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), many).alias("q"),
+                                   F.sum(F.when(F.col(value).isNotNull(), many).otherwise(0)).alias("n"))
+    places = value_positions(df, by, value, times)
     edges = []
     for p in probs:
         at = (F.col("n_total") - 1) * F.lit(float(p))

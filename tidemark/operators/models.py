@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +12,8 @@ from tidemark import schemas as S
 from tidemark.functions import ranks
 
 MIN_LABELS = 200
-# The published-factor baseline; observations and distinct scores a calibration needs.
+# The published-factor baseline.
 MOMENTUM_WEIGHTS = {"reversal_1w": 0.5, "mom_12w": 0.3, "mom_52w_skip4w": 0.2}
-MIN_CALIBRATION, MIN_SCORES = 400, 10
 
 
 def fill_medians(train: DataFrame, columns: list[str]) -> dict[str, float]:
@@ -142,31 +141,3 @@ def walk_forward_predict(panel: DataFrame, folds: DataFrame, fit: Callable[[Data
         scored = scored.withColumn("fold", F.lit(fold))
         out = scored if out is None else out.unionByName(scored, allowMissingColumns=True)
     return out
-
-
-def calibrate(predictions: DataFrame) -> DataFrame:
-    """Expected return of each score: fold k through an isotonic fit on the folds before it, null where none fits."""
-    clean = predictions.filter(F.col(S.PREDICTION).isNotNull() & F.col(S.LABEL).isNotNull())
-    folds = sorted(r.fold for r in predictions.select("fold").distinct().collect())  # one row per fold
-    out = None
-    for k in folds:
-        mine, past = predictions.filter(F.col("fold") == k), clean.filter(F.col("fold") < k)
-        n, distinct = past.agg(F.count("*"), F.count_distinct(S.PREDICTION)).first()
-        if n >= MIN_CALIBRATION and distinct >= MIN_SCORES:
-            model = IsotonicRegression(featuresCol=S.PREDICTION, labelCol=S.LABEL, predictionCol="expected_return").fit(
-                past.select(S.PREDICTION, S.LABEL))
-            mine = model.transform(mine)
-        else:
-            mine = mine.withColumn("expected_return", F.lit(None).cast("double"))
-        out = mine if out is None else out.unionByName(mine)
-    return out
-
-
-def calibration_table(predictions: DataFrame, n_buckets: int = 10) -> DataFrame:
-    """Predicted against realised return by quantile bucket of the prediction."""
-    rows = predictions.filter(F.col("expected_return").isNotNull() & F.col(S.LABEL).isNotNull()).withColumn("_all", F.lit(0))
-    edges = ranks.quantiles(rows, ["_all"], "expected_return", [i / n_buckets for i in range(n_buckets + 1)])
-    placed = rows.join(F.broadcast(edges.filter(F.col("n") >= n_buckets * 10)), "_all")  # one row
-    return placed.groupBy(ranks.interval_of("expected_return", "q").alias("bucket")).agg(
-        F.count("*").alias("n"), F.avg("expected_return").alias("predicted"), F.avg(S.LABEL).alias("realised")).withColumn(
-            "error", F.col("predicted") - F.col("realised"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import features, models, skill, splits
+from tidemark.operators import features, models
 from tidemark.plans.catalog import base_sql as B
 from tidemark.plans.catalog import feature_queries as FQ
 from tidemark.plans.catalog import feature_sql as FS
@@ -110,20 +110,6 @@ def _(spark, d):
     return models.blend_scores(p, price="reversal_1w", news="gap_1d").select("ticker", "decision_session", "prediction")
 
 
-@query("m1_m9_walk_forward_ridge")
-def _(spark, d):
-    """Out-of-sample ridge on the ranked price block, its calibration, and its skill per fold."""
-    from tidemark.operators import labels
-    from tidemark.plans import panel as P
-
-    bars, _, grid = FQ.setup(spark, d)
-    p = materialise(P.build_panel(bars, grid, labels=labels.build_labels(bars, grid), min_names=FQ.MIN_NAMES, blocks=("price",)), "panel")
-    folds = materialise(splits.walk_forward_folds(p.filter("label is not null"), embargo_weeks=1, train_weeks=40, test_weeks=12, min_train_weeks=30), "folds")
-    columns = P.feature_columns(p)
-    scored = materialise(models.walk_forward_predict(p, folds, lambda train, _: models.ridge(train, columns).predict), "scored")
-    return skill.periodic_ic(models.calibrate(scored), by=("fold", "decision_session"))
-
-
 @query("r3_ticks_to_bars", """
 SELECT 'U' || user_id AS ticker, CAST(ts AS DATE) AS session, arg_min(value, (ts, value)) AS open, max(value) AS high, min(value) AS low,
        arg_max(value, (ts, value)) AS "close", count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2""")
