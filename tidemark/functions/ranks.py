@@ -121,6 +121,18 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], *, m
         F.array(*[lo + (hi - lo) * part for lo, hi, part in edges]).alias("q"), F.max("n_total").alias("n"))
 
 
+def numbered(df: DataFrame, by: list[str], order: list[Column], key: Column, name: str) -> DataFrame:
+    """Adds ``name``: the place of a row in its group, from 0, by ``order``, whose first term is the hash ``key``.
+
+    Rows are numbered within 256 ranges of hashes; the counts of whole ranges are added afterwards.
+    """
+    ranged = df.withColumn("_range", F.shiftright(key, 56))
+    up = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(up), F.lit(0)))
+    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)) - 1)
+    return inside.join(before.drop("_k"), [*by, "_range"]).withColumn(name, F.col("_in") + F.col("_before")).drop("_range", "_in", "_before")
+
+
 def interval_of(value, edges) -> Column:
     """0-based index of the right-closed interval between distinct ascending edges; the first edge is included."""
     c, cuts = col(value), F.array_distinct(col(edges))

@@ -56,9 +56,10 @@ def sector_neutralize(df: DataFrame, columns: list[str], *, date: str = S.DECISI
     return df.join(means, same, "left").withColumns(centred).select(*df.columns)
 
 
-def cross_sectional_demean(df: DataFrame, column: str, *, date: str = S.DECISION, output: str | None = None) -> DataFrame:
-    means = df.groupBy(date).agg(F.avg(column).alias("_m"))
-    return df.join(means, date, "left").withColumn(output or column, F.col(column) - F.col("_m")).drop("_m")
+def cross_sectional_demean(df: DataFrame, column: str, *, date: str = S.DECISION, output: str | None = None, by=None) -> DataFrame:
+    keys = list(by or (date,))
+    means = df.groupBy(*keys).agg(F.avg(column).alias("_m"))
+    return df.join(means, keys, "left").withColumn(output or column, F.col(column) - F.col("_m")).drop("_m")
 
 
 def drop_thin_dates(df: DataFrame, *, date: str = S.DECISION, min_names: int = 20) -> DataFrame:

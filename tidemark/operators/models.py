@@ -96,30 +96,35 @@ def zero_score(df: DataFrame) -> DataFrame:
     return df.withColumn(S.PREDICTION, F.lit(0.0))
 
 
-def random_score(df: DataFrame, seed: int = 7) -> DataFrame:
+def random_score(df: DataFrame, seed: int = 7, output: str = S.PREDICTION) -> DataFrame:
     """Normal draws keyed by the row, so they do not depend on partitioning."""
     unit = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), S.DECISION, S.TICKER), F.lit(2**52)) + 0.5) / 2.0**52
-    return df.withColumn(S.PREDICTION, F.sqrt(-2.0 * F.ln(unit(1))) * F.cos(2.0 * F.pi() * unit(2)))
+    return df.withColumn(output, F.sqrt(-2.0 * F.ln(unit(1))) * F.cos(2.0 * F.pi() * unit(2)))
 
 
-def shuffle_labels(train: DataFrame, fold: int, seed: int = 7) -> DataFrame:
-    """Labels permuted within each week, independently per fold, by pairing two orders of the week's rows."""
-    from pyspark.sql import Window
+def shuffle_labels(train: DataFrame, *, by: tuple[str, ...] = (S.DECISION,), seed: int = 7, label: str = S.LABEL) -> DataFrame:
+    """Labels permuted within each group, by pairing two keyed orders of its labelled rows.
 
-    week = Window.partitionBy(S.DECISION)
-    placed = train.withColumns({
-        "_a": F.row_number().over(week.orderBy(S.TICKER)),
-        "_b": F.row_number().over(week.orderBy(F.xxhash64(F.lit(seed), F.lit(fold), S.DECISION, S.TICKER), S.TICKER))})
-    labels = placed.select(S.DECISION, F.col("_b").alias("_a"), F.col(S.LABEL).alias("_label"))
-    return placed.join(labels, [S.DECISION, "_a"]).withColumn(S.LABEL, F.col("_label")).drop("_a", "_b", "_label")
+    With the fold in ``by`` the permutations of different folds are independent. Both orders are orders of hashes of the row's key, so the
+    result does not depend on partitioning, and rows are numbered in ranges of hashes: no group is one task. Rows without a label stay.
+    """
+    keys = list(by)
+    rows = train.where(F.col(label).isNotNull())
+    order = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *keys, S.TICKER)
+    placed = rows
+    for name, salt in (("_a", 1), ("_b", 2)):
+        placed = ranks.numbered(placed, keys, [order(salt), F.col(S.TICKER), F.col(label)], order(salt), name)
+    labels = placed.select(*keys, F.col("_b").alias("_a"), F.col(label).alias("_label"))
+    moved = placed.join(labels, [*keys, "_a"]).withColumn(label, F.col("_label")).drop("_a", "_b", "_label")
+    return moved.unionByName(train.where(F.col(label).isNull()))
 
 
 def blend_scores(df: DataFrame, *, price: str = "price_score", news: str = "news_score", has_news: str = "has_news",
-                 price_weight: float = 0.9, news_weight: float = 0.1, by=(S.DECISION,), method: str = "buckets") -> DataFrame:
-    """Rank both scores and mix them; a row without news keeps its whole price rank."""
+                 price_weight: float = 0.9, news_weight: float = 0.1, by=(S.DECISION,), keys=(S.DECISION, S.TICKER), method: str = "buckets") -> DataFrame:
+    """Rank both scores and mix them; a row without news keeps its whole price rank. ``keys`` identify a row."""
     a, b = price_weight / (price_weight + news_weight), news_weight / (price_weight + news_weight)
     masked = df.withColumn("_n", F.when(F.col(has_news), F.col(news))).withColumn("_p", F.col(price))
-    ranked = ranks.rank_pct(masked, list(by), ["_p", "_n"], keys=[S.DECISION, S.TICKER], method=method, suffix="_r")
+    ranked = ranks.rank_pct(masked, list(by), ["_p", "_n"], keys=list(keys), method=method, suffix="_r")
     p, n = F.col("_p_r") - 0.5, F.col("_n_r") - 0.5
     return ranked.withColumn(S.PREDICTION, F.when(F.col(has_news), a * p + b * n).otherwise(p)).drop("_p", "_n", "_p_r", "_n_r")
 

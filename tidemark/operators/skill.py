@@ -16,10 +16,12 @@ def periodic_ic(df: DataFrame, *, prediction: str = S.PREDICTION, label: str = S
     pairs = df.filter(F.col(prediction).isNotNull() & F.col(label).isNotNull()).select(
         *keys, S.TICKER, F.col(prediction).alias("_p"), F.col(label).alias("_l"))
     ranked = ranks.rank_pct(pairs, keys, ["_p", "_l"], keys=[*keys, S.TICKER], method=method, suffix="_r")
+    # ``corr`` would raise for a constant group; two distinct values are seen from least and largest; only more need counting
+    distinct = F.count_distinct("_p") if min_distinct > 2 else F.lit(min_distinct)
     return ranked.groupBy(*keys).agg(
-        F.corr("_p_r", "_l_r").alias("ic"), F.count("*").alias("n"), F.min("_p").alias("_p0"), F.max("_p").alias("_p1"),
-        F.min("_l").alias("_l0"), F.max("_l").alias("_l1")).filter(
-            (F.col("n") >= min_names) & (F.col("_p0") < F.col("_p1")) & (F.col("_l0") < F.col("_l1"))).select(*keys, "ic", "n")
+        div(F.covar_pop("_p_r", "_l_r"), F.stddev_pop("_p_r") * F.stddev_pop("_l_r")).alias("ic"), F.count("*").alias("n"), F.min("_p").alias("_p0"), F.max("_p").alias("_p1"),
+        F.min("_l").alias("_l0"), F.max("_l").alias("_l1"), distinct.alias("_d")).filter(
+            (F.col("n") >= min_names) & (F.col("_p0") < F.col("_p1")) & (F.col("_l0") < F.col("_l1")) & (F.col("_d") >= min_distinct)).select(*keys, "ic", "n")
 
 
 def ic_statistics(ic: DataFrame, by=()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import calibration, fold_ridge, labels, skill, splits
+from tidemark.operators import ablation, book, calibration, costs, fold_ridge, labels, models, performance, skill, splits
 from tidemark.operators.features.registry import REGISTRY
 from tidemark.plans import panel as P
 from tidemark.plans.catalog import base_sql as B
@@ -127,3 +127,139 @@ SELECT greatest(len(list_filter(q, lambda x: x < expected_return)) - 1, 0)::INTE
        avg(expected_return) - avg(label) AS error FROM c, e GROUP BY 1""", "predicted realised error")
 def _(spark, d):
     return calibration.calibration_table(materialise(calibration.calibrate(stepped(spark, d)), "calibrated"))
+
+
+#: Weeks each name is held, its costs, and performance by scenario, from a table ``{0}`` of (scenario, decision_session, ticker, weight).
+def ledger_sql(books: str, weeks: str) -> list[str]:
+    f = costs.INDIA
+    side = "CASE WHEN fut THEN CASE WHEN ch > 0 THEN {0} ELSE {1} END ELSE CASE WHEN ch > 0 THEN {2} ELSE {3} END END"
+    tax = side.format(f.futures_stamp, f.futures_tax_sell, f.tax_buy + f.stamp, f.tax_sell + f.regulatory_sell)
+    return [f"""
+wo AS (SELECT scenario, decision_session AS d, lead(decision_session) OVER (PARTITION BY scenario ORDER BY decision_session) AS nxt FROM (SELECT DISTINCT decision_session FROM {weeks}), (SELECT DISTINCT scenario FROM {books})),
+mv AS (SELECT scenario, d AS decision_session, ticker, sum(w1) AS w1, sum(w0) AS w0 FROM (
+         SELECT scenario, decision_session AS d, ticker, weight AS w1, 0.0::DOUBLE AS w0 FROM {books}
+         UNION ALL SELECT b.scenario, nxt, ticker, 0.0::DOUBLE, weight FROM {books} b JOIN wo ON wo.scenario = b.scenario AND wo.d = b.decision_session WHERE nxt IS NOT NULL) GROUP BY ALL),
+mc AS (SELECT mv.*, w1 - w0 AS ch, CASE WHEN abs(w1 - w0) >= 1e-9 THEN abs(w1 - w0) ELSE 0 END AS n, w1 < 0 OR w0 < 0 AS fut, volatility, adv_notional, hl_range
+       FROM mv LEFT JOIN stats USING (ticker, decision_session)),
+ct AS (SELECT *, n * CASE WHEN fut THEN {f.futures_commission} ELSE {f.commission} END * 1e-4 AS com, n * CASE WHEN fut THEN {f.futures_exchange} ELSE {f.exchange} END * 1e-4 AS exc FROM mc),
+cc AS (SELECT scenario, decision_session, sum(CASE WHEN n > 0 THEN com ELSE 0 END) AS commission, sum(CASE WHEN n > 0 THEN n * ({tax}) * 1e-4 + exc + (com + exc) * {f.gst_rate} ELSE 0 END) AS taxes,
+         sum(CASE WHEN n > 0 THEN n * CASE WHEN hl_range > 0 THEN greatest({f.min_half_spread}::DOUBLE, least(hl_range * 10000 * {f.spread_from_range}, 50)) ELSE {f.min_half_spread} END * 1e-4 ELSE 0 END) AS spread,
+         sum(CASE WHEN n > 0 AND adv_notional > 0 THEN n * {f.impact_k} * coalesce(volatility, 0.3) / sqrt(252.0) * 10000 * sqrt(least(n / adv_notional, 1)) * 1e-4 ELSE 0 END) AS impact,
+         sum(CASE WHEN w1 < 0 THEN -w1 ELSE 0 END) * {f.borrow_annual} * 1e-4 / 252 * 5 AS borrow, 0.0::DOUBLE AS roll, sum(abs(ch)) / 2 AS turnover FROM ct GROUP BY 1, 2),
+cost AS (SELECT *, commission + taxes + spread + impact + borrow + roll AS total FROM cc)""", f"""
+gr AS (SELECT scenario, decision_session, sum(weight * coalesce(forward_return, 0)) AS gross_return, sum(abs(weight)) AS gross_exposure, sum(weight) AS net_exposure
+       FROM {books} LEFT JOIN fwd USING (decision_session, ticker) GROUP BY 1, 2),
+lg AS (SELECT scenario, decision_session, coalesce(gross_return, 0) AS gross_return, coalesce(total, 0) AS cost, coalesce(gross_return, 0) - coalesce(total, 0) AS net_return,
+         coalesce(turnover, 0) AS turnover, coalesce(gross_exposure, 0) AS gross_exposure, coalesce(net_exposure, 0) AS net_exposure
+       FROM (SELECT DISTINCT scenario, decision_session FROM {weeks}) LEFT JOIN gr USING (scenario, decision_session) LEFT JOIN cost USING (scenario, decision_session))"""]
+
+
+FORWARD = "\nfwd AS (SELECT decision_session, ticker, open_out / open_in - 1 AS forward_return FROM pairs WHERE open_in > 0)"
+METRICS = """
+eq AS (SELECT *, product(1 + net_return) OVER (PARTITION BY scenario ORDER BY decision_session) AS eq FROM {0}),
+ud AS (SELECT *, eq / max(eq) OVER (PARTITION BY scenario ORDER BY decision_session) - 1 AS dd FROM eq),
+ur AS (SELECT *, count(*) FILTER (dd >= -1e-9) OVER (PARTITION BY scenario ORDER BY decision_session) AS run FROM ud),
+uw AS (SELECT scenario, max(k) AS weeks FROM (SELECT scenario, run, count(*) AS k FROM ur WHERE dd < -1e-9 GROUP BY 1, 2) GROUP BY 1),
+me AS (SELECT scenario, count(*) AS n_periods, product(1 + net_return) AS e, avg(net_return) * 52 AS ann_return, stddev_samp(net_return) * sqrt(52.0) AS ann_vol,
+         stddev_samp(net_return) FILTER (net_return < 0) * sqrt(52.0) AS down, min(dd) AS max_drawdown, avg((net_return > 0)::INTEGER) AS hit_rate, avg(net_return) FILTER (net_return > 0) AS win,
+         avg(net_return) FILTER (net_return < 0) AS loss, max(net_return) AS best_week, min(net_return) AS worst_week, coalesce(avg(turnover), 0) AS turnover,
+         coalesce(avg(cost), 0) * 10000 AS cost_drag_bps, coalesce(avg(gross_exposure), 0) AS avg_gross, coalesce(avg(net_exposure), 0) AS avg_net FROM ud GROUP BY 1),
+mt AS (SELECT scenario, n_periods, e - 1 AS total_return, pow(e, 52.0 / n_periods) - 1 AS cagr, ann_return, ann_vol, CASE WHEN abs(ann_vol) > 1e-12 THEN ann_return / ann_vol ELSE 0 END AS sharpe,
+         CASE WHEN abs(down) > 1e-12 THEN ann_return / down ELSE 0 END AS sortino, CASE WHEN abs(max_drawdown) > 1e-9 THEN (pow(e, 52.0 / n_periods) - 1) / abs(max_drawdown) ELSE 0 END AS calmar,
+         max_drawdown, coalesce(weeks, 0) AS max_drawdown_weeks, hit_rate, coalesce(win / abs(loss), 0) AS win_loss_ratio, best_week, worst_week, turnover, cost_drag_bps, avg_gross, avg_net
+       FROM me LEFT JOIN uw USING (scenario))"""
+METRIC_COLUMNS = ["scenario", "n_periods", "total_return", "cagr", "ann_return", "ann_vol", "sharpe", "sortino", "calmar", "max_drawdown", "max_drawdown_weeks", "hit_rate", "win_loss_ratio",
+                  "best_week", "worst_week", "turnover", "cost_drag_bps", "avg_gross", "avg_net"]
+METRIC_DOUBLES = " ".join(c for c in METRIC_COLUMNS if c not in ("scenario", "n_periods", "max_drawdown_weeks"))
+
+VARIANT_SQL = (*RIDGE, MQ.STATS, FORWARD, """
+usable AS (SELECT fold FROM rows WHERE role = 'train' GROUP BY 1 HAVING count(*) >= 200),
+tested AS (SELECT rows.* FROM rows JOIN usable USING (fold) WHERE role = 'test'),
+vp AS (SELECT 'zero' AS scenario, fold, decision_session, ticker, label, 0.0::DOUBLE AS prediction FROM tested
+       UNION ALL SELECT 'momentum', fold, decision_session, ticker, label, 0.5 * coalesce(reversal_1w, 0) + 0.3 * coalesce(mom_12w, 0) + 0.2 * coalesce(mom_52w_skip4w, 0) FROM tested
+       UNION ALL SELECT 'price_only', fold, decision_session, ticker, label, prediction FROM scored JOIN usable USING (fold)),
+vs AS (SELECT scenario, decision_session, ticker, prediction - avg(prediction) OVER (PARTITION BY scenario, decision_session) AS score FROM vp),
+vn AS (SELECT *, count(*) OVER p AS n, row_number() OVER (p ORDER BY score DESC, ticker) AS rt, row_number() OVER (p ORDER BY score, ticker DESC) AS rb FROM vs WINDOW p AS (PARTITION BY scenario, decision_session)),
+vb AS (SELECT scenario, decision_session, ticker, sign(score) / sum(abs(sign(score))) OVER (PARTITION BY scenario, decision_session) AS weight FROM vn
+       WHERE (score > 1e-12 AND rt <= CASE WHEN n < 30 THEN least(8, greatest(1, n // 4)) ELSE 8 END) OR (score < -1e-12 AND rb <= CASE WHEN n < 30 THEN least(7, greatest(1, n // 4)) ELSE 7 END))""",
+               *ledger_sql("vb", "vp"))
+
+
+def plain_books(scores):
+    """Equal weights on the selected names; scores that differ from the mean by rounding alone are none."""
+    s = scores.withColumn("score", F.when(F.abs("score") > 1e-12, F.col("score")).otherwise(0.0))
+    return book.equal_weights(book.select_names(s, by=("scenario", "decision_session")), by=("scenario", "decision_session"))
+
+
+def variants_of(spark, d, variants, **options):
+    from tidemark.sources import fixtures as fx
+
+    p = price_panel(spark, d)
+    bars, _, grid = FQ.setup(spark, d)
+    made = materialise(ablation.variant_predictions(p, price_folds(p), PRICE, variants=variants, **options), "variants")
+    stats = performance.trailing_stats(fx.bars(spark, d)).withColumnRenamed("session", "decision_session")
+    return made, labels.forward_returns(bars, grid), stats
+
+
+@query("v20_fixed_variants", recursive(*VARIANT_SQL, METRICS.format("lg")) + f" SELECT {', '.join(METRIC_COLUMNS)} FROM mt", METRIC_DOUBLES, 6)
+def _(spark, d):
+    """Zero, momentum and ridge on identical folds: books, costs and performance in one plan."""
+    made, forward, stats = variants_of(spark, d, ("zero", "momentum", "price_only"))
+    return ablation.ablation(made, forward, stats, costs.INDIA, size=plain_books, hold=False)[1].select(*METRIC_COLUMNS)
+
+
+@query("v20_variant_ledger", recursive(*VARIANT_SQL) + """
+SELECT scenario, decision_session, gross_return, cost, turnover, gross_exposure, net_exposure FROM lg""", "gross_return cost turnover gross_exposure net_exposure", 8)
+def _(spark, d):
+    made, forward, stats = variants_of(spark, d, ("zero", "momentum", "price_only"))
+    return ablation.ablation(made, forward, stats, costs.INDIA, size=plain_books, hold=False)[0].select(
+        "scenario", "decision_session", "gross_return", "cost", "turnover", "gross_exposure", "net_exposure")
+
+
+@query("v20_ablation")
+def _(spark, d):
+    """All eight variants on identical folds; two features stand in for news, on one name in three."""
+    p = price_panel(spark, d)
+    some = F.expr("cast(substring(ticker, 2, 20) as bigint) % 3 = 0")
+    p = materialise(p.withColumns({"news_a": F.when(some, F.col("mom_4w")), "news_b": F.when(some, F.col("gap_1d"))}), "panel")
+    bars, _, grid = FQ.setup(spark, d)
+    made = materialise(ablation.variant_predictions(p, price_folds(p), PRICE, ("news_a", "news_b")), "variants")
+    stats = performance.trailing_stats(bars).withColumnRenamed("session", "decision_session")
+    _, metrics = ablation.ablation(made, labels.forward_returns(bars, grid), stats, costs.INDIA)
+    return metrics.join(ablation.variant_skill(made).select("scenario", "mean_ic", "fold_ic", "fold_t"), "scenario", "left")
+
+
+CPCV = f"""
+known AS (SELECT * FROM panel WHERE label IS NOT NULL),
+wk AS (SELECT decision_session, row_number() OVER (ORDER BY decision_session) - 1 AS week, count(*) OVER () AS n FROM (SELECT DISTINCT decision_session FROM known)),
+gp AS (SELECT decision_session, CASE WHEN week < (n % 6) * (n // 6 + 1) THEN week // (n // 6 + 1) ELSE n % 6 + (week - (n % 6) * (n // 6 + 1)) // (n // 6) END AS g FROM wk),
+pick AS (SELECT row_number() OVER (ORDER BY a.range, b.range) - 1 AS fold, a.range AS a, b.range AS b FROM range(6) a JOIN range(6) b ON a.range < b.range),
+rw AS (SELECT fold, g = a OR g = b AS tested, known.* FROM gp JOIN known USING (decision_session) JOIN pick ON TRUE),
+sp AS (SELECT fold, min(label_t0) AS lo, max(label_t1) AS hi FROM rw WHERE tested GROUP BY 1),
+rows AS (SELECT CASE WHEN tested THEN 'test' WHEN label_t0 <= hi AND label_t1 >= lo THEN 'purged'
+           WHEN (label_t1 >= lo - 7 AND label_t1 < lo) OR (label_t0 > hi AND label_t0 <= hi + 7) THEN 'embargoed' ELSE 'train' END AS role, rw.* FROM rw JOIN sp USING (fold)),
+okp AS (SELECT fold FROM rows GROUP BY 1 HAVING count(*) FILTER (role = 'train') >= 200 AND count(*) FILTER (role = 'test') >= 50)"""
+CANDIDATES = ["mom_4w", "reversal_1w", "mom_12w", "vol_13w"]
+
+
+@query("v19_path_scores", B.with_(*PANEL, CPCV, f"""
+cand AS (SELECT fold, role, decision_session, ticker, label, unnest({CANDIDATES}) AS candidate, unnest([{', '.join(CANDIDATES)}]) AS v FROM rows JOIN okp USING (fold) WHERE role IN ('train', 'test')),
+ck AS (SELECT *, rank() OVER (PARTITION BY fold, role, candidate, decision_session ORDER BY v) + (count(*) OVER (PARTITION BY fold, role, candidate, decision_session, v) - 1) / 2.0 AS rp,
+         rank() OVER (PARTITION BY fold, role, candidate, decision_session ORDER BY label) + (count(*) OVER (PARTITION BY fold, role, candidate, decision_session, label) - 1) / 2.0 AS rl FROM cand WHERE v IS NOT NULL),
+ci AS (SELECT fold, role, candidate, decision_session, corr(rp, rl) AS ic FROM ck GROUP BY ALL HAVING count(*) >= 5 AND count(DISTINCT v) >= 3 AND count(DISTINCT label) >= 2)""") + """
+SELECT fold::INTEGER AS path, candidate, avg(ic) FILTER (role = 'train') AS in_sample, avg(ic) FILTER (role = 'test') AS out_of_sample FROM ci GROUP BY 1, 2""", "in_sample out_of_sample", 8)
+def _(spark, d):
+    """Four factors on every combinatorial path; a week's correlation is computed once for each set of its rows."""
+    p = price_panel(spark, d)
+    folds = materialise(splits.combinatorial_folds(p.filter("label is not null"), n_groups=6, n_test_groups=2, embargo_weeks=1), "folds")
+    return ablation.path_skill(p, folds, CANDIDATES)
+
+
+@query("m5_shuffled_labels", B.with_(*FQ.LABEL_BASE) + """
+SELECT decision_session, count(*) AS n, sum(label) AS total, min(label) AS least, max(label) AS most, median(label) AS middle FROM labels GROUP BY 1""", "total least most middle", 8)
+def _(spark, d):
+    """Labels permuted within each week keep the week's values."""
+    bars, _, grid = FQ.setup(spark, d)
+    mixed = models.shuffle_labels(labels.build_labels(bars, grid))
+    return mixed.groupBy("decision_session").agg(F.count("*").alias("n"), F.sum("label").alias("total"), F.min("label").alias("least"), F.max("label").alias("most"),
+                                                 F.median("label").alias("middle"))
