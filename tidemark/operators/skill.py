@@ -1,11 +1,11 @@
 """Signal quality: rank correlation per date, its summary, quantile returns."""
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
 from tidemark.functions import ranks
+from tidemark.functions.distributions import t_two_sided_col
 from tidemark.functions.exprs import div
 
 
@@ -36,14 +36,9 @@ def ic_statistics(ic: DataFrame, by=()) -> DataFrame:
 
 
 def with_p_value(stats: DataFrame) -> DataFrame:
-    """Two-sided p-value of each summary row; one scalar per row, so a vectorised function is enough."""
-    from tidemark.functions.distributions import t_two_sided
-
-    @F.pandas_udf("double")
-    def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([t_two_sided(a, b - 1) if b > 2 and a != 0.0 else 1.0 for a, b in zip(t, n)])
-
-    return stats.withColumn("p_value", p_value("t_stat", "n_periods"))
+    """Two-sided p-value of each summary row."""
+    tested = (F.col("n_periods") > 2) & (F.col("t_stat") != 0.0)
+    return stats.withColumn("p_value", F.when(tested, t_two_sided_col("t_stat", F.greatest(F.col("n_periods") - 1, F.lit(1)))).otherwise(1.0))
 
 
 def ic_verdict(stats: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.distributions import expected_max_sharpe
 from tidemark.operators import ablation, book, calibration, costs, fold_ridge, labels, models, performance, skill, splits
 from tidemark.operators.features.registry import REGISTRY
 from tidemark.plans import panel as P
 from tidemark.plans.catalog import base_sql as B
+from tidemark.plans.catalog import evaluation_queries as EQ
 from tidemark.plans.catalog import feature_queries as FQ
 from tidemark.plans.catalog import feature_sql as FS
 from tidemark.plans.catalog import money_queries as MQ
@@ -130,7 +132,7 @@ def _(spark, d):
 
 
 #: Weeks each name is held, its costs, and performance by scenario, from a table ``{0}`` of (scenario, decision_session, ticker, weight).
-def ledger_sql(books: str, weeks: str) -> list[str]:
+def ledger_sql(books: str, weeks: str, reported: str | None = None) -> list[str]:
     f = costs.INDIA
     side = "CASE WHEN fut THEN CASE WHEN ch > 0 THEN {0} ELSE {1} END ELSE CASE WHEN ch > 0 THEN {2} ELSE {3} END END"
     tax = side.format(f.futures_stamp, f.futures_tax_sell, f.tax_buy + f.stamp, f.tax_sell + f.regulatory_sell)
@@ -151,7 +153,7 @@ gr AS (SELECT scenario, decision_session, sum(weight * coalesce(forward_return,
        FROM {books} LEFT JOIN fwd USING (decision_session, ticker) GROUP BY 1, 2),
 lg AS (SELECT scenario, decision_session, coalesce(gross_return, 0) AS gross_return, coalesce(total, 0) AS cost, coalesce(gross_return, 0) - coalesce(total, 0) AS net_return,
          coalesce(turnover, 0) AS turnover, coalesce(gross_exposure, 0) AS gross_exposure, coalesce(net_exposure, 0) AS net_exposure
-       FROM (SELECT DISTINCT scenario, decision_session FROM {weeks}) LEFT JOIN gr USING (scenario, decision_session) LEFT JOIN cost USING (scenario, decision_session))"""]
+       FROM (SELECT DISTINCT scenario, decision_session FROM {reported or weeks}) LEFT JOIN gr USING (scenario, decision_session) LEFT JOIN cost USING (scenario, decision_session))"""]
 
 
 FORWARD = "\nfwd AS (SELECT decision_session, ticker, open_out / open_in - 1 AS forward_return FROM pairs WHERE open_in > 0)"
@@ -162,14 +164,15 @@ ur AS (SELECT *, count(*) FILTER (dd >= -1e-9) OVER (PARTITION BY scenario ORDER
 uw AS (SELECT scenario, max(k) AS weeks FROM (SELECT scenario, run, count(*) AS k FROM ur WHERE dd < -1e-9 GROUP BY 1, 2) GROUP BY 1),
 me AS (SELECT scenario, count(*) AS n_periods, product(1 + net_return) AS e, avg(net_return) * 52 AS ann_return, stddev_samp(net_return) * sqrt(52.0) AS ann_vol,
          stddev_samp(net_return) FILTER (net_return < 0) * sqrt(52.0) AS down, min(dd) AS max_drawdown, avg((net_return > 0)::INTEGER) AS hit_rate, avg(net_return) FILTER (net_return > 0) AS win,
-         avg(net_return) FILTER (net_return < 0) AS loss, max(net_return) AS best_week, min(net_return) AS worst_week, coalesce(avg(turnover), 0) AS turnover,
-         coalesce(avg(cost), 0) * 10000 AS cost_drag_bps, coalesce(avg(gross_exposure), 0) AS avg_gross, coalesce(avg(net_exposure), 0) AS avg_net FROM ud GROUP BY 1),
+         avg(net_return) FILTER (net_return < 0) AS loss, max(net_return) AS best_week, min(net_return) AS worst_week, avg(turnover) AS turnover,
+         avg(cost) * 10000 AS cost_drag_bps, avg(gross_exposure) AS avg_gross, avg(net_exposure) AS avg_net,
+         CASE WHEN count(*) > 3 THEN coalesce(skewness(net_return), 0) ELSE 0 END AS skew FROM ud GROUP BY 1),
 mt AS (SELECT scenario, n_periods, e - 1 AS total_return, pow(e, 52.0 / n_periods) - 1 AS cagr, ann_return, ann_vol, CASE WHEN abs(ann_vol) > 1e-12 THEN ann_return / ann_vol ELSE 0 END AS sharpe,
          CASE WHEN abs(down) > 1e-12 THEN ann_return / down ELSE 0 END AS sortino, CASE WHEN abs(max_drawdown) > 1e-9 THEN (pow(e, 52.0 / n_periods) - 1) / abs(max_drawdown) ELSE 0 END AS calmar,
-         max_drawdown, coalesce(weeks, 0) AS max_drawdown_weeks, hit_rate, coalesce(win / abs(loss), 0) AS win_loss_ratio, best_week, worst_week, turnover, cost_drag_bps, avg_gross, avg_net
+         max_drawdown, coalesce(weeks, 0) AS max_drawdown_weeks, hit_rate, coalesce(win / abs(loss), 0) AS win_loss_ratio, best_week, worst_week, skew, turnover, cost_drag_bps, avg_gross, avg_net
        FROM me LEFT JOIN uw USING (scenario))"""
 METRIC_COLUMNS = ["scenario", "n_periods", "total_return", "cagr", "ann_return", "ann_vol", "sharpe", "sortino", "calmar", "max_drawdown", "max_drawdown_weeks", "hit_rate", "win_loss_ratio",
-                  "best_week", "worst_week", "turnover", "cost_drag_bps", "avg_gross", "avg_net"]
+                  "best_week", "worst_week", "skew", "turnover", "cost_drag_bps", "avg_gross", "avg_net"]
 METRIC_DOUBLES = " ".join(c for c in METRIC_COLUMNS if c not in ("scenario", "n_periods", "max_drawdown_weeks"))
 
 VARIANT_SQL = (*RIDGE, MQ.STATS, FORWARD, """
@@ -263,3 +266,122 @@ def _(spark, d):
     mixed = models.shuffle_labels(labels.build_labels(bars, grid))
     return mixed.groupBy("decision_session").agg(F.count("*").alias("n"), F.sum("label").alias("total"), F.min("label").alias("least"), F.max("label").alias("most"),
                                                  F.median("label").alias("middle"))
+
+
+NAMED_BOOK = (*MQ.BASE, MQ.PICK, MQ.STATS, MQ.INVVOL, FORWARD, """
+bk AS (SELECT 'book' AS scenario, decision_session, ticker, weight FROM weighted)""", *ledger_sql("bk", "grid", "(SELECT scenario, decision_session FROM bk UNION SELECT scenario, decision_session FROM cost)"), """
+bo AS (SELECT scenario, decision_session, net_return, cost, turnover, gross_exposure, net_exposure FROM lg
+         UNION ALL SELECT 'hold', decision_session, avg(forward_return), NULL, NULL, NULL, NULL FROM bk JOIN fwd USING (decision_session, ticker) GROUP BY 2)""")
+
+LARGE = ("total_return", "cagr", "calmar")
+
+
+@query("b4_v7_book_performance", B.with_(*NAMED_BOOK, METRICS.format("bo")) + f"""
+SELECT * REPLACE ({', '.join(f'sign({c}) * ln(1 + abs({c})) AS {c}' for c in LARGE)}) FROM (SELECT {', '.join(METRIC_COLUMNS)} FROM mt)""", METRIC_DOUBLES, 6)
+def _(spark, d):
+    """Metrics of the inverse-volatility book after costs, and of holding everything; figures that compound to any size as logarithms."""
+    return MQ.performance_report(spark, d).withColumns({c: F.signum(c) * F.log1p(F.abs(c)) for c in LARGE})
+
+
+@query("c5_c7_rebalance_cost", B.with_(*NAMED_BOOK) + """
+SELECT decision_session, commission, taxes, spread, impact, borrow, roll, total, turnover FROM cost""", "commission taxes spread impact borrow roll total turnover", 9)
+def _(spark, d):
+    """Cost components and turnover of the inverse-volatility book, week by week."""
+    b, _, grid, stats = MQ.sized(spark, d)
+    return costs.rebalance_cost(b.select("decision_session", "ticker", "weight"), grid, stats, costs.INDIA)
+
+
+#: Volatility under the covariance shrunk to constant correlation, pair by pair.
+TARGET_VOL = (*MQ.BASE, MQ.PICK, MQ.STATS, MQ.INVVOL, """
+wkd AS (SELECT session AS s, min(d.decision_session) AS e FROM sessions JOIN decisions d ON d.decision_session >= session GROUP BY 1),
+wb AS (SELECT ticker, e AS session, arg_max("close", bars.session) AS "close" FROM bars JOIN wkd ON s = bars.session GROUP BY 1, 2),
+wi AS (SELECT session, row_number() OVER (ORDER BY session) AS i, lag(session) OVER (ORDER BY session) AS prev FROM (SELECT DISTINCT session FROM wb)),
+wr AS (SELECT ticker, session, i, CASE WHEN lag(session) OVER t = prev THEN "close" / lag("close") OVER t - 1 END AS r FROM wb JOIN wi USING (session) WINDOW t AS (PARTITION BY ticker ORDER BY session)),
+li AS (SELECT decision_session, max(i) AS i FROM (SELECT DISTINCT decision_session FROM weighted) JOIN wi ON session <= decision_session GROUP BY 1),
+pa AS (SELECT w.decision_session, w.ticker, weight, wr.session, r FROM weighted w JOIN li USING (decision_session) JOIN wr ON wr.ticker = w.ticker AND wr.i BETWEEN li.i - 103 AND li.i WHERE r IS NOT NULL),
+nn AS (SELECT decision_session, count(DISTINCT ticker) AS n FROM pa GROUP BY 1),
+fu AS (SELECT decision_session, session FROM pa JOIN nn USING (decision_session) GROUP BY decision_session, session, n HAVING count(*) = n),
+hi AS (SELECT pa.* FROM pa JOIN fu USING (decision_session, session)),
+cv AS (SELECT decision_session, a.ticker AS x, b.ticker AS y, any_value(a.weight) AS wx, any_value(b.weight) AS wy, covar_samp(a.r, b.r) AS c, stddev_samp(a.r) AS sx, stddev_samp(b.r) AS sy, count(*) AS t
+       FROM hi a JOIN hi b USING (decision_session, session) GROUP BY 1, 2, 3),
+mr AS (SELECT decision_session, avg(coalesce(c / nullif(sx * sy, 0), 0)) FILTER (x <> y) AS m FROM cv GROUP BY 1),
+pv2 AS (SELECT decision_session, sqrt(greatest(sum(wx * wy * (k * CASE WHEN x = y THEN c ELSE m * sx * sy END + (1 - k) * c)), 0)) * sqrt(52.0) AS v
+        FROM (SELECT *, least(greatest(n / greatest(t, 1)::DOUBLE, 0.1), 0.9) AS k FROM cv JOIN mr USING (decision_session) JOIN nn USING (decision_session)) WHERE t >= 10 AND n >= 2 GROUP BY 1),
+al AS (SELECT decision_session, sqrt(sum(pow(weight * coalesce(volatility, m), 2))) AS a FROM (SELECT *, median(volatility) OVER (PARTITION BY decision_session) AS m FROM (SELECT decision_session, ticker, weight, volatility FROM weighted)) GROUP BY 1),
+sz AS (SELECT decision_session, CASE WHEN coalesce(v, 0) > 1e-6 THEN v ELSE a END AS cur FROM al LEFT JOIN pv2 USING (decision_session))""")
+
+
+@query("b2_simple_weekly_returns", B.with_(*TARGET_VOL) + " SELECT ticker, session, r AS weekly_return FROM wr", "weekly_return")
+def _(spark, d):
+    from tidemark.operators.calendar import simple_weekly_returns
+    from tidemark.sources import fixtures as fx
+
+    return simple_weekly_returns(fx.bars(spark, d))
+
+
+query("p5_p7_target_vol_book", B.with_(*TARGET_VOL) + """
+SELECT decision_session, ticker, weight * s AS weight, s AS vol_scale FROM weighted JOIN (
+  SELECT decision_session, coalesce(CASE WHEN cur > 1e-6 THEN least(greatest(0.12::DOUBLE / cur, 1 / 3.0::DOUBLE), 3.0::DOUBLE) END, 1) AS s FROM sz) USING (decision_session)""", "weight vol_scale", 8)(MQ.target_vol_book)
+
+
+query("o1_o4_orders", B.with_(*MQ.BASE, MQ.PICK, MQ.STATS, MQ.INVVOL, """
+px AS (SELECT ticker, arg_max("close", session) AS price FROM bars GROUP BY 1),
+od AS (SELECT ticker, CASE WHEN weight > 0 THEN 'buy' ELSE 'sell' END AS side, floor(abs(weight) * 1e6 / price) AS quantity, CASE WHEN weight >= 0 THEN 'equity' ELSE 'equity_short' END AS instrument,
+         price AS est_price, floor(abs(weight) * 1e6 / price) * price AS est_value FROM weighted JOIN px USING (ticker)
+       WHERE decision_session = (SELECT max(decision_session) FROM weighted) AND floor(abs(weight) * 1e6 / price) >= 1),
+st AS (SELECT *, CASE WHEN instrument = 'equity_short' THEN CASE side WHEN 'sell' THEN 'open_short' ELSE 'close' END WHEN side = 'sell' THEN 'reduce' ELSE 'open_long' END AS step FROM od)""") + """
+SELECT ticker, side, quantity, instrument, est_price, est_value, '' AS tag, FALSE AS below_one_lot, TRUE AS is_order, step,
+       row_number() OVER (ORDER BY CASE step WHEN 'close' THEN 0 WHEN 'reduce' THEN 1 WHEN 'open_short' THEN 2 ELSE 3 END, est_value DESC, ticker)::INTEGER AS position,
+       CASE step WHEN 'open_long' THEN -est_value WHEN 'open_short' THEN 0 ELSE est_value END AS cash_effect FROM st""", "quantity est_price est_value cash_effect", 3)(MQ.newest_orders)
+
+#: Student's t tail by Simpson's rule over the density; the normal probability by its series.
+T_TAIL = """(1 - 2 * exp(lgamma((n_periods) / 2.0) - lgamma((n_periods - 1) / 2.0)) / sqrt((n_periods - 1) * pi()) * abs(t_stat) / 6000 * list_sum(list_transform(range(0, 2001),
+  lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t_stat * i / 2000.0, 2) / (n_periods - 1), -n_periods / 2.0))))"""
+
+
+def normal_sql(x: str) -> str:
+    return (f"(0.5 + sign({x}) * exp(-{x} * {x} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 220), lambda k: "
+            f"exp((2 * k + 1) * ln(abs({x}) + 1e-300) - lgamma(2 * k + 3) + (k + 1) * ln(2.0) + lgamma(k + 2)))))")
+
+
+query("v2_ic_verdict", B.with_(*MQ.BASE, f"s AS (SELECT {MQ.IC_STATS} FROM ic)", f"p AS (SELECT *, {T_TAIL} AS p_value FROM s)") + """
+SELECT *, CASE WHEN n_periods < 52 THEN 'too few weeks' WHEN p_value > 0.10 THEN 'noise' WHEN abs(mean_ic) < 0.01 THEN 'detectable but tiny' WHEN abs(mean_ic) < 0.03 THEN 'plausible'
+  ELSE 'unusually strong' END AS verdict FROM p""", MQ.IC_DOUBLES + " p_value")(MQ.ic_verdict)
+
+
+TRIALS = """
+tn AS (SELECT n_name AS market, count(DISTINCT p_brand) * 40 AS n_trials, count(*) AS n_observations, avg(l_discount) * 40 AS observed FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+       JOIN nation ON n_nationkey = s_nationkey JOIN part ON p_partkey = l_partkey GROUP BY 1),
+bi AS (SELECT market, n_trials, 0 AS step, q, 0.0::DOUBLE AS lo, 10.0::DOUBLE AS hi FROM (SELECT *, unnest([1.0::DOUBLE / n_trials, 1.0::DOUBLE / (n_trials * exp(1.0))]) AS q FROM tn)
+       UNION ALL SELECT market, n_trials, step + 1, q, CASE WHEN {up} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {up} THEN hi ELSE (lo + hi) / 2 END FROM bi WHERE step < 48),
+zz AS (SELECT market, max((lo + hi) / 2) FILTER (q = 1.0::DOUBLE / n_trials) AS z1, max((lo + hi) / 2) FILTER (q < 1.0::DOUBLE / n_trials) AS z2 FROM bi WHERE step = 48 GROUP BY 1),
+mx AS (SELECT market, n_trials, observed, n_observations, (1 - 0.5772156649015329::DOUBLE) * z1 + 0.5772156649015329::DOUBLE * z2 AS expected_max_sharpe FROM tn JOIN zz USING (market))""".replace(
+    "{up}", "1 - " + normal_sql("((lo + hi) / 2)") + " > q")
+
+
+@query("v12_expected_best_of_trials", recursive(TRIALS) + """
+SELECT market, n_trials, expected_max_sharpe, CASE WHEN n_observations >= 20 THEN greatest(0, observed - expected_max_sharpe) ELSE 0 END AS haircut FROM mx""", "expected_max_sharpe haircut", 7)
+def _(spark, d):
+    """Best Sharpe that as many worthless trials would show, and what is left of the observed one."""
+    from tidemark.functions import distributions as D
+    from tidemark.sources import fixtures as fx
+
+    li, s, n, p = (fx.table(spark, d, t) for t in ("lineitem", "supplier", "nation", "part"))
+    made = li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey).join(p, li.l_partkey == p.p_partkey).groupBy(F.col("n_name").alias("market")).agg(
+        (F.count_distinct("p_brand") * 40).alias("n_trials"), F.count("*").alias("n_observations"), (F.avg("l_discount") * 40).alias("observed"))
+    return made.select("market", "n_trials", D.expected_max_sharpe_col("n_trials").alias("expected_max_sharpe"), D.haircut_sharpe_col("observed", "n_trials", "n_observations").alias("haircut"))
+
+
+#: Expected best of twelve worthless trials; ``v12`` holds this statistic against SQL.
+BAR = expected_max_sharpe(12)
+
+
+@query("v13_deflated_sharpe", B.with_(EQ.LEDGER, f"""
+m AS (SELECT scenario, count(*) AS n_observations, avg(gross_return - cost) / stddev_samp(gross_return - cost) AS sr, skewness(gross_return - cost) AS skew, kurtosis(gross_return - cost) + 3 AS kurtosis FROM ledger GROUP BY 1),
+z AS (SELECT *, (sr - {BAR!r}::DOUBLE / sqrt(52.0)) * sqrt(n_observations - 1) / sqrt(greatest(1 - skew * sr + (kurtosis - 1) / 4 * sr * sr, 1e-9)) AS deflated_sharpe FROM m),
+p AS (SELECT *, {normal_sql('deflated_sharpe')} AS probability FROM z)""") + f"""
+SELECT scenario, n_observations, skew, kurtosis, sr * sqrt(52.0) AS observed_sharpe, {BAR!r}::DOUBLE AS expected_max_sharpe, deflated_sharpe, probability,
+       CASE WHEN n_observations < 100 THEN 'too short' WHEN probability >= 0.95 THEN 'survives' WHEN probability >= 0.8 THEN 'marginal' ELSE 'does not survive' END AS verdict FROM p""",
+       "skew kurtosis observed_sharpe expected_max_sharpe deflated_sharpe probability")
+def _(spark, d):
+    return performance.deflated_sharpe(EQ.ledger(spark, d), 12)

@@ -53,8 +53,7 @@ def _(spark, d):
     return skill.ic_statistics(skill.periodic_ic(predictions(spark, d)[0]))
 
 
-@query("v2_ic_verdict")
-def _(spark, d):
+def ic_verdict(spark, d):
     return skill.ic_verdict(skill.with_p_value(skill.ic_statistics(skill.periodic_ic(predictions(spark, d)[0]))))
 
 
@@ -213,8 +212,7 @@ def limited(spark, d):
     return book.apply_limits(b.select("decision_session", "ticker", "sector", "weight")).select("decision_session", "ticker", "weight")
 
 
-@query("p5_p7_target_vol_book")
-def _(spark, d):
+def target_vol_book(spark, d):
     """Volatility-targeted books from the shrunk covariance of the names' weekly returns."""
     from tidemark.operators.calendar import simple_weekly_returns
 
@@ -296,7 +294,6 @@ def _(spark, d):
     return fills.pool_weeks(fill_report(spark, d)).select("n_weeks", "realised_bps", "expected_bps")
 
 
-@query("b4_v7_book_performance")
 def performance_report(spark, d):
     """Metrics of the inverse-volatility book after costs, and of holding everything."""
     b, bars, grid, stats = sized(spark, d)
@@ -334,8 +331,7 @@ def _(spark, d):
     return performance.trial_summary(trials)
 
 
-@query("o1_o4_orders")
-def _(spark, d):
+def newest_orders(spark, d):
     """Orders of the newest book from a flat start, in working sequence."""
     b, bars, _, _ = sized(spark, d)
     last = b.join(b.agg(F.max("decision_session").alias("decision_session")), "decision_session")
