@@ -2,8 +2,10 @@
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import schemas as S
 from tidemark.functions import text
@@ -110,22 +112,37 @@ def flatten_records(records: DataFrame) -> DataFrame:
     return flat.withColumn("signed_score", signed_score())
 
 
-def with_batch_analyzer(articles: DataFrame, analyse_batch: Callable, fields: list[str] | None = None) -> DataFrame:
-    """Plug in an analyzer that takes a pandas batch of articles and returns a frame of analysis columns.
+def with_batch_analyzer(articles: DataFrame, analyse_batch: Callable, fields: list[str] | None = None, *, key: str = "content_hash") -> DataFrame:
+    """Plug in an analyzer that takes a pandas batch of articles and returns a frame of ``key`` and analysis columns.
 
-    Batches stream through the executors over Arrow; the analyzer must return one row per article, in order.
+    Answers are matched by key, not by place, so an analyzer may answer in any order. ``status`` says what came back for a row: "ok";
+    "missing" for an article without an answer, its analysis null; "repeated" where a key was answered more than once (the first answer
+    stands); "failed" for every article of a batch whose analyzer raised, with ``error``. An answer to a key that was not asked adds a row
+    of its own, all article columns but the key null, "unasked". Articles that share a key share the answer. Batches stream over Arrow.
     """
     names = fields or [f.name for f in S.ANALYSIS.fields if f.name != "entities"]
-    added = [S.ANALYSIS[n] for n in names]
-    schema = articles.schema
-    for f in added:
-        schema = schema.add(f.name, f.dataType)
+    added = [T.StructField(f.name, f.dataType) for f in (S.ANALYSIS[n] for n in names)]
+    schema = T.StructType([*articles.schema.fields, *added, T.StructField("status", T.StringType()), T.StructField("error", T.StringType())])
+    asked_columns = articles.columns
 
     def run(batches):
         for batch in batches:
-            result = analyse_batch(batch)
-            yield batch.assign(**{n: result[n].to_numpy() for n in names})
+            try:
+                result, error = analyse_batch(batch), None
+                answers = result[[key, *names]].astype(object)
+            except Exception as raised:  # one bad batch is a status of its rows, not the end of the job
+                answers, error = batch.iloc[:0].reindex(columns=[key, *names]).astype(object), f"{type(raised).__name__}: {raised}"
+            repeated = set(answers[key][answers[key].duplicated()])
+            first = answers.drop_duplicates(key)
+            out = batch.merge(first, on=key, how="left", indicator="_found")
+            found = out.pop("_found") == "both"
+            out["status"] = ["failed" if error else "missing" if not f else "repeated" if k in repeated else "ok" for k, f in zip(out[key], found, strict=True)]
+            out["error"] = error
+            extra = first[~first[key].isin(set(batch[key]))]
+            if len(extra):
+                more = extra.reindex(columns=out.columns)
+                more["status"] = "unasked"
+                out = pd.concat([out.astype(object), more.astype(object)], ignore_index=True)
+            yield out[[*asked_columns, *names, "status", "error"]].astype(object).where(lambda x: x.notna(), None)
 
     return articles.mapInPandas(run, schema)
-
-

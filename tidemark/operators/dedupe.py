@@ -5,14 +5,11 @@ compared once. Stories meet only inside time buckets as wide as the window (an e
 what a bucket needs to know of a story is its first and last appearance. Whole bodies are compared.
 """
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
-from tidemark.functions import text
+from tidemark.functions import ranks, text
 from tidemark.session import materialise
 
 def signature(title="title", body="body", n: int = 5, body_chars: int | None = None) -> Column:
@@ -60,43 +57,82 @@ def _salted(left: DataFrame, right: DataFrame) -> DataFrame:
     return spread.join(every, [S.TICKER, "_bucket", "_salt"]).drop("_salt")
 
 
+#: Rare n-grams by which a first bound of an article's overlap is found.
+PROBES = 8
+
+
 def novelty_scores(articles: DataFrame, *, lookback_days: float = 7.0, id_col: str = "content_hash", body_chars: int | None = None) -> DataFrame:
     """(id, ticker, available_at, novelty): 1 less the largest overlap with the ticker's earlier coverage.
 
-    An article whose story already appeared inside the look-back scores 0 without a comparison; only the first of a
-    run of copies is compared with other stories.
+    An article whose story already appeared inside the look-back scores 0 without a comparison; only the first of a run of copies is
+    compared with other stories. The largest overlap is exact: the stories that share one of its rarest n-grams give a bound b, and a
+    story that overlaps by more must share one of the n - ceil(b n) + 1 rarest and be of a size that allows it. Where the lists of stories
+    that hold those n-grams are longer than the stories in reach, the stories in reach are compared directly, if their size allows.
     """
     span = lookback_days * 86400.0
     occ = _occurrences(articles, lookback_days * 24.0, id_col, body_chars)
-    stories = _stories(occ)
+    stories = materialise(_stories(occ), "stories")
     me = F.struct("_at", "_id")
     earlier = F.when(F.col("_same"), F.col("_first2") < me).otherwise(F.col("_last2") >= F.col("_at") - span)
-    own = _reachable(stories).select(S.TICKER, "_bucket", "_same", F.col("_story2").alias("_story"), "_first2", "_last2")
+    reach = _reachable(stories).withColumn("_n2", F.size("_grams2"))
+    near = reach.drop("_grams2")
+    own = near.select(S.TICKER, "_bucket", "_same", F.col("_story2").alias("_story"), "_first2", "_last2")
     repeated = occ.join(own, [S.TICKER, "_bucket", "_story"]).filter(earlier).select("_id", S.TICKER, "_at").distinct()
-    fresh = occ.join(repeated, ["_id", S.TICKER, "_at"], "left_anti").filter(F.size("_grams") > 0)
-    others = _salted(fresh, _reachable(stories)).filter(
-        (F.col("_story") != F.col("_story2")) & earlier)
-    closest = others.groupBy("_id", S.TICKER, "_at").agg(F.max(text.jaccard("_grams", "_grams2")).alias("_best"))
+    key = ["_id", S.TICKER, "_at"]
+    fresh = occ.withColumn("_n", F.size("_grams")).drop("_grams").join(repeated, key, "left_anti").filter("_n > 0")
+    whole = stories.filter(F.size("_grams") > 0).groupBy(S.TICKER, "_story").agg(F.first("_grams").alias("_grams"))
+    ordered = materialise(_ordered(whole), "ordered")
+    asked = materialise(fresh.join(ordered, [S.TICKER, "_story"]), "fresh")
+    postings = near.join(whole.select(S.TICKER, F.col("_story").alias("_story2"), F.explode("_grams").alias("_gram")), [S.TICKER, "_story2"])
+    again = whole.select(S.TICKER, F.col("_story").alias("_story2"), F.col("_grams").alias("_grams2"))
+
+    def overlaps(rows: DataFrame, least) -> DataFrame:
+        """Largest overlap of each article with a story that shares one of its n-grams ``_probe`` (ticker, bucket) and may exceed ``least``."""
+        probes = rows.select(*key, "_story", "_bucket", "_n", least.alias("_b"), F.explode("_probe").alias("g")).withColumn("_gram", F.col("g._gram")).drop("g")
+        sized = (F.least("_n", "_n2") >= F.col("_b") * F.greatest("_n", "_n2"))
+        met = probes.join(postings, [S.TICKER, "_bucket", "_gram"]).filter((F.col("_story") != F.col("_story2")) & earlier & sized)
+        pairs = met.select(*key, "_story", "_story2").distinct()
+        both = pairs.join(whole, [S.TICKER, "_story"]).join(again, [S.TICKER, "_story2"])
+        return both.groupBy(*key).agg(F.max(text.jaccard("_grams", "_grams2")).alias("_best"))
+
+    first = overlaps(asked.withColumn("_probe", F.slice("_o", 1, PROBES)), F.lit(0.0))
+    count = near.groupBy(S.TICKER, "_bucket").agg(F.count("*").alias("_reach"))
+    bound = F.coalesce("_best", F.lit(0.0))
+    longer = F.slice("_o", F.lit(1), F.col("_n") - F.ceil(F.col("_n") * bound - 1e-9).cast("int") + 1)
+    known = asked.join(first, key, "left").join(count, [S.TICKER, "_bucket"]).withColumns({"_b": bound, "_probe": longer})
+    cost = F.aggregate("_probe", F.lit(0).cast("bigint"), lambda s, g: s + g["_uses"])
+    known = materialise(known.withColumn("_cheap", cost <= F.col("_reach")), "bounded")
+    second = overlaps(known.filter("_cheap and _b < 1"), F.col("_b"))
+    grams = whole.select(S.TICKER, "_story", "_grams")
+    scan = known.filter("not _cheap and _b < 1").select(*key, "_story", "_bucket", "_n", "_b").join(grams, [S.TICKER, "_story"])
+    sized = F.least("_n", "_n2") >= F.col("_b") * F.greatest("_n", "_n2")
+    third = _salted(scan, reach).filter((F.col("_story") != F.col("_story2")) & earlier & sized).groupBy(*key).agg(F.max(text.jaccard("_grams", "_grams2")).alias("_best"))
+    closest = first.union(second).union(third).groupBy(*key).agg(F.max("_best").alias("_best"))
     scored = (
-        occ.select("_id", S.TICKER, "_at", F.size("_grams").alias("_n"))
-        .join(closest, ["_id", S.TICKER, "_at"], "left")
-        .join(repeated.withColumn("_again", F.lit(True)), ["_id", S.TICKER, "_at"], "left")
+        occ.select(*key, F.size("_grams").alias("_n"))
+        .join(closest, key, "left")
+        .join(repeated.withColumn("_again", F.lit(True)), key, "left")
     )
     best = F.when(F.col("_again") & (F.col("_n") > 0), 1.0).otherwise(F.coalesce("_best", F.lit(0.0)))
     return scored.select(F.col("_id").alias(id_col), S.TICKER, F.timestamp_micros(
         F.round(F.col("_at") * 1e6).cast("long")).alias(S.AVAILABLE_AT), F.greatest(F.lit(0.0), 1.0 - best).alias("novelty"))
 
 
+def _ordered(stories: DataFrame) -> DataFrame:
+    """(ticker, story, _o): the n-grams of each story with how many stories of the ticker hold them, rarest first."""
+    grams = stories.select(S.TICKER, "_story", F.explode("_grams").alias("_gram"))
+    seen = grams.groupBy(S.TICKER, "_gram").agg(F.count("*").alias("_uses"))
+    return grams.join(seen, [S.TICKER, "_gram"]).groupBy(S.TICKER, "_story").agg(
+        F.sort_array(F.collect_list(F.struct("_uses", "_gram"))).alias("_o"))  # the grams of one story
+
+
 def _rare_first(stories: DataFrame, threshold: float) -> DataFrame:
     """(ticker, story, gram) for the grams of a story that any other story must share one of to overlap by ``threshold``.
 
     With all grams in one order, two sets that overlap enough share one among their first ``n - ceil(t n) + 1``. Rare
     grams come first, so few stories meet in one.
     """
-    grams = stories.select(S.TICKER, "_story", F.explode("_grams").alias("_gram"))
-    seen = grams.groupBy(S.TICKER, "_gram").agg(F.count("*").alias("_uses"))
-    ordered = grams.join(seen, [S.TICKER, "_gram"]).groupBy(S.TICKER, "_story").agg(
-        F.sort_array(F.collect_list(F.struct("_uses", "_gram"))).alias("_o"))  # the grams of one story
+    ordered = _ordered(stories)
     n = F.size("_o")
     first = F.slice("_o", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
     return ordered.select(S.TICKER, "_story", F.explode(first).alias("g")).select(S.TICKER, "_story", F.col("g._gram").alias("_gram"))
@@ -125,83 +161,70 @@ def similar_stories(occ: DataFrame, threshold: float) -> DataFrame:
         S.TICKER, F.col("p.s").alias("_story"), F.col("p.o").alias("_story2"))
 
 
-def _clusters(edges: DataFrame) -> DataFrame:
-    """(ticker, story, cluster): the smallest story id reachable over the edges, by repeated minimum.
-
-    A round is one join and one aggregate; its result is written out so that rounds do not pile up in the plan.
-    """
-    labels = edges.select(S.TICKER, "_story").distinct().withColumn("_cluster", F.col("_story"))
-    while True:
-        near = edges.join(labels.select(S.TICKER, F.col("_story").alias("_story2"), F.col("_cluster").alias("_c")),
-                          [S.TICKER, "_story2"]).groupBy(S.TICKER, "_story").agg(F.min("_c").alias("_c"))
-        lowered = materialise(labels.join(near, [S.TICKER, "_story"]).select(
-            S.TICKER, "_story", F.least("_cluster", "_c").alias("_cluster"), (F.col("_c") < F.col("_cluster")).alias("_moved")),
-            "clusters")
-        moved = lowered.filter("_moved").limit(1).count()
-        labels = lowered.drop("_moved")
-        if not moved:
-            return labels
-
-
 def deduplicate(articles: DataFrame, *, threshold: float = 0.60, window_hours: float = 72.0,
                 id_col: str = "content_hash", body_chars: int | None = None) -> DataFrame:
     """Keep the earliest of near-duplicates: an article goes if an earlier *kept* one is close in time and text.
 
     Rows are told apart by a number of their own, so of rows with the same id, ticker and instant the first stays.
 
-    Only articles with a similar neighbour need the ordered pass. It runs per run of coverage: one cluster of similar
-    stories, cut wherever nothing of it appears for longer than the window. The pass streams sorted rows and holds the
-    last kept time of each story only, so a run of any length fits.
+    Only articles with a similar neighbour need the ordered pass. It runs in rounds over all of them at once: the first undecided
+    article of a story is kept when no similar story has an earlier undecided one, and what it covers goes. Rounds are as many as kept
+    articles follow each other in one unbroken run of similar coverage; each leaves a table, and no run is one task.
     """
     numbered = materialise(articles.withColumn("_number", F.monotonically_increasing_id()), "numbered")  # fixed once written
     occ = _occurrences(numbered, window_hours, id_col, body_chars, "_number")
     edges = materialise(similar_stories(occ, threshold), "similar")
-    clusters = _clusters(edges)
-    copies = occ.groupBy(S.TICKER, "_story").agg(F.count("*").alias("_n"), F.max(F.size("_grams")).alias("_size"))
-    linked = edges.groupBy(S.TICKER, "_story").agg(F.collect_set("_story2").alias("_near"))
+    copies = occ.groupBy(S.TICKER, "_story").agg(F.count("*").alias("_copies"), F.max(F.size("_grams")).alias("_size"))
+    linked = edges.select(S.TICKER, "_story").distinct().withColumn("_linked", F.lit(True))
     involved = (
-        occ.select("_id", S.TICKER, "_at", "_story", "_number")
+        occ.select(S.TICKER, "_story", F.struct("_at", "_id", "_number").alias("_c"))
         .join(copies, [S.TICKER, "_story"]).join(linked, [S.TICKER, "_story"], "left")
-        .filter("_size > 0 and (_n > 1 or _near is not null)")
-        .join(clusters, [S.TICKER, "_story"], "left")
-        .withColumn("_cluster", F.coalesce("_cluster", "_story"))
-        .withColumn("_near", F.array_append(F.coalesce("_near", F.array().cast("array<bigint>")), F.col("_story")))
+        .filter("_size > 0 and (_copies > 1 or _linked)").select(S.TICKER, "_story", "_c")
     )
-    w = Window.partitionBy(S.TICKER, "_cluster").orderBy("_at", "_id", "_number")
-    gap = F.coalesce(F.col("_at") - F.lag("_at").over(w) > window_hours * 3600.0, F.lit(False)).cast("int")
-    runs = involved.withColumn("_gap", gap).withColumn(
-        "_run", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    group = [S.TICKER, "_cluster", "_run"]
-    ordered = runs.select(*group, "_at", "_id", "_story", "_near", "_number").repartition(*group).sortWithinPartitions(*group, "_at", "_id", "_number")
-    dropped = ordered.drop("_id").mapInPandas(_drop_close(window_hours * 3600.0), "_gone bigint")
+    involved = materialise(involved, "involved")
+    kept = _kept_in_rounds(involved, edges, window_hours * 3600.0)
+    dropped = involved.select(F.col("_c._number").alias("_gone")).join(kept, F.col("_gone") == F.col("_kept"), "left_anti")
     return numbered.join(dropped, numbered["_number"] == dropped["_gone"], "left_anti").drop("_number")
 
 
-def _drop_close(span: float):
-    """Walk sorted rows, remembering when each story of the current run was last kept."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, kept = None, {}
-        for batch in batches:
-            gone = []
-            for i, (key, at, story, near) in enumerate(zip(
-                    zip(batch["ticker"], batch["_cluster"], batch["_run"]), batch["_at"], batch["_story"], batch["_near"])):
-                if key != current:
-                    current, kept = key, {}
-                if any(at - kept[other] <= span for other in near if other in kept):
-                    gone.append(i)
-                else:
-                    kept[story] = at
-            yield pd.DataFrame({"_gone": batch["_number"].iloc[gone]})
-
-    return run
+def _kept_in_rounds(involved: DataFrame, edges: DataFrame, span: float) -> DataFrame:
+    """(_kept): numbers of the articles that the ordered pass keeps. ``edges`` holds similar stories both ways."""
+    story = [S.TICKER, "_story"]
+    covers = edges.select(*story, "_story2").union(involved.select(*story).distinct().withColumn("_story2", F.col("_story")))
+    covers = materialise(covers, "covers")
+    open_, parts = involved, []
+    while True:
+        first = open_.groupBy(*story).agg(F.min("_c").alias("_c"))
+        around = edges.join(first.select(S.TICKER, F.col("_story").alias("_story2"), F.col("_c").alias("_c2")), [S.TICKER, "_story2"]).groupBy(*story).agg(F.min("_c2").alias("_c2"))
+        ready = materialise(first.join(around, story, "left").filter("_c2 is null or _c < _c2").select(*story, "_c"), "kept")
+        if not ready.limit(1).count():
+            break
+        parts.append(ready.select(F.col("_c._number").alias("_kept")))
+        blocks = ready.join(covers, story).select(S.TICKER, F.col("_story2").alias("_story"), F.col("_c").alias("_from"))
+        covered = open_.join(blocks, story).filter((F.col("_c") >= F.col("_from")) & (F.col("_c._at") - F.col("_from._at") <= span)).select(F.col("_c._number").alias("_gone"))
+        open_ = materialise(open_.join(covered, F.col("_c._number") == F.col("_gone"), "left_anti"), "open")
+        if len(parts) >= 16:  # keep the plan of the union short
+            parts = [materialise(_union(parts), "kept")]
+    return _union(parts) if parts else involved.select(F.col("_c._number").alias("_kept")).limit(0)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 def coverage_summary(articles: DataFrame) -> DataFrame:
-    """Articles, tickers, articles per ticker, median body length, share of headline-only articles."""
+    """Articles, tickers, articles per ticker, median body length, share of headline-only articles.
+
+    The median comes from counts of lengths, so no task sees all rows.
+    """
     length = F.length("body")
-    return articles.agg(
+    lengths = articles.select(F.lit(0).alias("_all"), length.cast("double").alias("_l"))
+    middle = ranks.quantiles(lengths, ["_all"], "_l", [0.5]).agg(F.max(F.col("q")[0]).alias("median_body_chars"))  # one row
+    out = articles.agg(
         F.count("*").alias("n_articles"), F.count_distinct(S.TICKER).alias("n_tickers"),
         F.round(F.count("*") / F.greatest(F.count_distinct(S.TICKER), F.lit(1)), 2).alias("articles_per_ticker"),
-        F.median(length).cast("double").alias("median_body_chars"),
         F.avg((length < 50).cast("double")).alias("headline_only_frac"))
+    return out.crossJoin(F.broadcast(middle)).select("n_articles", "n_tickers", "articles_per_ticker", "median_body_chars", "headline_only_frac")  # one row each
