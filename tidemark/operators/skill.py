@@ -17,9 +17,10 @@ def periodic_ic(df: DataFrame, *, prediction: str = S.PREDICTION, label: str = S
         *keys, S.TICKER, F.col(prediction).alias("_p"), F.col(label).alias("_l"))
     ranked = ranks.rank_pct(pairs, keys, ["_p", "_l"], keys=[*keys, S.TICKER], method=method, suffix="_r")
     # ``corr`` would raise for a constant group; two distinct values are seen from least and largest; only more need counting
+    rank_corr = div(F.covar_pop("_p_r", "_l_r"), F.stddev_pop("_p_r") * F.stddev_pop("_l_r"))  # what rounding leaves of 0 is 0
     distinct = F.count_distinct("_p") if min_distinct > 2 else F.lit(min_distinct)
     return ranked.groupBy(*keys).agg(
-        div(F.covar_pop("_p_r", "_l_r"), F.stddev_pop("_p_r") * F.stddev_pop("_l_r")).alias("ic"), F.count("*").alias("n"), F.min("_p").alias("_p0"), F.max("_p").alias("_p1"),
+        F.when(F.abs(rank_corr) > 1e-12, rank_corr).otherwise(0.0).alias("ic"), F.count("*").alias("n"), F.min("_p").alias("_p0"), F.max("_p").alias("_p1"),
         F.min("_l").alias("_l0"), F.max("_l").alias("_l1"), distinct.alias("_d")).filter(
             (F.col("n") >= min_names) & (F.col("_p0") < F.col("_p1")) & (F.col("_l0") < F.col("_l1")) & (F.col("_d") >= min_distinct)).select(*keys, "ic", "n")
 
@@ -76,3 +77,9 @@ def fold_clustered_ic(df: DataFrame, **kw) -> DataFrame:
 
 def ic_by_group(df: DataFrame, group: str, **kw) -> DataFrame:
     return ic_statistics(periodic_ic(df, by=(group, S.DECISION), **kw), (group,))
+
+
+def rolling_ic(ic: DataFrame, *, weeks: int = 26, at_least: int = 10, by=()) -> DataFrame:
+    """Mean of the last ``weeks`` rank correlations; a row of ``ic`` is a week, so the series is short."""
+    w = Window.partitionBy(*by).orderBy(S.DECISION).rowsBetween(-(weeks - 1), 0)
+    return ic.withColumn("rolling_ic", F.when(F.count("ic").over(w) >= at_least, F.avg("ic").over(w)))

@@ -11,6 +11,7 @@ from tidemark.plans.catalog import evaluation_queries as EQ
 from tidemark.plans.catalog import feature_queries as FQ
 from tidemark.plans.catalog import feature_sql as FS
 from tidemark.plans.catalog import money_queries as MQ
+from tidemark.plans.catalog import news_queries as NQ
 from tidemark.plans.catalog.registry import query
 from tidemark.session import materialise
 
@@ -385,3 +386,111 @@ SELECT scenario, n_observations, skew, kurtosis, sr * sqrt(52.0) AS observed_sha
        "skew kurtosis observed_sharpe expected_max_sharpe deflated_sharpe probability")
 def _(spark, d):
     return performance.deflated_sharpe(EQ.ledger(spark, d), 12)
+
+
+#: Events spread over the bars' period: sixteen days of bars for each day of events, on twenty of the names.
+SPREAD_OUT = NQ.ANALYSES.replace("'U' || user_id % 20", "'S' || (user_id % 20 + 1)").replace(
+    "ts AS available_at", "TIMESTAMP '2000-01-03' + to_microseconds((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) * 16) AS available_at")
+NEWS = [f"news_{c}" if not c.startswith("news_") else c for c in NQ.nf.FEATURES]
+_NEWS_CTES = [c for c in NQ.news_sql("decisions_unused AS (SELECT 1)") if "sessions AS" not in c and "decisions_unused" not in c][1:]
+
+
+@query("x6_panel_with_news", B.with_(
+    B.BARS, B.SESSIONS, B.decisions(), B.grid(), B.MEMBERSHIP, FQ.LABELS, SPREAD_OUT, *_NEWS_CTES, f"""
+rounded AS (SELECT decision_session, ticker, {', '.join(f"round({'least(' + c + ', 180)' if c.endswith('since_material') else c}, 9) AS {c}" for c in NEWS)} FROM news),
+ats AS (SELECT bars.ticker, decision_session FROM bars JOIN grid ON decision_session = session),
+joined AS (SELECT ats.*, sector, label, rounded.* EXCLUDE (decision_session, ticker) FROM ats JOIN universe ON universe.ticker = ats.ticker
+             AND decision_session BETWEEN start_date AND coalesce(end_date, DATE '9999-12-31')
+           LEFT JOIN rounded ON rounded.ticker = ats.ticker AND rounded.decision_session = ats.decision_session
+           LEFT JOIN labels ON labels.ticker = ats.ticker AND labels.decision_session = ats.decision_session),
+sized AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY decision_session) AS names FROM joined) WHERE names >= 5)""") + f"""
+SELECT decision_session, ticker, sector, label, {', '.join(FQ.rank_sql(c) for c in NEWS)} FROM sized""", "label " + " ".join(NEWS))
+def _(spark, d):
+    """The panel's news side: features of spread-out events at each decision, joined, then ranked."""
+    from tidemark.operators import calendar as cal
+    from tidemark.operators import universe
+    from tidemark.sources import fixtures as fx
+
+    bars, sessions, grid = FQ.setup(spark, d)
+    an = fx.analyses(spark, d)
+    start, origin = (F.unix_micros(F.lit(x).cast("timestamp")) for x in ("2000-01-03", "2024-01-01"))
+    an = an.withColumns({"ticker": F.concat(F.lit("S"), (F.substring("ticker", 2, 9).cast("int") + 1).cast("string")),
+                         "available_at": F.timestamp_micros((F.unix_micros("available_at") - origin) * 16 + start)})
+    news = NQ.nf.build_news_features(an, cal.all_decisions(sessions))
+    news = news.withColumns({c: F.round(F.col(c).cast("double"), 9) for c in NEWS})
+    made = P.build_panel(bars, grid, membership=universe.membership_panel(fx.membership(spark, d), sessions), labels=labels.build_labels(bars, grid), news=news,
+                         min_names=FQ.MIN_NAMES, blocks=("price",))
+    return made.select("decision_session", "ticker", "sector", "label", *NEWS)
+
+
+@query("u3_batch_analyzer", """
+SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'repeated' ELSE 'ok' END AS status,
+       CASE WHEN doc_id % 7 <> 0 THEN doc_id * 0.5::DOUBLE END AS sentiment FROM documents
+UNION ALL SELECT 'x' || doc_id, 'unasked', 0.0::DOUBLE FROM documents WHERE doc_id % 13 = 0""", "sentiment")
+def _(spark, d):
+    """An analyzer that answers backwards, skips some articles, answers others twice and some that nobody asked about."""
+    from tidemark.operators.analysis import with_batch_analyzer
+    from tidemark.sources import fixtures as fx
+
+    def answers(batch):
+        import pandas as pd
+
+        ids = batch["id"].astype(int).iloc[::-1]
+        kept = ids[ids % 7 != 0]
+        keys = [*kept.astype(str), *kept[kept % 11 == 0].astype(str), *("x" + ids[ids % 13 == 0].astype(str))]
+        tone = [*(kept * 0.5), *(kept[kept % 11 == 0] * 9.0), *[0.0] * int((ids % 13 == 0).sum())]
+        return pd.DataFrame({"id": keys, "sentiment": tone})
+
+    asked = fx.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    return with_batch_analyzer(asked, answers, ["sentiment"], key="id").select("id", "status", "sentiment")
+
+
+@query("v6_ic_by_sector", B.with_(*MQ.BASE, B.MEMBERSHIP, f"""
+sp6 AS (SELECT preds.*, sector FROM preds JOIN universe USING (ticker) WHERE label IS NOT NULL),
+rk6 AS (SELECT *, rank() OVER (p ORDER BY prediction) + (count(*) OVER (PARTITION BY sector, decision_session, prediction) - 1) / 2.0 AS rp,
+          rank() OVER (p ORDER BY label) + (count(*) OVER (PARTITION BY sector, decision_session, label) - 1) / 2.0 AS rl FROM sp6 WINDOW p AS (PARTITION BY sector, decision_session)),
+ic6 AS (SELECT sector, decision_session, CASE WHEN abs(corr(rp, rl)) > 1e-12 THEN corr(rp, rl) ELSE 0 END AS ic FROM rk6 GROUP BY 1, 2 HAVING count(*) >= 4 AND count(DISTINCT prediction) > 1 AND count(DISTINCT label) > 1)""") + f"""
+SELECT sector, {MQ.IC_STATS.replace('avg(ic) / stddev_samp(ic) AS ic_ir', 'CASE WHEN stddev_samp(ic) > 1e-12 THEN avg(ic) / stddev_samp(ic) ELSE 0 END AS ic_ir').replace('avg(ic) / (stddev_samp(ic) / sqrt(count(*))) AS t_stat', 'CASE WHEN stddev_samp(ic) > 1e-12 AND count(*) > 2 THEN avg(ic) / (stddev_samp(ic) / sqrt(count(*))) ELSE 0 END AS t_stat')}
+FROM ic6 GROUP BY 1""", MQ.IC_DOUBLES)
+def _(spark, d):
+    from tidemark.operators import universe
+    from tidemark.sources import fixtures as fx
+
+    p = MQ.predictions(spark, d)[0].join(universe.sectors(fx.membership(spark, d)), "ticker")
+    return skill.ic_by_group(p, "sector", min_names=4)
+
+
+@query("v23_rolling_ic", B.with_(*MQ.BASE) + """
+SELECT decision_session, CASE WHEN count(ic) OVER w >= 10 THEN avg(ic) OVER w END AS rolling_ic FROM ic WINDOW w AS (ORDER BY decision_session ROWS 25 PRECEDING)""", "rolling_ic")
+def _(spark, d):
+    return skill.rolling_ic(skill.periodic_ic(MQ.predictions(spark, d)[0])).select("decision_session", "rolling_ic")
+
+
+@query("p8_kelly_cap", B.with_(*MQ.BASE, MQ.PICK, MQ.STATS, MQ.INVVOL, """
+kv AS (SELECT *, median(volatility) OVER (PARTITION BY decision_session) AS md FROM (SELECT decision_session, ticker, weight, score, volatility FROM weighted))""") + """
+SELECT decision_session, ticker, sign(weight) * CASE WHEN md IS NULL THEN abs(weight) ELSE least(abs(weight), least(abs(score * 0.01 / pow(greatest(coalesce(volatility, md), 0.001), 2)) * 0.25, 1)) END AS weight
+FROM kv""", "weight", 9)
+def _(spark, d):
+    """Quarter-Kelly ceilings where a hundredth of the score is the expected return."""
+    b, *_ = MQ.sized(spark, d)
+    return book.kelly_cap(b.withColumn("expected_return", F.col("score") * 0.01)).select("decision_session", "ticker", "weight")
+
+
+@query("v17_planted_overlap", B.with_(*FQ.LABEL_BASE, MQ.FOLDS, """
+sp7 AS (SELECT fold, min(label_t0) AS lo, max(label_t1) AS hi FROM folds JOIN labels USING (decision_session, ticker) WHERE role = 'test' GROUP BY 1)""") + """
+SELECT fold::INTEGER AS fold, count(*) FILTER (label_t0 <= hi AND label_t1 >= lo) AS n_overlapping, count(*) FILTER (label_t1 >= lo - 7 AND label_t1 < lo) AS n_in_embargo
+FROM folds JOIN labels USING (decision_session, ticker) JOIN sp7 USING (fold) WHERE role <> 'test' GROUP BY 1""")
+def _(spark, d):
+    """What the report finds where purged and embargoed rows are put back into training."""
+    folds = splits.walk_forward_folds(MQ._labels(spark, d), embargo_weeks=1, **MQ.WF)
+    leaky = folds.withColumn("role", F.when(F.col("role") == "test", "test").otherwise("train"))
+    return splits.overlap_report(leaky, embargo_weeks=1)
+
+
+@query("v24_all_features", B.with_(B.BARS) + " UNION ALL ".join(f"""
+SELECT '{c}' AS feature, count(*) AS n_compared, 0::BIGINT AS n_different FROM bars WHERE session = DATE '2000-10-06' """ for c in FQ.PANEL_COLS))
+def _(spark, d):
+    """All 63 features at a cut-off, from the full and from the truncated history."""
+    from tidemark.sources import fixtures as fx
+
+    return splits.lookahead_differences(fx.bars(spark, d), "2000-10-06", list(FQ.PANEL_COLS))
