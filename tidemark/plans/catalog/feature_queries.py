@@ -79,7 +79,7 @@ def top_momentum(spark, d):
     from tidemark.operators.book import top_names
 
     bars, _, grid = setup(spark, d)
-    p = P.build_panel(bars, grid, min_names=MIN_NAMES, blocks=("price",))
+    p = P.build_panel(bars, grid, min_names=MIN_NAMES, blocks=("price",), wanted=("mom_4w",))
     return top_names(p, "mom_4w", 8).select(
         "decision_session", "ticker", F.col("mom_4w").alias("score"), F.col("place"))
 

@@ -23,14 +23,17 @@ def raw_features(bars: DataFrame, *, sessions: DataFrame | None = None, asof: da
 def build_panel(bars: DataFrame, decisions: DataFrame, *, membership: DataFrame | None = None,
                 labels: DataFrame | None = None, news: DataFrame | None = None, min_names: int = 20,
                 normalize: bool = True, sector_neutral: bool = False, asof: date | str | None = None,
-                blocks: tuple[str, ...] = features.ALL_BLOCKS, rank_method: str = "buckets") -> DataFrame:
+                blocks: tuple[str, ...] = features.ALL_BLOCKS, rank_method: str = "buckets", wanted: tuple[str, ...] | None = None) -> DataFrame:
     """Features on the decision rows, members only, with news and labels attached, then ranked within each date.
 
-    Ranking comes last on purpose: it has to see exactly the names that can be held that day.
+    Ranking comes last on purpose: it has to see exactly the names that can be held that day. ``wanted`` price features only: the others
+    are neither computed nor ranked.
     """
     keys = [S.DECISION, S.TICKER]
     marks = decisions.select(F.col(S.DECISION).alias(S.SESSION))
     panel = raw_features(bars, sessions=marks, asof=asof, blocks=blocks).withColumnRenamed(S.SESSION, S.DECISION)
+    if wanted is not None:
+        panel = panel.select(*keys, *wanted)
     if membership is not None:
         panel = panel.join(membership.withColumnRenamed(S.SESSION, S.DECISION).select(*keys, S.SECTOR), keys)
     else:
