@@ -1,4 +1,4 @@
-"""The public byte-level BPE vocabularies, loaded once in each Python worker."""
+"""The public byte-level BPE vocabularies, loaded once in each worker process."""
 
 import base64
 import functools

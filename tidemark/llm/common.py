@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from tidemark.session import materialise, prepare
 
-#: Rows and bytes that one Arrow batch may hold, so that very long texts do not pile up in a Python worker.
+#: Rows and bytes that one Arrow batch may hold, so that very long texts do not pile up in a worker process.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 

@@ -32,38 +32,46 @@ _AWAY_WORDS = frozenset(
     "notification outbrain overlay pager pagination paywall popup privacy promo promoted promotion rail recommend recommended related replies reply respond "
     "search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription taboola tags teaser toc toolbar topbar tracking warning "
     "widget widgets".split())
+_TITLE_WORDS = frozenset(("header", "metadata"))
 _MAIN_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
-_NOTICES = re.compile(r"©|\ball rights reserved\b|\bcookies?\b|\bsubscribe\b|\bsign (?:in|up)\b|\bprivacy policy\b", re.I)
+#: Phrases of legal and consent notices and of calls to sign up; single words such as "cookies" may stand in any article.
+_NOTICES = re.compile(r"©|\ball rights reserved\b|\buses? cookies\b|\b(?:accept|our|of) cookies\b|\bcookie (?:policy|settings|notice)\b|\bsubscribe (?:to our|now)\b|\bsign (?:in to|up for)\b"
+                      r"|\bprivacy policy\b|\bterms of (?:use|service)\b", re.I)
+#: "has-sidebar" and the like name what a part of the page is not.
+_BESIDE = re.compile(r"(?:has|with|no|without)[-_]\w+", re.I)
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+)(?:>|\Z)""", re.S)  # quotes hold a ">" only as a value's own
 _ATTRIBUTES = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Weights of the classifier, in the units of the ties below.
-WEIGHTS = {"away": -9.0, "main": 4.0, "main_word": 2.5, "link": -4.0, "length": 1.0, "short": -0.7, "heading": 0.8, "list": -0.6, "notice": -2.0}
+WEIGHTS = {"away": -9.0, "main": 1.6, "main_word": 1.2, "link": -3.0, "length": 1.0, "short": -0.4, "heading": 0.8, "list": -0.6, "notice": -2.0}
 NEXT, SIBLING, NEAR = 0.4, 0.8, 0.3
 
 
 class _Element:
-    __slots__ = ("away", "depth", "main", "main_word", "name", "parent")
+    __slots__ = ("away", "block", "depth", "main", "main_word", "name", "parent")
 
     def __init__(self, name: str, parent: "_Element | None", attributes: str):
         self.name, self.parent = name, parent
         up = parent or _ROOT
         self.depth, self.away, self.main, self.main_word = (up.depth + 1 if parent else 0), up.away, up.main, up.main_word
+        self.block = up.block if name in _INLINE and parent else self  # the innermost element that is no inline one
         words, hidden = set(), False
         if attributes:
             for m in _ATTRIBUTES.finditer(attributes):
                 key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if key in ("class", "id", "role"):
-                    words.update(w.lower() for w in _WORDS.findall(value))
+                    words.update(w.lower() for w in _WORDS.findall(_BESIDE.sub(" ", value)))
                 elif key == "style":
                     hidden |= "display:none" in value.replace(" ", "").lower()
                 else:
                     hidden |= value.lower() != "false"
         if name in ("html", "body"):
             return
-        named = bool(words & _AWAY_WORDS) and not words & _MAIN_WORDS
+        # words for what is beside the text win over words for the text: "article-comments" are comments; but a post's header has its title
+        aside = words & _AWAY_WORDS
+        named = bool(aside) and name not in _MAIN and not (words & _MAIN_WORDS and aside <= _TITLE_WORDS)
         if hidden or name in _AWAY or named or name == "header" and not self.main:
             self.away = True
         self.main |= name in _MAIN
@@ -71,7 +79,7 @@ class _Element:
 
 
 class _Root:
-    depth, away, main, main_word = -1, False, False, False
+    depth, away, main, main_word, block = -1, False, False, False, None
 
 
 _ROOT = _Root()
@@ -109,25 +117,28 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             joined = " ".join("".join(parts).split())
             if joined:
-                block = owner
-                while block is not None and block.name in _INLINE:
-                    block = block.parent
-                out.append(Block(block, joined, min(linked, len(joined))))
+                block = owner.block if owner is not None else None
+                out.append(Block(None if block is not None and block.name in _INLINE else block, joined, min(linked, len(joined))))
             parts.clear()
         linked, owner = 0, None
 
+    counts: dict[str, int] = {}  # open elements by name: what is not open needs no search
+
     def leave(name: str) -> None:
         nonlocal top, links
+        if not counts.get(name):
+            return
         seek = top
-        while seek is not None and seek.name != name:
+        while seek.name != name:
             seek = seek.parent
-        if seek is None:
-            return
         while top is not seek.parent:
             links -= top.name == "a"
+            counts[top.name] -= 1
             top = top.parent
 
     def inside(name: str, until: tuple[str, ...]) -> bool:
+        if not counts.get(name):
+            return False
         seek = top
         while seek is not None and seek.name not in until:
             if seek.name == name:
@@ -169,6 +180,7 @@ def blocks_of(page: str) -> list[Block]:
                         leave("a")
                     links += 1
                 top = _Element(name, top, m[3])
+                counts[name] = counts.get(name, 0) + 1
     close()
     return out
 
@@ -188,25 +200,30 @@ def content_score(block: Block) -> float:
             s += WEIGHTS["heading"]
         elif e.name == "li" and not e.main:
             s += WEIGHTS["list"]
-    if (e is None or not e.main) and n < 300 and _NOTICES.search(block.text):
-        s += WEIGHTS["notice"]
+    if (e is None or not e.main) and (found := len(_NOTICES.findall(block.text))):
+        s += WEIGHTS["notice"] * min(1.0, 120 * found / n)  # the longer a text, the less one phrase says of it
     return s
 
 
 def ties(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: each block with the next one, more if their elements are near, and with the last one of the same parent."""
+    """Smoothness edges: each block with the next one, more if their elements are near, and with the last one of the same parent.
+
+    What the page itself sets apart (an advert between two paragraphs) is tied to nothing outside.
+    """
     out, last = [], {}
     for i, b in enumerate(blocks):
         parent = b.element.parent if b.element is not None else None
+        apart = b.element is not None and b.element.away
         if i:
             a = blocks[i - 1]
             other = a.element.parent if a.element is not None else None
-            near = SIBLING if other is parent else NEAR if b.element is not None and a.element is not None and (parent is a.element or other is b.element) else 0.0
-            out.append((i - 1, i, NEXT + near))
-        before = last.get(id(parent))
+            if apart == (a.element is not None and a.element.away):
+                near = SIBLING if other is parent else NEAR if b.element is not None and a.element is not None and (parent is a.element or other is b.element) else 0.0
+                out.append((i - 1, i, NEXT + near))
+        before = last.get((id(parent), apart))
         if before is not None and before < i - 1:
             out.append((before, i, SIBLING / 2))
-        last[id(parent)] = i
+        last[id(parent), apart] = i
     return out
 
 
@@ -239,7 +256,7 @@ def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> lis
 
 
 def _source_side(nodes: list[int], unary: list[int], near: list[dict[int, int]]) -> set[int]:
-    """Nodes on the content side after a maximum flow by shortest augmenting paths."""
+    """Nodes on the content side of a minimum cut, after a maximum flow by blocking flows over levels."""
     source, sink = -1, -2
     room: dict[int, dict[int, int]] = {i: dict(near[i]) for i in nodes} | {source: {}, sink: {}}
     for i in nodes:
@@ -248,23 +265,36 @@ def _source_side(nodes: list[int], unary: list[int], near: list[dict[int, int]])
         elif unary[i] < 0:
             room[i][sink], room[sink][i] = -unary[i], 0
     while True:
-        came, queue = {source: source}, deque([source])
-        while queue and sink not in came:
+        level, queue = {source: 0}, deque([source])
+        while queue:
             u = queue.popleft()
             for v, c in room[u].items():
-                if c > 0 and v not in came:
-                    came[v] = u
+                if c > 0 and v not in level:
+                    level[v] = level[u] + 1
                     queue.append(v)
-        if sink not in came:
-            return set(came) - {source}
-        path, v = [], sink
-        while v != source:
-            path.append((came[v], v))
-            v = came[v]
-        flow = min(room[u][v] for u, v in path)
-        for u, v in path:
-            room[u][v] -= flow
-            room[v][u] += flow
+        if sink not in level:
+            return set(level) - {source}
+        ways = {u: iter(tuple(room[u])) for u in level}  # edges not yet used up in this round
+        path = [source]
+        while path:
+            u = path[-1]
+            if u == sink:
+                flow = min(room[a][b] for a, b in zip(path, path[1:], strict=False))
+                cut = None
+                for k, (a, b) in enumerate(zip(path, path[1:], strict=False)):
+                    room[a][b] -= flow
+                    room[b][a] += flow
+                    if room[a][b] == 0 and cut is None:
+                        cut = k
+                # go on from before the first edge that is full; its start tries its next edge
+                path = path[:cut + 1]
+                continue
+            for v in ways[u]:
+                if room[u][v] > 0 and level.get(v) == level[u] + 1:
+                    path.append(v)
+                    break
+            else:
+                path.pop()
 
 
 def main_text(page: str | None) -> str:
