@@ -21,8 +21,8 @@ VOCABULARIES = ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken")
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
 
-#: Lowest and highest characters per token, highest byte-fallback share, lowest share of the possible entropy. ``fit_bands`` measures a
-#: corpus; these are its figures over labelled good texts, widened, so that a text must be clearly odd to be rejected.
+#: Lowest and highest characters per token, highest byte-fallback share, lowest share of the possible entropy. Round figures set by hand, wide
+#: enough that a text must be clearly odd to be rejected; ``fit_bands`` measures those of a corpus, to be given as ``bands``.
 _SCRIPT_BANDS = {
     "latin": (1.4, 9.0, 0.30, 0.50), "cyrillic": (0.9, 8.0, 0.60, 0.45), "greek": (0.7, 8.0, 0.70, 0.45), "arabic": (0.7, 8.0, 0.70, 0.45),
     "cjk": (0.3, 4.0, 0.98, 0.40), "other": (0.2, 9.0, 1.0, 0.35),
@@ -152,7 +152,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bands: dict = BANDS) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they are."""
+    """The rows of ``docs`` that the rules keep, all columns as they are, whatever their names.
+
+    A null, empty or very short text goes (too few words); a null or unknown language is judged by its script; null ids and repeated rows
+    are judged like any other. A very long text is one list of tokens in one worker process. An empty table gives an empty one.
+    """
     session(docs.sparkSession)
 
     def run(batches):

@@ -114,7 +114,11 @@ def mix(docs: DataFrame, tickets: dict | None = None, default_tickets: int = DEF
 
 
 def in_mixed_order(docs: DataFrame, tickets: dict | None = None, **options) -> DataFrame:
-    """``docs`` with its own columns, in the mixed order: partitions are ranges of slots, sorted within."""
+    """``docs`` with its own columns, in the mixed order: partitions are ranges of slots, sorted within.
+
+    Null sources, sizes, ties, repeated rows, long texts and empty tables are those of ``mix``. A document lies where its first character
+    does, so what is written may run past the end of a block by the rest of one document.
+    """
     mixed = mix(docs, tickets, **options)
     slot, place = F.col("__mix.slot"), F.col("__mix.place")
     return mixed.repartitionByRange(slot, place).sortWithinPartitions(slot, place).drop("__mix")
