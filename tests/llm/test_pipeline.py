@@ -44,6 +44,29 @@ def test_stages_on_a_small_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
 
 
+def test_stages_with_clashing_names_long_texts_and_no_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = given.where("lang = 'en' and n_chars > 500").orderBy("doc_id").limit(40).agg(F.concat_ws(" ", F.sort_array(F.collect_list("text")))).first()[0]
+    long = spark.createDataFrame([(10 ** 7, words * 30, "en", None, 0)], given.schema)
+    docs = given.orderBy("doc_id").limit(60).union(long)
+    docs.coalesce(2).write.parquet(f"{tmp_path}/plain/documents.parquet")
+    named = docs.withColumns({c: F.lit(i) for i, c in enumerate(("__text_hash", "__mix", "__id", "__hash", "row", "fp", "key", "root", "units", "recipe", "length"))})
+    named.coalesce(2).write.parquet(f"{tmp_path}/named/documents.parquet")
+    plain, more, nothing = (spark.read.parquet(f"{tmp_path}/{x}/documents.parquet") for x in ("plain", "named", "named"))
+    nothing = nothing.limit(0)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        for name, at in (("plain", plain), ("named", more), ("nothing", nothing)):
+            stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/{name}{i}")
+        plain, more, nothing = (spark.read.parquet(f"{tmp_path}/{x}{i}") for x in ("plain", "named", "nothing"))
+        assert nothing.count() == 0
+        if i < 4:
+            assert more.columns == named.columns and more.select("__text_hash", "__mix", "__id", "__hash").distinct().count() == 1
+            assert Counter(map(tuple, more.select(docs.columns).collect())) == Counter(map(tuple, plain.collect()))
+    assert Counter(r.doc_id for r in more.collect()) == Counter(r.doc_id for r in plain.collect())
+
+
 def test_the_rest_does_not_import_this_package():
     import pathlib
 

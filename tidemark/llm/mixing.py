@@ -119,6 +119,9 @@ def in_mixed_order(docs: DataFrame, tickets: dict | None = None, **options) -> D
     Null sources, sizes, ties, repeated rows, long texts and empty tables are those of ``mix``. A document lies where its first character
     does, so what is written may run past the end of a block by the rest of one document.
     """
-    mixed = mix(docs, tickets, **options)
+    own = "__mix"
+    while own in docs.columns:
+        own += "_"
+    mixed = mix(docs.withColumnRenamed("__mix", own), tickets, **options)
     slot, place = F.col("__mix.slot"), F.col("__mix.place")
-    return mixed.repartitionByRange(slot, place).sortWithinPartitions(slot, place).drop("__mix")
+    return mixed.repartitionByRange(slot, place).sortWithinPartitions(slot, place).drop("__mix").withColumnRenamed(own, "__mix")
