@@ -86,6 +86,7 @@ def magnitude(event, hits, length, recap) -> Column:
     return F.when(col(recap), F.least(base, F.lit(1))).otherwise(base)
 
 
+# The pattern of a stated surprise; the thresholds of tone, length, confidence and direction in this module.
 SURPRISE = r"(beat|miss|above|below|versus|vs\.?|against)\D{0,30}?(\d{1,3}(?:\.\d+)?)\s*(?:per cent|percent|%)"
 
 
