@@ -326,19 +326,23 @@ def size_book(selected: DataFrame, *, weekly: DataFrame | None = None, sizing: s
 
 def build_book(scores: DataFrame, *, weekly: DataFrame | None = None, eligibility: DataFrame | None = None,
                previous: DataFrame | None = None, adv: DataFrame | None = None, capital: float | None = None,
-               n_long: int = 8, n_short: int = 7, risk_scale: float = 1.0, band: float = 0.005,
+               n_long: int = 8, n_short: int = 7, risk_scale: float | DataFrame = 1.0, band: float = 0.005,
                max_participation: float = 0.05, limits: Limits = Limits(), short_instrument: str = "cash_equity",
                by=BY, **sizing) -> DataFrame:
     """Scores to target weights for books that do not depend on each other.
 
     Limits run again after the band and after the capacity cap: both can push a book back over a limit, and the
-    limits have the last word. A zero ``risk_scale`` is a flat book.
+    limits have the last word. ``risk_scale`` is one number or a table (by, risk_scale), where a book without a row keeps its size; a scale
+    of zero is a flat book.
     """
     clean = eligible_only(scores, eligibility, by) if eligibility is not None else scores
     selected = select_names(clean, n_long=n_long, n_short=0 if short_instrument == "none" else n_short, by=by)
-    book = size_book(selected, weekly=weekly, limits=limits, by=by, **sizing).withColumn("weight", F.col("weight") * risk_scale)
-    if risk_scale <= 1e-9:
-        book = book.filter(F.lit(False))
+    book = size_book(selected, weekly=weekly, limits=limits, by=by, **sizing)
+    if isinstance(risk_scale, DataFrame):
+        book = book.join(risk_scale.select(*by, F.col("risk_scale").alias("_risk")), list(by), "left").withColumn("_risk", F.coalesce("_risk", F.lit(1.0)))
+    else:
+        book = book.withColumn("_risk", F.lit(float(risk_scale)))
+    book = book.filter("_risk > 1e-9").withColumn("weight", F.col("weight") * F.col("_risk")).drop("_risk")
     book = apply_limits(book, limits, by=by)
     if previous is not None and band > 0:
         book = apply_limits(no_trade_band(book, previous, band=band, by=by), limits, by=by)

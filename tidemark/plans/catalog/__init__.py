@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("bars_queries", "feature_queries", "news_queries", "money_queries", "source_queries", "evaluation_queries", "model_queries")
+AREAS = ("bars_queries", "feature_queries", "news_queries", "money_queries", "source_queries", "evaluation_queries", "model_queries", "record_queries")
 
 
 def load():
