@@ -100,3 +100,66 @@ def test_ridge_of_all_folds_equals_closed_form(spark):
     z = [got[1].fills[i] if pd.isna(r[c]) else r[c] for i, c in enumerate("abc")]
     assert abs(r["prediction"] - np.dot(z, got[1].coefficients)) < 1e-12
     assert coefficient_table(fitted, ["a", "b", "c"]).count() == 9
+
+
+def _brute_boost(x, y, w, edges, trees, rate, leaves, depth, min_rows, penalty):
+    """The same growth row by row: best-first splits over all features, edges and sides for what is missing."""
+    score = np.full(len(y), (w * y).sum() / w.sum())
+    losses = []
+    for _ in range(trees):
+        g = w * (y - score)
+
+        def best(rows, g=g):
+            found = None
+            for f in range(x.shape[1]):
+                for k, e in enumerate(edges[f]):
+                    for missing_left in (True, False):
+                        v = x[rows, f]
+                        left = np.where(np.isnan(v), missing_left, v <= e)
+                        a, b = rows[left], rows[~left]
+                        if min(len(a), len(b)) < min_rows:
+                            continue
+                        s = lambda r: g[r].sum() ** 2 / (w[r].sum() + penalty)
+                        gain = s(a) + s(b) - s(rows)
+                        if gain > 1e-12 and (found is None or gain > found[0] + 1e-12):
+                            found = (gain, a, b)
+            return found
+
+        open_ = {1: np.arange(len(y))}
+        while len(open_) < leaves:
+            options = {n: b for n, r in open_.items() if n < 2 ** depth and (b := best(r)) is not None}
+            if not options:
+                break
+            n = max(options, key=lambda n: (options[n][0], -n))
+            _, open_[2 * n], open_[2 * n + 1] = options[n]
+            del open_[n]
+        for rows in open_.values():
+            score[rows] += rate * g[rows].sum() / (w[rows].sum() + penalty)
+        losses.append(float((w * (y - score) ** 2).sum() / w.sum()))
+    return score, losses
+
+
+def test_boosted_trees_equal_brute_force(spark):
+    from tidemark.operators import boosting
+
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(240, 3)), 1)
+    x[rng.random(x.shape) < 0.15] = np.nan
+    y = np.where(np.nan_to_num(x[:, 0], nan=1.0) > 0, 1.0, -1.0) + 0.5 * np.nan_to_num(x[:, 1]) + rng.normal(0, 0.2, 240)
+    w = rng.uniform(0.5, 2, 240)
+    rows = [(*(None if np.isnan(v) else float(v) for v in r), float(a), float(b), i) for i, (r, a, b) in enumerate(zip(x, y, w, strict=True))]
+    df = spark.createDataFrame([*rows, (1.0, 1.0, 1.0, None, 1.0, -1)], "a double, b double, c double, label double, sample_weight double, id int").repartition(3)
+    options = {"trees": 4, "rate": 0.3, "leaves": 5, "depth": 3, "min_rows": 15, "penalty": 2.0}
+    model = boosting.fit(df, ["a", "b", "c"], rows=1.0, features=1.1, save_every=3, **options)
+    want, losses = _brute_boost(x, y, w, model.edges, **options)
+    got = model.predict(df.where("id >= 0")).orderBy("id").toPandas()["prediction"].to_numpy()
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+    assert losses[-1] < losses[0] < y.var() and max(len(t.values) for t in model.trees) == 5
+    again = boosting.from_json(boosting.to_json(model))
+    np.testing.assert_allclose(again.predict(df.where("id >= 0")).orderBy("id").toPandas()["prediction"], got, rtol=1e-12)
+    shares = {r.feature: r.importance for r in boosting.importance_table(model, df).collect()}
+    assert shares["a"] > shares["c"] and abs(sum(shares.values()) - 1) < 1e-9
+    drawn = boosting.fit(df, ["a", "b", "c"], rows=0.7, features=0.7, **options)
+    assert np.mean((drawn.predict(df.where("id >= 0")).orderBy("id").toPandas()["prediction"] - y) ** 2) < y.var()
+    nothing = boosting.fit(df.where("label is null"), ["a"], **options)
+    assert nothing.trees == [] and {r.prediction for r in nothing.predict(df).collect()} == {0.0}

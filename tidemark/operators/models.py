@@ -4,12 +4,13 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
 from tidemark.functions import ranks
+from tidemark.operators import boosting
 
 MIN_LABELS = 200
 # The published-factor baseline.
@@ -67,12 +68,9 @@ def ridge(train: DataFrame, columns: list[str], alpha: float = 10.0) -> Fitted:
         fitIntercept=False, standardization=False, solver="normal", regParam=alpha / n * spread))
 
 
-def boosted_trees(train: DataFrame, columns: list[str], *, trees: int = 300, rate: float = 0.03, depth: int = 4,
-                  min_rows: int = 80, rows: float = 0.8, features: str = "0.7", seed: int = 7) -> Fitted:
-    """Gradient-boosted trees. Grown by depth and without a leaf penalty, so scores differ from leaf-wise libraries."""
-    return _fit(train, columns, GBTRegressor(
-        featuresCol="_features", labelCol=S.LABEL, weightCol=S.WEIGHT, predictionCol="_prediction", maxIter=trees, stepSize=rate,
-        maxDepth=depth, minInstancesPerNode=min_rows, subsamplingRate=rows, featureSubsetStrategy=features, seed=seed))
+def boosted_trees(train: DataFrame, columns: list[str], **options) -> boosting.Boosted:
+    """Gradient-boosted trees with a leaf penalty; missing features stay missing."""
+    return boosting.fit(train, columns, **options)
 
 
 def factory(name: str, columns: list[str], **options) -> Callable[[DataFrame], Callable[[DataFrame], DataFrame]]:

@@ -494,3 +494,28 @@ def _(spark, d):
     from tidemark.sources import fixtures as fx
 
     return splits.lookahead_differences(fx.bars(spark, d), "2000-10-06", list(FQ.PANEL_COLS))
+
+
+@query("m2_boosted_trees", B.with_(*PANEL, "known AS (SELECT * FROM panel WHERE label IS NOT NULL)") + """
+SELECT n_trees::INTEGER AS n_trees, count(*) AS n, avg(label) AS mean_prediction, TRUE AS loss_fell FROM known, (SELECT unnest([1, 3]) AS n_trees) GROUP BY 1""", "mean_prediction", 9)
+def _(spark, d):
+    """Without penalty and at full rate the mean prediction is the mean label after every tree, and more trees fit better."""
+    p = price_panel(spark, d).where("label is not null")
+    out, before = None, p.agg(F.var_pop("label")).first()[0]
+    for n in (1, 3):
+        fitted = models.boosted_trees(p, PRICE[:6], trees=n, rate=1.0, penalty=0.0, rows=1.0, features=1.1, leaves=6, depth=3)
+        one = fitted.predict(p).agg(F.lit(n).alias("n_trees"), F.count("*").alias("n"), F.avg("prediction").alias("mean_prediction"),
+                                    (F.avg((F.col("label") - F.col("prediction")) ** 2) < before).alias("loss_fell"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("m2_trees_out_of_sample")
+def _(spark, d):
+    """Boosted trees walked forward over the folds of the ridge, next to it: weekly rank correlation of both."""
+    p = price_panel(spark, d)
+    folds = price_folds(p)
+    ridge = fold_ridge.walk_forward_ridge(p, folds, PRICE).select("fold", "decision_session", "ticker", "label", "prediction", F.lit("ridge").alias("model"))
+    trees = models.walk_forward_predict(p, folds, lambda train, _: models.boosted_trees(train, PRICE, trees=6, rate=0.3).predict)
+    both = materialise(ridge.unionByName(trees.withColumn("model", F.lit("trees")).select(ridge.columns)), "scored")
+    return skill.ic_statistics(skill.periodic_ic(both, by=("model", "decision_session")), ("model",))
