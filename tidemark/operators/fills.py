@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import ranks
 from tidemark.functions.exprs import col, div
 
 # A fill farther off is a typo; band of agreement; fills and weeks needed for a verdict.
@@ -45,11 +46,12 @@ def analyse_fills(fills: DataFrame, orders: DataFrame, by=("run",), key=("client
         F.count_if(used).alias("n_filled"), F.count_if(F.col("dropped") == "unattributed").alias("n_unattributed"),
         F.count_if(F.col("dropped").isNotNull()).alias("n_dropped"), F.coalesce(n(F.col("notional")), F.lit(0.0)).alias("total_notional"),
         div(n(F.col("slippage_bps") * F.col("notional")), n(F.col("notional"))).alias("weighted_slippage_bps"),
-        F.median(F.when(used, F.col("slippage_bps"))).alias("median_slippage_bps"),
         div(n(F.col("expected_slip_bps") * F.col("notional"), modelled), n(F.col("notional"), modelled)).alias("weighted_expected_bps"),
         F.coalesce(n(F.col("slippage_bps") / 10_000.0 * F.col("notional")), F.lit(0.0)).alias("slippage_cost"))
     total = orders.groupBy(*by).agg(F.count("*").alias("n_orders"))
-    out = total.join(per, list(by), "left").withColumn("n_filled", F.coalesce("n_filled", F.lit(0)))
+    # from counts of values, so that a run of any size is no single task
+    middle = ranks.quantiles(judged.filter(used), list(by), "slippage_bps", [0.5]).select(*by, F.col("q")[0].alias("median_slippage_bps"))
+    out = total.join(per.join(middle, list(by), "left"), list(by), "left").withColumn("n_filled", F.coalesce("n_filled", F.lit(0)))
     surprise = F.col("weighted_slippage_bps") - F.col("weighted_expected_bps")
     return out.withColumns({"coverage": F.col("n_filled") / F.col("n_orders"), "surprise_bps": surprise}).withColumn(
         "verdict", F.when(F.col("n_filled") == 0, "no fills").when(F.col("n_filled") < MIN_FILLS, "too few fills").otherwise(

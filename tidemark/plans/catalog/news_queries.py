@@ -353,5 +353,5 @@ SELECT round(count(news_count) / count(*)::DOUBLE, 4) AS coverage, (SELECT count
 def _(spark, d):
     names = fx.table(spark, d, "events").select(F.concat(F.lit("U"), (F.col("user_id") % 30).cast("string")).alias("ticker"))
     days = fx.event_sessions(spark, d)
-    grid = cal.align_panel(names.join(days, F.lit(False)), days, names).withColumnRenamed("session", "decision_session")
+    grid = cal.align_panel(names.select("ticker", F.lit(None).cast("date").alias("session")).filter("session is not null"), days, names).withColumnRenamed("session", "decision_session")
     return nf.coverage_report(daily_news(spark, d), grid)
