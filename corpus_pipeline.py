@@ -48,8 +48,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their place in the sequences; null texts are empty, repeated rows and null ids have pieces of their own."""
-    return packing.pack(spark, docs)
+    """The pieces of the documents with their place in the sequences; null texts are empty, repeated rows and null ids have pieces of their own.
+
+    The sequences follow the order in which the documents are stored, which is the one that the stage before has given them.
+    """
+    return packing.pack(spark, docs, order=packing.stored_order(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

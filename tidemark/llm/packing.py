@@ -12,7 +12,8 @@ from collections import defaultdict
 from math import isqrt
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
@@ -20,6 +21,9 @@ from tidemark.llm.common import map_rows, salted_running_sum
 from tidemark.session import materialise
 
 CAPACITY, END_ID = 2048, 0
+#: Documents of a stored order that are counted in one run.
+RUN = 65_536
+PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
@@ -154,37 +158,60 @@ def pieces_of(length: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, ranks: str = RANKS,
-                 vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): one row for each piece of each tokenised document, its end id included."""
+                 vocabulary: str = VOCABULARY, end_id: int = END_ID, order: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): one row for each piece of each tokenised document, its end id included.
+
+    With ``order`` also ``at0``, ``at1``: these two numbers of the document.
+    """
+    at = [f"at{i}" for i in range(len(order))]
 
     def cut(rows):
-        out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
+        out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", *at)}
+        for doc_id, text, *placed in zip(rows["doc_id"], rows["text"], *(rows[a] for a in at), strict=True):
             ids = np.append(bpe.encode_ids(text, ranks, vocabulary), np.uint32(end_id)).astype("<u4", copy=False)
             for i, (start, n) in enumerate(pieces_of(len(ids), capacity)):
-                for k, v in zip(out, (doc_id, i, start, n, zlib.crc32(ids[start:start + n].tobytes())), strict=True):
+                for k, v in zip(out, (doc_id, i, start, n, zlib.crc32(ids[start:start + n].tobytes()), *placed), strict=True):
                     out[k].append(v)
         return out
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return map_rows(rows, cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                       *[o.cast("bigint").alias(a) for o, a in zip(order, at, strict=True)])
+    return map_rows(rows, cut, ", ".join([PIECE, *[f"{a} bigint" for a in at]]))
+
+
+def stored_order(docs: DataFrame) -> tuple[Column, ...]:
+    """Where a row stands in the stored table ``docs`` was read from: number of its part file, row in it. Empty for rows not read from files."""
+    try:
+        file = docs.metadataColumn("_metadata")
+        docs.select(file["file_name"], file["row_index"])
+    except AnalysisException:
+        return ()
+    part = F.nullif(F.regexp_extract(file["file_name"], "^part-([0-9]+)", 1), F.lit(""))
+    return F.coalesce(part.cast("bigint"), F.lit(0)), file["row_index"]
 
 
-def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, **tokens) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, order: tuple[Column, ...] = (), **tokens) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``: gapless from 0 within a sequence, no sequence longer than ``capacity``.
 
     A null or empty text is a document of the end id alone. Repeated rows are packed as often as they occur, ties in length are
     ordered by id, piece and checksum; null ids are packed like others. An empty table gives an empty result. Columns beside id and
     text are ignored whatever their names.
+
+    ``order`` is a place of each document as two whole numbers, such as ``stored_order``. With it pieces of a length are dealt to the
+    sequences in that order, and sequences are numbered by the place of the first document in them, so reading them one after the
+    other keeps the order as far as the packing allows. How many sequences there are and how full they are does not depend on it.
     """
-    pieces = materialise(token_pieces(docs, capacity=capacity, **tokens), "pieces")
+    pieces = materialise(token_pieces(docs, capacity=capacity, order=order, **tokens), "pieces")
+    placed = [F.col(f"at{i}") for i in range(len(order))]
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     intervals, _, _ = plan_packing(counts, capacity)
     table = np.array(intervals or [(0, 0, 0, 0)], dtype=np.int64)
     shared = spark.sparkContext.broadcast((table[:, 0] << 44 | table[:, 1], table[:, 1], table[:, 2], table[:, 3]))
     salts = isqrt(max(counts.values(), default=1)) + 1
-    ranked = salted_running_sum(pieces, "length", F.lit(1), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")],
-                                F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)), "rank")
+    ties = [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
+    # the rows of a length, split: in runs of the order, or by hashes
+    salt = F.struct(placed[0], F.floor(placed[1] / RUN)) if order else F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts))
+    ranked = salted_running_sum(pieces, "length", F.lit(1), [*placed, *ties], salt, "rank")
 
     def place(rows):
         keys, first, sequence, offset = shared.value
@@ -193,4 +220,15 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, **token
         rows.pop("rank")
         return rows | {"sequence_id": (sequence[i] + ranks - first[i]).tolist(), "offset": offset[i].tolist()}
 
-    return map_rows(ranked, place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    out = map_rows(ranked, place, ", ".join([PIECE, *[f"at{i} bigint" for i in range(len(order))], "sequence_id bigint, offset bigint"]))
+    return _numbered(materialise(out, "placed")) if order else out
+
+
+def _numbered(out: DataFrame) -> DataFrame:
+    """Sequences numbered from 0 by the place of the first document in them; one document's whole sequences by their old numbers."""
+    first = out.groupBy("sequence_id").agg(F.min(F.struct("at0", "at1")).alias("at")).select(
+        F.col("sequence_id").alias("old"), F.lit(0).alias("all"), "at.at0", "at.at1")
+    run = F.struct("at0", F.floor(F.col("at1") / RUN))
+    number = salted_running_sum(first, "all", F.lit(1), [F.col("at0"), F.col("at1"), F.col("old")], run, "number").select("old", "number")
+    return out.join(number, out["sequence_id"] == number["old"]).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", F.col("number").alias("sequence_id"), "offset")
