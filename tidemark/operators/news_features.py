@@ -26,12 +26,13 @@ def visible_articles(analyses: DataFrame, grid: DataFrame, lookback_days: int =
     """Articles with the decisions that may use them: on or after cut-off minus look-back, strictly before the cut-off.
 
     An article is spread to the few cut-off days it can reach and meets the grid in an equi-join on the day; the exact
-    instants are compared after that.
+    instants are compared after that. The grid has one row for each session of a calendar and is sent to the articles: by a
+    shuffle on the day, all articles of a day would come to one task.
     """
     cutoffs = grid.select(S.DECISION, S.DECISION_TS, F.col(S.DECISION_TS).cast("date").alias("_day"))
     day = F.col(S.AVAILABLE_AT).cast("date")
     spread = analyses.withColumn("_day", F.explode(F.sequence(day, F.date_add(day, lookback_days))))
-    return spread.join(cutoffs, "_day").filter(
+    return spread.join(F.broadcast(cutoffs), "_day").filter(
         (F.col(S.AVAILABLE_AT) < F.col(S.DECISION_TS))
         & (F.col(S.AVAILABLE_AT) >= F.col(S.DECISION_TS) - F.make_interval(days=F.lit(lookback_days)))).drop("_day")
 
