@@ -1,10 +1,12 @@
 """Near-duplicate collapse and novelty of articles.
 
 Identical texts are folded into one *story* per (ticker, n-gram set) first, so a story republished a million times is
-compared once. Stories meet only inside time buckets as wide as the window (an equi-join on ticker and bucket), and
-what a bucket needs to know of a story is its first and last appearance. Whole bodies are compared.
+compared once. Stories meet only inside time buckets as wide as the window, and what a bucket needs to know of a story is
+its first and last appearance. Whole bodies are compared, in tiles of two blocks of stories; texts are shuffled, n-grams are not.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,151 +16,157 @@ from tidemark.session import materialise
 
 def signature(title="title", body="body", n: int = 5, body_chars: int | None = None) -> Column:
     """Sorted hashes of the distinct character n-grams of title and body, or of the body's first ``body_chars``."""
+    return F.array_sort(F.transform(text.char_ngrams(_compared(title, body, body_chars), n), lambda g: F.xxhash64(g)))
+
+
+def _compared(title="title", body="body", body_chars: int | None = None) -> Column:
     part = F.col(body) if body_chars is None else F.substring(body, 1, body_chars)
-    compared = text.normalise_text(F.concat(F.col(title), F.lit(" "), part))
-    return F.array_sort(F.transform(text.char_ngrams(compared, n), lambda g: F.xxhash64(g)))
+    return text.normalise_text(F.concat(F.col(title), F.lit(" "), part))
 
 
-def _occurrences(articles: DataFrame, hours: float, id_col: str, body_chars: int | None, *more: str) -> DataFrame:
-    """(id, ticker, at in seconds, story, bucket) plus the n-gram hashes and the columns ``more``."""
+def _occurrences(numbered: DataFrame, hours: float, id_col: str, body_chars: int | None) -> DataFrame:
+    """(number, id, ticker, at in seconds, story, n-grams, characters, bucket). The n-grams themselves are many times the text and are not stored."""
     at = F.unix_micros(S.AVAILABLE_AT) / F.lit(1e6)
-    out = articles.select(F.col(id_col).alias("_id"), S.TICKER, at.alias("_at"), signature(body_chars=body_chars).alias("_grams"), *more)
-    out = out.withColumn("_story", F.xxhash64("_grams")).withColumn(
-        "_bucket", F.floor(F.col("_at") / F.lit(hours * 3600.0)).cast("long"))
+    size = F.length("title") + F.length("body")
+    out = numbered.select("_number", F.col(id_col).alias("_id"), S.TICKER, at.alias("_at"), F.coalesce(size, F.lit(0)).cast("long").alias("_chars"),
+                          F.element_at(F.transform(F.array(signature(body_chars=body_chars)), lambda g: F.struct(
+                              F.xxhash64(g).alias("_story"), F.size(g).alias("_n"))), 1).alias("_g"))
+    out = out.select("*", "_g.*", F.floor(F.col("_at") / F.lit(hours * 3600.0)).cast("long").alias("_bucket")).drop("_g")
     return materialise(out, "signatures")  # costly to compute and read several times below
 
 
 def _stories(occ: DataFrame) -> DataFrame:
-    """One row per (ticker, bucket, story): its n-grams, first and last appearance."""
-    return occ.groupBy(S.TICKER, "_bucket", "_story").agg(
-        F.first("_grams").alias("_grams"), F.min(F.struct("_at", "_id")).alias("_first"), F.max("_at").alias("_last"))
-
-
-def _reachable(stories: DataFrame, suffix: str = "2") -> DataFrame:
-    """Stories of a bucket and of the one before it, addressed by the later bucket."""
-    names = {c: c + suffix for c in ("_story", "_grams", "_first", "_last")}
-    both = stories.select(S.TICKER, F.explode(F.array(
-        F.struct(F.col("_bucket").alias("b"), F.lit(True).alias("same")),
-        F.struct((F.col("_bucket") + 1).alias("b"), F.lit(False).alias("same")))).alias("x"),
-        *[F.col(c).alias(n) for c, n in names.items()])
-    return both.select(S.TICKER, F.col("x.b").alias("_bucket"), F.col("x.same").alias("_same"), *names.values())
+    """One row per (ticker, bucket, story): an article that has its text, its size, first and last appearance."""
+    return occ.filter("_n > 0").groupBy(S.TICKER, "_bucket", "_story").agg(
+        F.min("_number").alias("_text_of"), F.max("_chars").alias("_chars"), F.min(F.struct("_at", "_id")).alias("_first"), F.max("_at").alias("_last"))
 
 
-SALTS = 16
+#: Size of a block of stories, in characters, and what a story counts besides its text.
+BLOCK_CHARS, STORY_CHARS = 10_000_000, 5_000
 
 
-def _salted(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Join on (ticker, bucket) with each bucket's left rows spread over several tasks.
+def _tiles(numbered: DataFrame, stories: DataFrame, body_chars: int | None) -> DataFrame:
+    """The stories of each bucket and of the one before it with their text, in tiles (ticker, bucket, u, v) of two blocks or one.
 
-    The right side is one row per story and bucket, so repeating it per salt stays small next to the comparisons.
+    Two stories of which one lies in the bucket meet in one tile: in (u, u) those of a block, in (u, v) those of different blocks. Blocks
+    are as many as their size asks for, so a bucket with few stories is one tile and holds each text once.
     """
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("_id", "_story") if c in left.columns]), F.lit(SALTS)))
-    every = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return spread.join(every, [S.TICKER, "_bucket", "_salt"]).drop("_salt")
-
-
-#: Rare n-grams by which a first bound of an article's overlap is found.
-PROBES = 8
+    both = stories.select(S.TICKER, F.explode(F.array(
+        F.struct(F.col("_bucket").alias("_bucket"), F.lit(True).alias("_same")),
+        F.struct((F.col("_bucket") + 1).alias("_bucket"), F.lit(False).alias("_same")))).alias("x"),
+        "_story", "_text_of", "_chars", "_first", "_last").select(S.TICKER, "x.*", "_story", "_text_of", "_chars", "_first", "_last")
+    blocks = both.groupBy(S.TICKER, "_bucket").agg(
+        F.ceil(F.sum(F.col("_chars") + STORY_CHARS) / F.lit(float(BLOCK_CHARS))).alias("_blocks"), F.max("_same").alias("_any"))
+    dealt = both.join(blocks.filter("_any").drop("_any"), [S.TICKER, "_bucket"]).withColumn("_block", F.pmod("_story", "_blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    dealt = dealt.withColumn("_w", other).withColumns({"_u": F.least("_block", "_w"), "_v": F.greatest("_block", "_w")})
+    thin = dealt.select(S.TICKER, "_bucket", "_u", "_v", "_block", "_same", "_story", "_text_of", "_first._at", "_first._id", "_last")
+    texts = numbered.select(F.col("_number").alias("_text_of"), _compared(body_chars=body_chars).alias("_text"))
+    return thin.join(texts, "_text_of").drop("_text_of")
+
+
+def _gram_keys(value: str) -> np.ndarray:
+    """Distinct 64-bit keys of the character 5-grams of a text; a shorter text is its own only gram."""
+    chars = np.frombuffer(value.encode("utf-32-le"), "<u4").astype(np.uint64)
+    n = min(5, len(chars))
+    keys = np.zeros(len(chars) - n + 1, np.uint64)
+    for k in range(n):
+        keys = keys * np.uint64(0x9E3779B97F4A7C15) + chars[k:len(chars) - n + 1 + k] + np.uint64(n)
+    return np.unique(keys)
+
+
+def _overlaps(texts: list[str]) -> np.ndarray:
+    """Overlap (intersection by union) of the n-gram sets of each two texts of a tile; exact counts."""
+    grams = [_gram_keys(t) for t in texts]
+    sizes, n = np.array([len(g) for g in grams], np.float64), len(grams)
+    _, key = np.unique(np.concatenate(grams), return_inverse=True)
+    order = np.argsort(key, kind="stable")
+    rows, uses = np.repeat(np.arange(n), sizes.astype(np.int64))[order], np.bincount(key)
+    start = np.cumsum(uses) - uses
+    shared = np.zeros((n, n), np.float32)
+    for few in range(2, min(16, n) + 1):  # grams of few texts: their pairs are counted
+        at = start[uses == few]
+        i, j = np.triu_indices(few, 1)
+        for part in range(0, len(at), 1 << 14):
+            held = rows[at[part:part + (1 << 14), None] + np.arange(few)]
+            shared += np.bincount((held[:, i] * n + held[:, j]).ravel(), minlength=n * n).reshape(n, n).astype(np.float32)
+    shared += shared.T
+    many = np.flatnonzero(uses > 16)
+    for part in range(0, len(many), 4096):  # grams of many texts: as columns of a matrix of ones
+        chosen = many[part:part + 4096]
+        column = np.repeat(np.arange(len(chosen)), uses[chosen])
+        first = np.repeat(start[chosen], uses[chosen]) + np.arange(len(column)) - np.repeat(np.cumsum(uses[chosen]) - uses[chosen], uses[chosen])
+        held = np.zeros((n, len(chosen)), np.float32)
+        held[rows[first], column] = 1.0
+        shared += held @ held.T
+    counted = shared.astype(np.float64)
+    counted /= sizes[:, None] + sizes[None, :] - counted
+    return counted
+
+
+def _meeting(tile) -> np.ndarray:
+    """Which rows of a tile meet which: two stories, of different blocks unless the tile is one block."""
+    story, block = tile["_story"].to_numpy(), tile["_block"].to_numpy()
+    apart = story[:, None] != story[None, :]
+    return apart if tile["_u"].iloc[0] == tile["_v"].iloc[0] else apart & (block[:, None] != block[None, :])
 
 
 def novelty_scores(articles: DataFrame, *, lookback_days: float = 7.0, id_col: str = "content_hash", body_chars: int | None = None) -> DataFrame:
     """(id, ticker, available_at, novelty): 1 less the largest overlap with the ticker's earlier coverage.
 
     An article whose story already appeared inside the look-back scores 0 without a comparison; only the first of a run of copies is
-    compared with other stories. The largest overlap is exact: the stories that share one of its rarest n-grams give a bound b, and a
-    story that overlaps by more must share one of the n - ceil(b n) + 1 rarest and be of a size that allows it. Where the lists of stories
-    that hold those n-grams are longer than the stories in reach, the stories in reach are compared directly, if their size allows.
+    compared with other stories. In a bucket that is the story's first appearance. The largest overlap is exact: every story in reach is
+    compared, in tiles of bounded size, so work grows with the square of a ticker's stories in one look-back and in proportion otherwise.
     """
     span = lookback_days * 86400.0
-    occ = _occurrences(articles, lookback_days * 24.0, id_col, body_chars)
+    numbered = materialise(articles.withColumn("_number", F.monotonically_increasing_id()), "numbered")  # fixed once written
+    occ = _occurrences(numbered, lookback_days * 24.0, id_col, body_chars)
     stories = materialise(_stories(occ), "stories")
     me = F.struct("_at", "_id")
-    earlier = F.when(F.col("_same"), F.col("_first2") < me).otherwise(F.col("_last2") >= F.col("_at") - span)
-    reach = _reachable(stories).withColumn("_n2", F.size("_grams2"))
-    near = reach.drop("_grams2")
-    own = near.select(S.TICKER, "_bucket", "_same", F.col("_story2").alias("_story"), "_first2", "_last2")
-    repeated = occ.join(own, [S.TICKER, "_bucket", "_story"]).filter(earlier).select("_id", S.TICKER, "_at").distinct()
     key = ["_id", S.TICKER, "_at"]
-    fresh = occ.withColumn("_n", F.size("_grams")).drop("_grams").join(repeated, key, "left_anti").filter("_n > 0")
-    whole = stories.filter(F.size("_grams") > 0).groupBy(S.TICKER, "_story").agg(F.first("_grams").alias("_grams"))
-    ordered = materialise(_ordered(whole), "ordered")
-    asked = materialise(fresh.join(ordered, [S.TICKER, "_story"]), "fresh")
-    postings = near.join(whole.select(S.TICKER, F.col("_story").alias("_story2"), F.explode("_grams").alias("_gram")), [S.TICKER, "_story2"])
-    again = whole.select(S.TICKER, F.col("_story").alias("_story2"), F.col("_grams").alias("_grams2"))
-
-    def overlaps(rows: DataFrame, least) -> DataFrame:
-        """Largest overlap of each article with a story that shares one of its n-grams ``_probe`` (ticker, bucket) and may exceed ``least``."""
-        probes = rows.select(*key, "_story", "_bucket", "_n", least.alias("_b"), F.explode("_probe").alias("g")).withColumn("_gram", F.col("g._gram")).drop("g")
-        sized = (F.least("_n", "_n2") >= F.col("_b") * F.greatest("_n", "_n2"))
-        met = probes.join(postings, [S.TICKER, "_bucket", "_gram"]).filter((F.col("_story") != F.col("_story2")) & earlier & sized)
-        pairs = met.select(*key, "_story", "_story2").distinct()
-        both = pairs.join(whole, [S.TICKER, "_story"]).join(again, [S.TICKER, "_story2"])
-        return both.groupBy(*key).agg(F.max(text.jaccard("_grams", "_grams2")).alias("_best"))
-
-    first = overlaps(asked.withColumn("_probe", F.slice("_o", 1, PROBES)), F.lit(0.0))
-    count = near.groupBy(S.TICKER, "_bucket").agg(F.count("*").alias("_reach"))
-    bound = F.coalesce("_best", F.lit(0.0))
-    longer = F.slice("_o", F.lit(1), F.col("_n") - F.ceil(F.col("_n") * bound - 1e-9).cast("int") + 1)
-    known = asked.join(first, key, "left").join(count, [S.TICKER, "_bucket"]).withColumns({"_b": bound, "_probe": longer})
-    cost = F.aggregate("_probe", F.lit(0).cast("bigint"), lambda s, g: s + g["_uses"])
-    known = materialise(known.withColumn("_cheap", cost <= F.col("_reach")), "bounded")
-    second = overlaps(known.filter("_cheap and _b < 1"), F.col("_b"))
-    grams = whole.select(S.TICKER, "_story", "_grams")
-    scan = known.filter("not _cheap and _b < 1").select(*key, "_story", "_bucket", "_n", "_b").join(grams, [S.TICKER, "_story"])
-    sized = F.least("_n", "_n2") >= F.col("_b") * F.greatest("_n", "_n2")
-    third = _salted(scan, reach).filter((F.col("_story") != F.col("_story2")) & earlier & sized).groupBy(*key).agg(F.max(text.jaccard("_grams", "_grams2")).alias("_best"))
-    closest = first.union(second).union(third).groupBy(*key).agg(F.max("_best").alias("_best"))
-    scored = (
-        occ.select(*key, F.size("_grams").alias("_n"))
-        .join(closest, key, "left")
-        .join(repeated.withColumn("_again", F.lit(True)), key, "left")
-    )
-    best = F.when(F.col("_again") & (F.col("_n") > 0), 1.0).otherwise(F.coalesce("_best", F.lit(0.0)))
+    same = stories.select(S.TICKER, "_bucket", "_story", F.col("_first").alias("_first2"))
+    prior = stories.select(S.TICKER, (F.col("_bucket") + 1).alias("_bucket"), "_story", F.col("_last").alias("_last2"))
+    seen = occ.join(same, [S.TICKER, "_bucket", "_story"], "left").join(prior, [S.TICKER, "_bucket", "_story"], "left")
+    again = F.coalesce(F.col("_first2") < me, F.lit(False)) | F.coalesce(F.col("_last2") >= F.col("_at") - span, F.lit(False))
+    seen = seen.withColumn("_again", again)
+
+    def closest(tile):
+        tile = tile.reset_index(drop=True)
+        overlap = np.where(_meeting(tile), _overlaps(list(tile["_text"])), 0.0)
+        rank = np.empty(len(tile), np.int64)
+        ordered = sorted(range(len(tile)), key=lambda i: (tile["_at"][i], tile["_id"][i]))
+        for place, i in enumerate(ordered):
+            tie = place and (tile["_at"][i], tile["_id"][i]) == (tile["_at"][ordered[place - 1]], tile["_id"][ordered[place - 1]])
+            rank[i] = rank[ordered[place - 1]] if tie else place
+        own = tile["_same"].to_numpy()
+        earlier = np.where(own[None, :], rank[None, :] < rank[:, None], tile["_last"].to_numpy()[None, :] >= tile["_at"].to_numpy()[:, None] - span)
+        best = np.where(earlier, overlap, 0.0).max(axis=1)
+        return tile.loc[own, [S.TICKER, "_bucket", "_story"]].assign(_best=best[own])
+
+    tile_key = [S.TICKER, "_bucket", "_u", "_v"]
+    types = {f.name: f.dataType.simpleString() for f in stories.schema.fields}
+    found = _tiles(numbered, stories, body_chars).groupBy(*tile_key).applyInPandas(
+        closest, f"{S.TICKER} {types[S.TICKER]}, _bucket bigint, _story bigint, _best double")
+    best = found.groupBy(S.TICKER, "_bucket", "_story").agg(F.max("_best").alias("_best"))
+    scored = seen.join(best, [S.TICKER, "_bucket", "_story"], "left")
+    share = F.when(F.col("_again") & (F.col("_n") > 0), 1.0).otherwise(F.coalesce("_best", F.lit(0.0)))
     return scored.select(F.col("_id").alias(id_col), S.TICKER, F.timestamp_micros(
-        F.round(F.col("_at") * 1e6).cast("long")).alias(S.AVAILABLE_AT), F.greatest(F.lit(0.0), 1.0 - best).alias("novelty"))
-
-
-def _ordered(stories: DataFrame) -> DataFrame:
-    """(ticker, story, _o): the n-grams of each story with how many stories of the ticker hold them, rarest first."""
-    grams = stories.select(S.TICKER, "_story", F.explode("_grams").alias("_gram"))
-    seen = grams.groupBy(S.TICKER, "_gram").agg(F.count("*").alias("_uses"))
-    return grams.join(seen, [S.TICKER, "_gram"]).groupBy(S.TICKER, "_story").agg(
-        F.sort_array(F.collect_list(F.struct("_uses", "_gram"))).alias("_o"))  # the grams of one story
+        F.round(F.col("_at") * 1e6).cast("long")).alias(S.AVAILABLE_AT), F.greatest(F.lit(0.0), 1.0 - share).alias("novelty"))
 
 
-def _rare_first(stories: DataFrame, threshold: float) -> DataFrame:
-    """(ticker, story, gram) for the grams of a story that any other story must share one of to overlap by ``threshold``.
-
-    With all grams in one order, two sets that overlap enough share one among their first ``n - ceil(t n) + 1``. Rare
-    grams come first, so few stories meet in one.
-    """
-    ordered = _ordered(stories)
-    n = F.size("_o")
-    first = F.slice("_o", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
-    return ordered.select(S.TICKER, "_story", F.explode(first).alias("g")).select(S.TICKER, "_story", F.col("g._gram").alias("_gram"))
+def similar_stories(numbered: DataFrame, occ: DataFrame, threshold: float, body_chars: int | None = None) -> DataFrame:
+    """(ticker, story, story2), both ways, for distinct stories that come within reach of each other and overlap enough."""
+    tiles = _tiles(numbered, _stories(occ), body_chars)
 
+    def pairs(tile):
+        tile = tile.reset_index(drop=True)
+        own, story = tile["_same"].to_numpy(), tile["_story"].to_numpy()
+        near = _meeting(tile) & (own[:, None] | own[None, :]) & (_overlaps(list(tile["_text"])) >= threshold)
+        i, j = np.nonzero(near)
+        return pd.DataFrame({S.TICKER: tile[S.TICKER].iloc[0], "_story": story[i], "_story2": story[j]})
 
-def similar_stories(occ: DataFrame, threshold: float) -> DataFrame:
-    """(ticker, story, story2), both ways, for distinct stories that come within reach of each other and overlap enough.
-
-    Candidates share one of their rare grams and a bucket, and their sizes allow the overlap; only these are compared.
-    """
-    stories = materialise(_stories(occ).filter(F.size("_grams") > 0), "stories")
-    whole = stories.groupBy(S.TICKER, "_story").agg(F.first("_grams").alias("_grams"))
-    rare = materialise(_rare_first(whole, threshold), "rare")
-    mine = stories.select(S.TICKER, "_bucket", "_story", F.size("_grams").alias("_n")).join(rare, [S.TICKER, "_story"])
-    other = _reachable(stories.select(S.TICKER, "_bucket", "_story", "_grams", "_first", "_last")).select(
-        S.TICKER, "_bucket", "_story2", F.size("_grams2").alias("_n2"))
-    other = other.join(rare.select(S.TICKER, F.col("_story").alias("_story2"), "_gram"), [S.TICKER, "_story2"])
-    met = mine.join(other, [S.TICKER, "_bucket", "_gram"]).filter(
-        (F.col("_story") != F.col("_story2")) & (F.least("_n", "_n2") >= threshold * F.greatest("_n", "_n2")))
-    pairs = met.select(S.TICKER, F.least("_story", "_story2").alias("_story"), F.greatest("_story", "_story2").alias("_story2")).distinct()
-    again = whole.select(S.TICKER, F.col("_story").alias("_story2"), F.col("_grams").alias("_grams2"))
-    close = pairs.join(whole, [S.TICKER, "_story"]).join(again, [S.TICKER, "_story2"]).filter(text.jaccard("_grams", "_grams2") >= threshold)
-    both = F.array(F.struct(F.col("_story").alias("s"), F.col("_story2").alias("o")),
-                   F.struct(F.col("_story2").alias("s"), F.col("_story").alias("o")))
-    return close.select(S.TICKER, F.explode(both).alias("p")).select(
-        S.TICKER, F.col("p.s").alias("_story"), F.col("p.o").alias("_story2"))
+    kind = numbered.schema[S.TICKER].dataType.simpleString()
+    return tiles.groupBy(S.TICKER, "_bucket", "_u", "_v").applyInPandas(pairs, f"{S.TICKER} {kind}, _story bigint, _story2 bigint").distinct()
 
 
 def deduplicate(articles: DataFrame, *, threshold: float = 0.60, window_hours: float = 72.0,
@@ -172,9 +180,9 @@ def deduplicate(articles: DataFrame, *, threshold: float = 0.60, window_hours: f
     articles follow each other in one unbroken run of similar coverage; each leaves a table, and no run is one task.
     """
     numbered = materialise(articles.withColumn("_number", F.monotonically_increasing_id()), "numbered")  # fixed once written
-    occ = _occurrences(numbered, window_hours, id_col, body_chars, "_number")
-    edges = materialise(similar_stories(occ, threshold), "similar")
-    copies = occ.groupBy(S.TICKER, "_story").agg(F.count("*").alias("_copies"), F.max(F.size("_grams")).alias("_size"))
+    occ = _occurrences(numbered, window_hours, id_col, body_chars)
+    edges = materialise(similar_stories(numbered, occ, threshold, body_chars), "similar")
+    copies = occ.groupBy(S.TICKER, "_story").agg(F.count("*").alias("_copies"), F.max("_n").alias("_size"))
     linked = edges.select(S.TICKER, "_story").distinct().withColumn("_linked", F.lit(True))
     involved = (
         occ.select(S.TICKER, "_story", F.struct("_at", "_id", "_number").alias("_c"))
