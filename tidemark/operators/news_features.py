@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas as S
 from tidemark.functions.exprs import clip, div
 from tidemark.functions.exprs import Trailing
+from tidemark.session import materialise
 
 # The event types of each exposure family.
 EVENT_GROUPS = {
@@ -94,7 +95,8 @@ def add_days_since_material(features: DataFrame, analyses: DataFrame, cap: float
 
 def build_news_features(analyses: DataFrame, grid: DataFrame, *, lookback_days: int = 10, baseline_weeks: int = 26,
                         **weights) -> DataFrame:
-    out = aggregate_news(visible_articles(analyses, grid, lookback_days), **weights)
+    # read four times below
+    out = materialise(aggregate_news(visible_articles(analyses, grid, lookback_days), **weights), "news")
     out = add_days_since_material(add_abnormal_count(out, baseline_weeks), analyses)
     return out.select(S.DECISION, S.TICKER, *FEATURES)
 
