@@ -42,7 +42,8 @@ def upsert_bars(spark: SparkSession, target: str, keys=("ticker", "session"), ke
         old = spark.read.schema(bare.schema).parquet(*before) if before else bare.limit(0)
         made = f"v={version + 1:012d}-{batch_id}-{uuid.uuid4().hex[:8]}"
         merged = upsert(old, bare.where(F.col(keys[-1]).isNotNull()), list(keys)).withColumn("year", F.year(keys[-1]))
-        merged.repartition("year", F.pmod(F.xxhash64(keys[0]), F.lit(8))).write.partitionBy("year").parquet(f"{target}/{made}")
+        spread = F.pmod(F.xxhash64(*keys), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))  # adaptive execution joins small parts
+        merged.repartition("year", spread).write.partitionBy("year").parquet(f"{target}/{made}")
         live |= {str(y): f"{made}/year={y}" for y in years}
         done = [*(state["done"] if state else []), stamp][-100:]
         _commit(spark, target, version + 1, {"live": live, "done": done})
