@@ -1,8 +1,11 @@
 """Text normalisation, shingles and hashes."""
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import col
@@ -49,6 +52,44 @@ def jaccard(a, b) -> Column:
     return F.element_at(F.transform(F.array(F.size(F.array_intersect(a, b))), share), 1)
 
 
+def _gram_numbers(a: str, b: str, n: int) -> list[np.ndarray]:
+    """The distinct n-grams of two texts as numbers that mean the same gram in both; a shorter text is its own only gram."""
+    codes = [np.frombuffer(v.encode("utf-32-le", "surrogatepass"), "<u4") for v in (a, b)]
+    _, code = np.unique(np.concatenate(codes), return_inverse=True)
+    code = code.astype(np.int64) + 1
+    base = int(code.max(initial=0)) + 1
+    sides = [np.pad(c, (0, max(0, n - len(c)))) for c in np.split(code, [len(codes[0])])]  # 0 stands after the end of a short text
+    grams, size = [c[:len(c) - n + 1] for c in sides], base
+    for k in range(1, n):
+        if size * base >= 1 << 62:  # too many different characters for one number: the grams so far are numbered anew
+            _, place = np.unique(np.concatenate(grams), return_inverse=True)
+            grams, size = np.split(place.astype(np.int64), [len(grams[0])]), len(place) + 1
+        grams, size = [g * base + c[k:len(c) - n + 1 + k] for g, c in zip(grams, sides, strict=True)], size * base
+    return [np.unique(g) for g in grams]
+
+
+def pair_overlaps(pairs: DataFrame, a: str, b: str, n: int = 5, output: str = "overlap") -> DataFrame:
+    """``pairs`` with the overlap of the n-gram sets of two columns of normalised text, null where either is null or empty.
+
+    Texts travel, n-grams are made where two texts meet and leave no trace: as arrays of strings they are many times the text.
+    """
+    schema = pairs.drop(a, b).withColumn(output, F.lit(None).cast("double")).schema
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column(a), batch.column(b), strict=True):
+                x, y, share = x.as_py(), y.as_py(), None
+                if x and y:
+                    one, other = _gram_numbers(x, y, n)
+                    both = len(np.intersect1d(one, other, assume_unique=True))
+                    share = both / (len(one) + len(other) - both)
+                found.append(share)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), pa.array(found, pa.float64())], names=schema.names)
+
+    return pairs.mapInArrow(run, schema)
+
+
 def words(c) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(col(c)), F.lit("[a-z0-9]+"), F.lit(0)))
 

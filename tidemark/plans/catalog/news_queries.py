@@ -10,6 +10,7 @@ from tidemark.operators import calendar as cal
 from tidemark.operators import news_features as nf
 from tidemark.plans.catalog import base_sql as B
 from tidemark.plans.catalog.registry import query
+from tidemark.session import materialise
 from tidemark.sources import fixtures as fx
 
 MARKERS = text.WIRE_MARKERS
@@ -59,9 +60,9 @@ WHERE len(a.g) > 0 AND len(b.g) > 0 GROUP BY a.doc_id""", "overlap")
 def _(spark, d):
     """Overlap of each document with the next one."""
     opening = text.normalise_text(F.concat("title", F.lit(" "), "body"))
-    g = fx.articles(spark, d).select("doc_id", text.char_ngrams(opening).alias("g")).filter(F.size("g") > 0)
-    after = g.select((F.col("doc_id") - 1).alias("doc_id"), F.col("g").alias("h"))
-    return g.join(after, "doc_id").select("doc_id", text.jaccard("g", "h").alias("overlap"))
+    arts = materialise(fx.articles(spark, d).select("doc_id", opening.alias("opening")), "openings")  # read by both sides, normalised once
+    after = arts.select((F.col("doc_id") - 1).alias("doc_id"), F.col("opening").alias("following"))
+    return text.pair_overlaps(arts.join(after, "doc_id"), "opening", "following").select("doc_id", "overlap").filter("overlap is not null")
 
 
 @query("n4_hashes", B.with_(ARTICLES) + f"""
