@@ -7,7 +7,7 @@ from tidemark.plans.catalog import base_sql as B
 from tidemark.plans.catalog import evaluation_queries as EQ
 from tidemark.plans.catalog import money_queries as MQ
 from tidemark.plans.catalog.registry import query
-from tidemark.session import scratch_path
+from tidemark.session import materialise, scratch_path
 from tidemark.sources import fixtures as fx
 from tidemark.sources import tables
 
@@ -15,7 +15,7 @@ from tidemark.sources import tables
 @query("s14_bars_csv", B.with_(B.BARS) + f" SELECT {EQ.SIX} FROM bars", "open high low close volume", 9)
 def _(spark, d):
     """Bars written by ticker as CSV, in two appends, and read back."""
-    path, bars = scratch_path(spark, "bars-csv"), EQ.six(fx.bars(spark, d))
+    path, bars = scratch_path(spark, "bars-csv"), materialise(EQ.six(fx.bars(spark, d)), "bars")
     tables.write_bars_csv(bars.filter("volume > 20"), path)
     tables.write_bars_csv(bars.filter("volume <= 20"), path)
     return EQ.six(spark.read.option("header", True).schema("session date, open double, high double, low double, close double, volume double, ticker string").csv(path))

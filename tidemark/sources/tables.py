@@ -1,10 +1,16 @@
 """Keyed tables, coverage and provenance, instrument and universe files, articles, and sinks."""
 
+import re
+import uuid
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.functions.exprs import col
+from tidemark.sources.fixtures import name_files
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,7 +120,27 @@ def read_feed(spark: SparkSession, path: str, ingested_at: str, *, max_items: in
 
 
 def write_bars_csv(bars: DataFrame, path: str) -> None:
-    bars.repartition("ticker").write.partitionBy("ticker").option("header", True).mode("append").csv(path)
+    """Appends one CSV file with a header for each ticker, in the folder ``ticker=...`` where Spark reads the ticker from.
+
+    Tasks write the files themselves: for many small files, opening and committing them through Spark's writer takes most of the time. A
+    folder that pyarrow cannot open is left to that writer.
+    """
+    # no name and an empty one share a folder, as with Spark's writer: they must share a file too
+    dealt = bars.withColumn("ticker", F.nullif(F.col("ticker").cast("string"), F.lit(""))).repartition("ticker")
+    try:
+        fs.FileSystem.from_uri(path)
+    except (pa.ArrowException, OSError):
+        dealt.write.partitionBy("ticker").option("header", True).mode("append").csv(path)
+        return
+    names, file = [c for c in bars.columns if c != "ticker"], f"part-{uuid.uuid4().hex}.csv"
+    place = lambda ticker: (f"ticker={_escaped(ticker)}", file)
+    lines = dealt.sortWithinPartitions("ticker").select("ticker", F.to_csv(F.struct(*names)).alias("line"))
+    lines.mapInArrow(name_files(path, "_drafts", place, ",".join(names) + "\n"), "files bigint").agg(F.sum("files")).collect()  # one number
+
+
+def _escaped(value: str | None) -> str:
+    """A partition's folder name as Spark writes and reads it."""
+    return re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__"
 
 
 def write_articles(articles: DataFrame, path: str) -> None:
