@@ -103,13 +103,17 @@ def _solve(rows: DataFrame, every: list[int], columns: list[str], alpha, min_lab
 def _medians(rows: DataFrame, p: int) -> dict[tuple[int, int], float]:
     """Exact medians by (fold, feature). Buckets of values are counted by set before they are repeated for the folds of the set; only the
     values of the one or two buckets that hold a median are shuffled."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), ranks.finite(F.col(f"x{i}")).alias("v")) for i in range(p)])
-    known = rows.select("set", F.explode(pairs).alias("p")).select("set", "p.i", "p.v").where("v is not null").withColumn("_bucket", ranks.order_bucket(F.col("v")))
     folds = F.explode(F.split("set", ",").cast("array<int>")).alias("fold")
-    blocks = known.groupBy("set", "i", "_bucket").agg(F.count("*").alias("k")).select(folds, "i", "_bucket", "k").groupBy("fold", "i", "_bucket").agg(F.sum("k").alias("_block"))
+    blocks = ranks.bucket_counts(rows, "set", p).groupBy("set", "i", "_bucket").agg(F.sum("k").alias("k"))
+    blocks = blocks.select(folds, "i", "_bucket", "k").groupBy("fold", "i", "_bucket").agg(F.sum("k").alias("_block"))
     held = ranks.holding_buckets(blocks, ["fold", "i"], [0.5])
-    near = known.join(F.broadcast(held.select("i", "_bucket").distinct()), ["i", "_bucket"], "left_semi")  # two rows for each fold and feature
-    counted = near.groupBy("set", "i", "_bucket", "v").agg(F.count("*").alias("k")).select(folds, "i", "_bucket", "v", "k")
+    kept = held.collect()  # one or two rows for each fold and feature
+    wanted: dict[int, set[int]] = {}
+    for r in kept:
+        wanted.setdefault(r["i"], set()).add(r["_bucket"])
+    near = ranks.values_within(rows, "set", p, {i: sorted(b) for i, b in wanted.items()})
+    counted = near.groupBy("set", "i", "_bucket", "v").agg(F.sum("k").alias("k")).select(folds, "i", "_bucket", "v", "k")
+    held = rows.sparkSession.createDataFrame(kept, held.schema)
     spread = counted.join(F.broadcast(held), ["fold", "i", "_bucket"]).groupBy("fold", "i", "v", "_bucket", "_below", "n_total").agg(F.sum("k").alias("n_equal"))
     found = ranks.quantiles_in(spread, ["fold", "i"], "v", [0.5]).collect()  # one row for each fold and feature
     return {(r.fold, r.i): r.q[0] for r in found}
