@@ -91,14 +91,14 @@ def variant_skill(predictions: DataFrame, **options) -> DataFrame:
 
 
 def row_sets(folds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(set, decision, ticker) and (fold, role, decision, set): the different sets of rows that folds use of a week, each once.
+    """(set, decision, ticker) and (fold, role, decision, k, set): the different sets of rows that folds use of a week, each once.
 
     Most folds use a week whole or lack the same rows, so what is computed for a set serves many folds. Sets are told apart by their
-    number of rows and two sums of hashes.
+    number of rows ``k`` and two hashes of 64 bits of all tickers.
     """
     used = folds.where("role in ('train', 'test')")
-    h = lambda salt: F.sum(F.xxhash64(F.lit(salt), S.TICKER).cast("decimal(38,0)"))
-    marks = materialise(used.groupBy("fold", "role", S.DECISION).agg(F.struct(F.count("*"), h(1), h(2)).cast("string").alias("set")), "sets")
+    h = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), S.TICKER))
+    marks = materialise(used.groupBy("fold", "role", S.DECISION).agg(F.count("*").alias("k"), F.struct(F.count("*"), h(1), h(2)).cast("string").alias("set")), "sets")
     chosen = marks.groupBy(S.DECISION, "set").agg(F.min(F.struct("fold", "role")).alias("f")).select(S.DECISION, "set", "f.fold", "f.role")
     return used.join(chosen, ["fold", "role", S.DECISION]).select("set", *KEYS), marks
 
@@ -111,10 +111,10 @@ def path_skill(panel: DataFrame, folds: DataFrame, fixed: list[str] | tuple = ()
     ``ridges`` (name: penalty) are fitted on ``columns`` for all paths from one pass. Paths with too few labels have null scores.
     """
     labelled = panel.where(F.col(S.LABEL).isNotNull())
-    known = folds.join(labelled.select(*KEYS), KEYS)
+    known = materialise(folds.select("fold", "role", *KEYS).join(labelled.select(*KEYS), KEYS), "known")
+    members, marks = row_sets(known)
     out = None
     if fixed:
-        members, marks = row_sets(known)
         each = F.array(*[F.struct(F.lit(c).alias("candidate"), F.col(c).cast("double").alias(S.PREDICTION)) for c in fixed])
         rows = members.join(labelled, KEYS).select("set", *KEYS, S.LABEL, F.explode(each).alias("v")).select("set", *KEYS, S.LABEL, "v.candidate", "v.prediction")
         weekly = skill.periodic_ic(rows, by=("candidate", "set", S.DECISION), min_names=min_names, min_distinct=min_distinct)
@@ -128,7 +128,9 @@ def path_skill(panel: DataFrame, folds: DataFrame, fixed: list[str] | tuple = ()
         out = weekly if out is None else out.union(weekly)
     mean = lambda role: F.avg(F.when(F.col("role") == role, F.col("ic")))
     means = out.groupBy("fold", "candidate").agg(mean("train").alias("a"), mean("test").alias("b"))
-    paths = known.groupBy("fold").agg(F.count_if(F.col("role") == "train").alias("n"), F.count_if(F.col("role") == "test").alias("m"))
+    rows_of = lambda role: F.sum(F.when(F.col("role") == role, F.col("k")).otherwise(0))
+    paths = known.select("fold").distinct().join(marks.groupBy("fold").agg(rows_of("train").alias("n"), rows_of("test").alias("m")), "fold", "left")
+    paths = paths.fillna(0, ["n", "m"])
     every = paths.withColumn("candidate", F.explode(F.array(*[F.lit(n) for n in (*fixed, *(ridges or ()))])))
     fits = (F.col("n") >= MIN_PATH_TRAIN) & (F.col("m") >= MIN_PATH_TEST)
     return every.join(means, ["fold", "candidate"], "left").select(F.col("fold").alias("path"), "candidate", F.when(fits, F.col("a")).alias("in_sample"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
+from tidemark.session import materialise
 
 KEYS = (S.DECISION, S.TICKER)
 
@@ -70,11 +71,22 @@ def assign_folds(panel: DataFrame, fold_weeks: DataFrame, *, embargo_weeks: int
 
     Purge: a training label touching the test span. Embargo: a training label ending in the gap before the span (and,
     on both sides, starting in the gap after it). Test spans are one row per fold, or with ``per_block`` one per
-    unbroken run of test weeks, so they reach the rows as a small per-fold list.
+    unbroken run of test weeks, so they reach the rows as a small per-fold list. A role depends on the decision and the span of
+    the label alone: roles are worked out for these and meet the rows in one join.
     """
-    rows = panel.select(*KEYS, S.T0, S.T1).join(fold_weeks, S.DECISION)
+    return _spread(panel, _roles(_label_spans(panel), fold_weeks, embargo_weeks, both_sides, per_block))
+
+
+def _label_spans(panel: DataFrame) -> DataFrame:
+    """(decision, label_t0, label_t1, n): the different spans of labels and their rows; a few for each decision of the calendar."""
+    return materialise(panel.groupBy(S.DECISION, S.T0, S.T1).agg(F.count("*").alias("n")), "spans")
+
+
+def _roles(rows: DataFrame, fold_weeks: DataFrame, embargo_weeks: int, both_sides: bool, per_block: bool) -> DataFrame:
+    """(fold, role, decision, label_t0, label_t1, n) from the spans of labels."""
+    weeks = _weeks(rows).select(S.DECISION, "week")
+    rows = rows.join(fold_weeks, S.DECISION)
     if per_block:
-        weeks = _weeks(panel).select(S.DECISION, "week")
         test = fold_weeks.filter("role = 'test'").join(weeks, S.DECISION)
         run = F.col("week") - F.row_number().over(Window.partitionBy("fold").orderBy("week"))
         block = test.select("fold", S.DECISION, run.alias("block"))
@@ -97,25 +109,33 @@ def assign_folds(panel: DataFrame, fold_weeks: DataFrame, *, embargo_weeks: int
         F.when(F.col("role") == "test", "test")
         .when(touches(overlap), "purged").when(touches(near), "embargoed").otherwise("train")
     )
-    return rows.join(spans, "fold").select("fold", role.alias("role"), *KEYS, S.T0, S.T1)
+    return rows.join(spans, "fold").select("fold", role.alias("role"), S.DECISION, S.T0, S.T1, "n")
+
+
+def _spread(panel: DataFrame, roles: DataFrame) -> DataFrame:
+    """The rows of the panel with the roles of their spans."""
+    of = F.broadcast(roles.select("fold", "role", F.col(S.DECISION).alias("_d"), F.col(S.T0).alias("_t0"), F.col(S.T1).alias("_t1")))  # a few rows for each fold and decision
+    same = (F.col(S.DECISION) == F.col("_d")) & F.col(S.T0).eqNullSafe(F.col("_t0")) & F.col(S.T1).eqNullSafe(F.col("_t1"))
+    return panel.select(*KEYS, S.T0, S.T1).join(of, same).select("fold", "role", *KEYS, S.T0, S.T1)
 
 
 def walk_forward_folds(panel: DataFrame, *, embargo_weeks: int = 2, **weeks) -> DataFrame:
     """Walk-forward assignment; folds left without training or test rows drop out and the rest are renumbered."""
-    made = assign_folds(panel, walk_forward_weeks(panel, **weeks), embargo_weeks=embargo_weeks)
-    return _usable(made, renumber=True)
+    rows = _label_spans(panel)
+    made = _roles(rows, walk_forward_weeks(rows, **weeks), embargo_weeks, False, False)
+    return _spread(panel, _usable(made, renumber=True))
 
 
 def combinatorial_folds(panel: DataFrame, *, n_groups: int = 8, n_test_groups: int = 2, embargo_weeks: int = 2,
                         per_block: bool = False) -> DataFrame:
-    weeks = combinatorial_weeks(panel, n_groups=n_groups, n_test_groups=n_test_groups)
-    made = assign_folds(panel, weeks, embargo_weeks=embargo_weeks, both_sides=True, per_block=per_block)
-    return _usable(made, renumber=False)
+    rows = _label_spans(panel)
+    weeks = combinatorial_weeks(rows, n_groups=n_groups, n_test_groups=n_test_groups)
+    return _spread(panel, _usable(_roles(rows, weeks, embargo_weeks, True, per_block), renumber=False))
 
 
 def _usable(made: DataFrame, *, renumber: bool) -> DataFrame:
-    good = made.groupBy("fold").agg(
-        F.count_if(F.col("role") == "train").alias("a"), F.count_if(F.col("role") == "test").alias("b")).filter("a > 0 and b > 0")
+    rows = lambda role: F.sum(F.when(F.col("role") == role, F.col("n")).otherwise(0))
+    good = made.groupBy("fold").agg(rows("train").alias("a"), rows("test").alias("b")).filter("a > 0 and b > 0")
     number = (F.row_number().over(Window.orderBy("fold")) - 1) if renumber else F.col("fold")  # one row per fold
     good = good.select("fold", number.cast("int").alias("_new"))
     return made.join(good, "fold").withColumn("fold", F.col("_new")).drop("_new")
