@@ -28,6 +28,16 @@ def normalise_text(c) -> Column:
     return collapse(text)
 
 
+def normalised(lowered: str) -> str:
+    """What ``normalise_text`` makes of a text that is in lower case already; for texts that go through Python anyway, where it takes a fraction of the time."""
+    out = " ".join(lowered.split())  # the same white space as in collapse
+    if not any(marker in out for marker in WIRE_MARKERS):
+        return out
+    for marker in WIRE_MARKERS:
+        out = out.replace(marker, " ")
+    return " ".join(out.split())
+
+
 def char_ngrams(normalised, n: int = 5) -> Column:
     """Distinct character n-grams of already normalised text; text shorter than ``n`` is its own only gram.
 

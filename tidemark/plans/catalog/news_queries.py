@@ -84,7 +84,8 @@ kept AS (SELECT list_reduce(list_prepend({'id': -1::BIGINT, 'nb': []::BIGINT[]},
 SELECT doc_id, ticker FROM arts WHERE doc_id IN (SELECT unnest(ids) FROM kept)""")
 def _(spark, d):
     """Articles left after near-duplicate collapse."""
-    return dedupe.deduplicate(fx.articles(spark, d), id_col="doc_id").select("doc_id", "ticker")
+    arts = fx.articles(spark, d).select("doc_id", "ticker", "title", "body", "available_at")  # what the pass needs: all given columns are stored
+    return dedupe.deduplicate(arts, id_col="doc_id").select("doc_id", "ticker")
 
 
 @query("n6_novelty", B.with_(ARTICLES, GRAMS, """
